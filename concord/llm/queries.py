@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import chat, packing, quality
+from concord.llm import chat, neighbours, packing, quality
 from concord.llm.common import table
 
 #: A conversation whose texts hold control strings of the template.
@@ -23,6 +23,11 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), size=2048, end_id=1)
 
 
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).drop("_copy", "n_removed_words")
 
@@ -70,6 +75,7 @@ FROM counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pack": op2_pack,
+        "op5_collision_counting": op5_collision_counting,
         "op6_line_frequency": op6_line_frequency,
         "op7_chat_windows": op7_chat_windows,
     }

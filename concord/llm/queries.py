@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import chat, neighbours, packing, quality
+from concord.llm import chat, html, neighbours, packing, quality
 from concord.llm.common import table
 
 #: A conversation whose texts hold control strings of the template.
@@ -38,6 +38,10 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(hostile), tokenizer=tokenizer_path("byte_bpe_50k.json")))
 
 
+def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 OP6_SQL = r"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 lines AS (
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_collision_counting": op5_collision_counting,
         "op6_line_frequency": op6_line_frequency,
         "op7_chat_windows": op7_chat_windows,
+        "op10_wrapper_text": op10_wrapper_text,
     }
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from concord.llm import chat, html, neighbours, packing, quality
+from concord.llm import chat, html, lines, neighbours, packing, quality
 from concord.llm.common import table
 
 #: A conversation whose texts hold control strings of the template.
@@ -38,6 +39,11 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(hostile), tokenizer=tokenizer_path("byte_bpe_50k.json")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -76,15 +82,41 @@ FROM counts
 """
 
 
+OP9_SQL = r"""
+WITH parts AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+occ AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS no, unnest(ls) AS line FROM parts),
+ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS pos FROM occ WHERE length(line) >= 20),
+firsts AS (SELECT line, min(pos) AS pos, length(line) AS n FROM ranked GROUP BY line),
+halves AS (
+  SELECT line, pos, n, m, 0 AS side, substr(line, 1, m) AS half FROM (SELECT *, unnest([(n - 1) // 2, n // 2]) AS m FROM firsts)
+  UNION SELECT line, pos, n, m, 1, substr(line, n - m + 1) FROM (SELECT *, unnest([(n - 1) // 2, n // 2]) AS m FROM firsts)),
+pairs AS (
+  SELECT DISTINCT a.line AS a, b.line AS b FROM halves a JOIN halves b
+  ON a.m = b.m AND a.side = b.side AND a.half = b.half AND b.pos < a.pos AND abs(a.n - b.n) <= 1),
+near AS (
+  SELECT DISTINCT a FROM pairs WHERE len(list_filter(range(1, greatest(length(a), length(b)) + 1), lambda i:
+    CASE WHEN length(a) = length(b) THEN substr(a, 1, i - 1) = substr(b, 1, i - 1) AND substr(a, i + 1) = substr(b, i + 1)
+      WHEN length(a) > length(b) THEN substr(a, 1, i - 1) || substr(a, i + 1) = b
+      ELSE substr(b, 1, i - 1) || substr(b, i + 1) = a END)) > 0),
+gone AS (
+  SELECT r.doc_id, r.no FROM ranked r JOIN firsts f ON r.line = f.line LEFT JOIN near x ON r.line = x.a
+  WHERE r.pos <> f.pos OR x.a IS NOT NULL)
+SELECT o.doc_id, count(*) AS n_lines, count(g.no) AS n_removed,
+  sha256(coalesce(string_agg(o.line, chr(10) ORDER BY o.no) FILTER (WHERE g.no IS NULL), '')) AS kept_sha256
+FROM occ o LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.no = g.no GROUP BY o.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pack": op2_pack,
         "op5_collision_counting": op5_collision_counting,
         "op6_line_frequency": op6_line_frequency,
         "op7_chat_windows": op7_chat_windows,
+        "op9_line_dedup": op9_line_dedup,
         "op10_wrapper_text": op10_wrapper_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_frequency": OP6_SQL}
+    return {"op6_line_frequency": OP6_SQL, "op9_line_dedup": OP9_SQL}

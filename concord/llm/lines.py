@@ -122,14 +122,14 @@ def _firsts(lines: DataFrame, *more: str) -> DataFrame:
 
 def _texts(docs: DataFrame, candidates: DataFrame, min_chars: int, bits: int) -> DataFrame:
     """Candidates with their text, read from where they occur first."""
-    at = F.col("lid").bitwiseAND(F.lit((1 << bits) - 1))
+    at = F.col("lid").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # numbers of bits begin with 1
     maps = candidates.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
     found = maps.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()  # 4 KB for each 32,768 bits at most
     buckets = {r["bucket"] - 1: bytes(r["map"]) for r in found}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def marked(lid: int) -> bool:
-            value = (lid & ((1 << bits) - 1)) - 1  # bucket numbers and positions of bitmaps begin with value 1
+            value = lid & ((1 << bits) - 1)
             own = buckets.get(value // 32768)
             return own is not None and bool(own[value % 32768 // 8] >> (value % 8) & 1)
 

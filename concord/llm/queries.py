@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, html, lines, neighbours, packing, quality
+from concord.llm import chat, html, jaccard, lines, neighbours, packing, quality
 from concord.llm.common import table
 
 #: A conversation whose texts hold control strings of the template.
@@ -39,6 +39,10 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(hostile), tokenizer=tokenizer_path("byte_bpe_50k.json")))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -113,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_collision_counting": op5_collision_counting,
         "op6_line_frequency": op6_line_frequency,
         "op7_chat_windows": op7_chat_windows,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_line_dedup": op9_line_dedup,
         "op10_wrapper_text": op10_wrapper_text,
     }

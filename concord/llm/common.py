@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2**bits bits with those of the column's values (64-bit hashes) set: a filter of fixed size that may hold more, never less."""
+    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1  # numbers of bits begin with 1
+    maps = df.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in maps.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect():  # 4 KB for each 32,768 bits
+        out[4096 * (r["bucket"] - 1) : 4096 * r["bucket"]] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return out
+
+
+def in_bitmap(flat: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (values & (8 * len(flat) - 1)).astype(np.int64)
+    return (flat[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+
+
+def split_by_bitmap(df: DataFrame, key: Column, flat: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key (a 64-bit hash, not null) may be in the bitmap, and the others."""
+    held = df.sparkSession.sparkContext.broadcast(flat)
+
+    @F.pandas_udf("boolean")
+    def marked(values: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(held.value, values.to_numpy()))
+
+    return df.where(marked(key)), df.where(~marked(key))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, html, jaccard, lines, neighbours, packing, quality
+from concord.llm import chat, html, jaccard, lines, neighbours, packing, quality, suffixes
 from concord.llm.common import table
 
 #: A conversation whose texts hold control strings of the template.
@@ -24,6 +24,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), size=2048, end_id=1)
 
 
+def op3_grouped_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"), length=200)
+
+
 def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -114,6 +118,7 @@ FROM occ o LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.no = g.no GROUP BY o.do
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pack": op2_pack,
+        "op3_grouped_suffixes": op3_grouped_suffixes,
         "op5_collision_counting": op5_collision_counting,
         "op6_line_frequency": op6_line_frequency,
         "op7_chat_windows": op7_chat_windows,

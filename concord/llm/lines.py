@@ -15,10 +15,11 @@ on the texts.
 
 Emitting neighbourhoods of all lines would multiply the corpus by the length of
 its lines. Lines within one edit share their first or their last half, so lines
-that share neither half with another line are left out first: an exact filter,
-since one edit touches one half only. The lines that are left are marked in a
-bitmap of fixed size (`bitmap_bits`); when it is fuller, more lines are read
-again than need be, no fewer.
+that share neither half with another line are left out first, and a line that
+shares its first half has only places of the last deleted, and the other way
+round: exact filters, since one edit touches one half only. Shared halves are
+marked in a bitmap of fixed size (`bitmap_bits`); when it is fuller, more lines
+emit keys than need to, no fewer.
 
 Order and identity of a line are (document id, hash of the document's text, line
 number): repeated rows are the same document, and each keeps what the first
@@ -36,11 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import stored, text_or_empty
+from concord.llm.common import bitmap, in_bitmap, split_by_bitmap, stored, text_or_empty
 
-_LINES = "lid bigint, lid2 bigint, doc bigint, copy bigint, no int, halves array<bigint>"
-_TEXTS = "lid bigint, lid2 bigint, doc bigint, copy bigint, no int, line string"
-_KEYS = "key bigint, whole boolean, doc bigint, copy bigint, no int, lid bigint"
+_LINES = "lid bigint, lid2 bigint, doc bigint, copy bigint, no int"
+_TEXTS = "lid bigint, lid2 bigint, doc bigint, copy bigint, no int, line string, sides int"
 #: Odd multipliers of the hashes, and the inverse of the first modulo 2**64.
 _BASE, _MIX, _PLACE = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -50,13 +50,13 @@ def _lid(line: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(line), np.int64).tolist())
 
 
-def _halves(line: str) -> list[int]:
-    """Keys of the first and last characters that lines within one edit have in common: as many as half the shorter has."""
+def _halves(line: str) -> list[tuple[int, int]]:
+    """Tag (0: first, 1: last) and key of the characters that lines within one edit have in common: as many as half the shorter has."""
     n = len(line)
     out = []
     for m in {(n - 1) // 2, n // 2}:
         for tag, part in ((0, line[:m]), (1, line[n - m :])):
-            out.append(xxhash.xxh3_64_intdigest(part.encode(), seed=2 * m + tag) - (1 << 63))
+            out.append((tag, xxhash.xxh3_64_intdigest(part.encode(), seed=2 * m + tag) - (1 << 63)))
     return out
 
 
@@ -98,8 +98,8 @@ def _split(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[int, int, in
                 yield doc, copy, no, line
 
 
-def _columns(rows: list[tuple], names: str, last: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), last]
+def _columns(rows: list[tuple], names: str, *last: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *last]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in names.split(", ")])
 
 
@@ -107,79 +107,80 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                rows = [(*_lid(line.encode()), doc, copy, no, _halves(line)) for doc, copy, no, line in _split(batch.slice(lo, 256), min_chars)]
-                if rows:
-                    yield _columns(rows, _LINES, pa.list_(pa.int64()))
+                if rows := [(*_lid(line.encode()), doc, copy, no) for doc, copy, no, line in _split(batch.slice(lo, 256), min_chars)]:
+                    yield _columns(rows, _LINES)
 
     return _documents(docs).mapInArrow(read, _LINES)
 
 
-def _firsts(lines: DataFrame, *more: str) -> DataFrame:
-    """Distinct lines with the place of their first occurrence."""
-    kept = [F.first(c).alias(c) for c in more]
-    return lines.groupBy("lid", "lid2").agg(F.min(F.struct("doc", "copy", "no")).alias("first"), *kept)
+def _shared_halves(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Keys of halves that different lines have."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                keys: dict[tuple[int, int], None] = {}
+                for _, _, _, line in _split(batch.slice(lo, 256), min_chars):
+                    lid = _lid(line.encode())[0]
+                    keys.update(((half, lid), None) for _, half in _halves(line))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*keys, strict=True)], names=["half", "lid"])
 
-def _texts(docs: DataFrame, candidates: DataFrame, min_chars: int, bits: int) -> DataFrame:
-    """Candidates with their text, read from where they occur first."""
-    at = F.col("lid").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # numbers of bits begin with 1
-    maps = candidates.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-    found = maps.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()  # 4 KB for each 32,768 bits at most
-    buckets = {r["bucket"] - 1: bytes(r["map"]) for r in found}
+    halves = _documents(docs).mapInArrow(read, "half bigint, lid bigint")
+    return halves.groupBy("half").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo != hi").select("half")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def marked(lid: int) -> bool:
-            value = lid & ((1 << bits) - 1)
-            own = buckets.get(value // 32768)
-            return own is not None and bool(own[value % 32768 // 8] >> (value % 8) & 1)
 
+def _texts(docs: DataFrame, shared: np.ndarray, min_chars: int) -> DataFrame:
+    """Distinct lines with a shared half, which halves (1: first, 2: last), and their order as one number."""
+    held = docs.sparkSession.sparkContext.broadcast(shared)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                rows = []
-                for doc, copy, no, line in _split(batch.slice(lo, 256), min_chars):
-                    lid = _lid(line.encode())
-                    if marked(lid[0]):
-                        rows.append((*lid, doc, copy, no, line))
-                if rows:
-                    yield _columns(rows, _TEXTS, pa.string())
+                lines = list(_split(batch.slice(lo, 256), min_chars))
+                halves = [_halves(x[3]) for x in lines]
+                marks = iter(in_bitmap(held.value, np.array([h for x in halves for _, h in x], np.int64)).tolist())
+                sides = [sum({1 << tag for tag, _ in x if next(marks)}) for x in halves]
+                if rows := [(*_lid(line.encode()), doc, copy, no, line, side) for (doc, copy, no, line), side in zip(lines, sides, strict=True) if side]:
+                    yield _columns(rows, _TEXTS, pa.string(), pa.int32())
 
-    texts = _documents(docs).mapInArrow(read, _TEXTS)
-    both = texts.join(candidates, ["lid", "lid2"]).where((F.col("first.doc") == F.col("doc")) & (F.col("first.copy") == F.col("copy")) & (F.col("first.no") == F.col("no")))
-    return both.select("lid", "lid2", "doc", "copy", "no", "line").dropDuplicates(["lid", "lid2"])
+    places = _documents(docs).mapInArrow(read, _TEXTS)
+    distinct = places.groupBy("lid", "lid2").agg(F.min(F.struct("doc", "copy", "no")).alias("first"), F.first("line").alias("line"), F.first("sides").alias("sides"))
+    # sorted by range: the ids then increase with the order of the lines
+    return distinct.select("lid", "first.*", "line", "sides").orderBy("doc", "copy", "no").select("lid", "line", "sides", F.monotonically_increasing_id().alias("order"))
 
 
 def _keys(texts: DataFrame) -> DataFrame:
+    """key and twice the line's order, plus one if the key is that of the line itself."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(" ")[0] for x in _KEYS.split(", ")]
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 some = batch.slice(lo, 64)
-                keys, whole, counts = [], [], []
-                for line in some.column(5).to_pylist():
+                keys, values = [], []
+                for line, sides, order in zip(*(some.column(k).to_pylist() for k in range(3)), strict=True):
                     own, without, placed = neighbourhood(line)
-                    keys += [np.array([own]), without, placed]
-                    counts.append(1 + 2 * len(line))
-                    mark = np.zeros(counts[-1], bool)
-                    mark[0] = True
-                    whole.append(mark)
-                at = np.repeat(np.arange(some.num_rows), counts)
-                columns = [pa.array(np.concatenate(keys)), pa.array(np.concatenate(whole)), *(some.column(k).take(pa.array(at)) for k in (2, 3, 4, 0))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    n = len(line)
+                    part = slice((n - 1) // 2 if not sides & 2 else 0, None if sides & 1 else n - (n - 1) // 2)
+                    keys += [np.array([own]), without[part], placed[part]]
+                    of = np.full(1 + 2 * len(without[part]), 2 * order)
+                    of[0] += 1
+                    values.append(of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], names=["key", "value"])
 
-    return texts.mapInArrow(emit, _KEYS)
+    return texts.select("line", "sides", "order").mapInArrow(emit, "key bigint, value bigint")
 
 
 def _near(texts: DataFrame) -> DataFrame:
     """lid of the lines with an earlier line one edit away."""
     keys = _keys(texts)
-    order = F.struct("doc", "copy", "no", "lid")
-    met = keys.groupBy("key").agg(F.min(F.when(F.col("whole"), order)).alias("own"), F.min(F.when(~F.col("whole"), order)).alias("cut"), F.max(F.when(~F.col("whole"), order)).alias("late"))
+    whole = F.col("value") % 2 == 1
+    met = keys.groupBy("key").agg(F.min(F.when(whole, F.col("value"))).alias("own"), F.min(F.when(~whole, F.col("value"))).alias("cut"), F.max(F.when(~whole, F.col("value"))).alias("late"))
     met = met.where(F.col("cut").isNotNull() & (F.col("own").isNotNull() | (F.col("cut") != F.col("late")))).select("key", "own", "cut")
     # without a whole line under the key, it may be one with the place: the earliest of the others counts
-    pairs = keys.join(met, "key").select(F.col("lid"), F.when(F.col("whole"), F.col("cut")).otherwise(F.coalesce("own", "cut")).alias("other"), order.alias("order"))
-    pairs = pairs.where(F.col("other") < F.col("order")).select("lid", F.col("other.lid").alias("with")).distinct()
-    left = pairs.join(texts.select("lid", "line"), "lid")
-    both = left.join(texts.select(F.col("lid").alias("with"), F.col("line").alias("line2")), "with")
+    other = F.when(whole, F.col("cut")).otherwise(F.coalesce("own", "cut"))
+    pairs = keys.join(met, "key").select(F.floor(F.col("value") / 2).alias("order"), F.floor(other / 2).alias("with")).where(F.col("with") < F.col("order")).distinct()
+    both = pairs.join(texts.select("lid", "line", "order"), "order").join(texts.select(F.col("order").alias("with"), F.col("line").alias("line2")), "with")
     return both.where(F.levenshtein("line", "line2", 1).between(0, 1)).select("lid").distinct()
 
 
@@ -187,29 +188,34 @@ def removals(docs: DataFrame, max_edits: int = 1, min_chars: int = 20, bitmap_bi
     """doc, copy and removed (numbers of lines, from 0) of documents that lose lines."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    lines = stored(_occurrences(docs, min_chars), "lines")
-    distinct = _firsts(lines)
+    lines = _occurrences(docs, min_chars)
+    twice = stored(lines.groupBy("lid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lid"), "twice")
     if max_edits:
-        each = _firsts(lines, "halves").select("lid", "lid2", "first", F.explode("halves").alias("half"))
-        shared = each.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-        candidates = stored(each.join(shared, "half", "left_semi").select("lid", "lid2", "first").distinct(), "candidates")
-        texts = stored(_texts(docs, candidates, min_chars, bitmap_bits), "texts")
-        distinct = distinct.join(_near(texts).withColumn("near", F.lit(True)), "lid", "left")
+        shared = bitmap(_shared_halves(docs, min_chars), "half", bitmap_bits)
+        texts = stored(_texts(docs, shared, min_chars), "texts")
+        near = stored(_near(texts), "near")
     else:
-        distinct = distinct.withColumn("near", F.lit(False))
-    here = F.struct("doc", "copy", "no")
-    gone = lines.drop("halves").join(distinct, ["lid", "lid2"]).where((F.col("first") != here) | F.coalesce("near", F.lit(False)))
+        near = twice.limit(0)
+    # only lines found twice, or near an earlier one, can go
+    wanted = twice.withColumn("near", F.lit(False)).union(near.withColumn("near", F.lit(True))).groupBy("lid").agg(F.max("near").alias("near"))
+    some = stored(lines.join(wanted, "lid"), "lines")
+    first = some.groupBy("lid", "lid2").agg(F.min(F.struct("doc", "copy", "no")).alias("first"))
+    gone = some.join(first, ["lid", "lid2"]).where(F.col("near") | (F.col("first") != F.struct("doc", "copy", "no")))
     return gone.groupBy("doc", "copy").agg(F.collect_set("no").alias("removed"))
 
 
 def deduplicate(docs: DataFrame, max_edits: int = 1, min_chars: int = 20, bitmap_bits: int = 25) -> DataFrame:
     """docs with the text less removed lines, and n_lines, n_removed; all rows are kept, those emptied as well."""
-    gone = removals(docs, max_edits, min_chars, bitmap_bits)
+    gone = stored(removals(docs, max_edits, min_chars, bitmap_bits), "removed")
     marked = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("__copy", F.xxhash64(text_or_empty()))
-    both = marked.alias("o").join(gone.alias("g"), (F.col("__doc") == F.col("g.doc")) & (F.col("__copy") == F.col("g.copy")), "left")
-    kept = F.filter(F.split(F.col("o.text"), "\n"), lambda x, i: ~F.array_contains(F.col("g.removed"), i))
-    text = F.when(F.col("g.removed").isNull(), F.col("o.text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("o.text").isNull(), F.lit(0)).otherwise(F.size(F.split(F.col("o.text"), "\n"))).cast("long")
-    n_removed = F.coalesce(F.size("g.removed"), F.lit(0)).cast("long")
-    own = [text.alias("text") if c == "text" else F.col(f"o.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # documents that lose nothing aren't moved
+    flat = bitmap(gone.select(F.xxhash64("doc", "copy").alias("key")), "key", bitmap_bits)
+    hit, rest = split_by_bitmap(marked, F.xxhash64("__doc", "__copy"), flat)
+    hit = hit.alias("o").join(gone.alias("g"), (F.col("__doc") == F.col("g.doc")) & (F.col("__copy") == F.col("g.copy")), "left").select("o.*", F.col("g.removed").alias("__removed"))
+    both = hit.unionByName(rest.withColumn("__removed", F.lit(None).cast("array<int>")))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i))
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_removed = F.coalesce(F.size("__removed"), F.lit(0)).cast("long")
+    own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return both.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, html, jaccard, lines, neighbours, packing, quality, suffixes
+from concord.llm import chat, classlm, html, jaccard, lines, neighbours, packing, quality, suffixes
 from concord.llm.common import table
 
 #: A conversation whose texts hold control strings of the template.
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), size=2048, end_id=1)
 
@@ -117,6 +121,7 @@ FROM occ o LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.no = g.no GROUP BY o.do
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_classes": op1_brown_classes,
         "op2_pack": op2_pack,
         "op3_grouped_suffixes": op3_grouped_suffixes,
         "op5_collision_counting": op5_collision_counting,

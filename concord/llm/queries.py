@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, classlm, html, jaccard, lines, neighbours, packing, quality, suffixes
+from concord.llm import chat, classlm, html, jaccard, lines, neighbours, packing, pieces, quality, suffixes
 from concord.llm.common import table
 
 #: A conversation whose texts hold control strings of the template.
@@ -32,6 +32,10 @@ def op3_grouped_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"), length=200)
 
 
+def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -124,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_brown_classes": op1_brown_classes,
         "op2_pack": op2_pack,
         "op3_grouped_suffixes": op3_grouped_suffixes,
+        "op4_piece_lattice": op4_piece_lattice,
         "op5_collision_counting": op5_collision_counting,
         "op6_line_frequency": op6_line_frequency,
         "op7_chat_windows": op7_chat_windows,

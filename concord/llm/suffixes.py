@@ -365,7 +365,7 @@ def cut_out(docs: DataFrame, schema: str, give, names: tuple[str, ...], **settin
     both = hit.unionByName(rest.withColumn("__runs", F.lit(None).cast("array<int>")))
     kept = [c for c in docs.columns if c not in names and c != "text"]
     both = both.select(*[F.col(f"`{c}`") for c in kept], "__text", "__runs", F.col("text").isNull().alias("__null"))
-    fields = [f for f in both.schema.fields if not f.name.startswith("__")]
+    fields = both.schema.fields[: len(kept)]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(fields)

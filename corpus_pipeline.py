@@ -1,23 +1,76 @@
-"""The corpus pipeline (stages follow as their operators are written)."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, suffix-array dedup, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept, and returns a DataFrame; all but the last return the columns of docs. `run`
+writes what a stage returns to the shared folder and reads it as the next one's
+docs. Where a stage changes texts, n_chars follows; documents that lose all of
+their text to duplicates go, those that were empty before stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.llm import jaccard, lines, packing, quality, suffixes
+from concord.llm.common import SPACES, bitmap, split_by_bitmap, stored, table
+from concord.llm.queries import tokenizer_path
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
-from concord.llm import quality
-from concord.llm.common import table
+
+def _blank(text: str):
+    return F.length(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, "")) == 0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.clean(docs)
+    """Frequent lines of a host go; documents that fail the base rules or are depleted go."""
+    return _counted(quality.clean(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines within an edit of an earlier line go."""
+    found = lines.deduplicate(docs)
+    return _counted(found.where(~(_blank("text") & (F.col("n_removed") > 0))).select(*docs.columns))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    found = jaccard.similar(docs, size=3, percent=90)
+    gone = stored(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
+    flat = bitmap(gone.select(F.xxhash64("doc_id").alias("key")), "key", 25)
+    held, rest = split_by_bitmap(docs, F.xxhash64("doc_id"), flat)  # only what may go is joined
+    return rest.unionByName(held.join(gone, "doc_id", "left_anti").select(*docs.columns))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 200 that start elsewhere too go."""
+    found = suffixes.deduplicate(docs.withColumn("__was_blank", _blank("text")), length=200)
+    return _counted(found.where(F.col("__was_blank") | ~_blank("text")).select(*docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 ids, packed into sequences."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), size=2048, end_id=1)
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("suffix_dedup", suffix_dedup),
+    ("packing", pack),
+]
+#: Suffix sorting and packing can't be said in SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,9 +6,9 @@ least `percent` / 100. The result is one row per document with its component.
 1. Documents of equal sets form a class; classes stand for their documents.
 2. N-grams get a global order, rare ones first, by counts in a table of fixed
    size. The order only serves speed: any order that all documents share gives
-   the same links. Similar sets share an n-gram among the first
-   n - ceil(s n) + 1 of each, so classes that share none of these with another
-   class are done.
+   the same links. Similar sets share at least l n-grams among the first
+   n - ceil(s n) + l of each. With l a twentieth of the set, a class of which
+   fewer of these n-grams occur in other classes is done.
 3. Groups of classes that share such an n-gram are joined by prefix trees. Sets
    are stored in a tree with common n-grams first, so that near copies share
    long paths; a set is probed against the tree, its overlap with a path is
@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import stored, text_or_empty
+from concord.llm.common import bitmap, in_bitmap, stored, text_or_empty
 from concord.llm.components import components
 from concord.llm.wordhash import mix, shingles, slices
 
@@ -99,42 +99,62 @@ def _ordered(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, counts[(found & np.uint64(_BUCKETS - 1)).astype(np.int64)]))]
 
 
-def _prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
+def _extra(n: int) -> int:
+    """How many n-grams of their prefixes similar sets have in common at least: l of a set of n."""
+    return 1 + n // 20
+
+
+def _prefix(found: np.ndarray, percent: int, order: np.ndarray) -> np.ndarray:
+    n = len(found)
+    return _ordered(found, order)[: n - -(-percent * n // 100) + _extra(n)].view(np.int64)
+
+
+def _prefixes(docs: DataFrame, size: int, percent: int, counts, only=None) -> DataFrame:
+    """token, cls, n; only: bitmap of the tokens to give."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = counts.value
+        order, done = counts.value, set()
         for batch in batches:
             for some in slices(batch, 1):
                 tokens, classes, sizes = [], [], []
                 for found in shingles(some.column(1), size):
-                    if n := len(found):
-                        tokens.append(_ordered(found, order)[: n - -(-percent * n // 100) + 1])
-                        classes.append(_class(found))
-                        sizes.append(len(tokens[-1]))
+                    cls = _class(found) if len(found) else None
+                    if cls is None or cls in done:
+                        continue
+                    done.add(cls)
+                    own = _prefix(found, percent, order)
+                    tokens.append(own if only is None else own[in_bitmap(only.value, own)])
+                    classes.append(np.full(len(tokens[-1]), cls))
+                    sizes.append(np.full(len(tokens[-1]), len(found)))
+                if len(done) > 200_000:
+                    done = set()
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), sizes))], names=["token", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, classes, sizes)], names=["token", "cls", "n"])
+
+    return _rows(docs).mapInArrow(read, "token bigint, cls bigint, n bigint")
 
-    return _rows(docs).mapInArrow(read, "token bigint, cls bigint")
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Tokens of two classes or more."""
+    return rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("token")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, bits: int = 25) -> DataFrame:
     """cls and its n-grams of the wanted classes, found by a bitmap of fixed size and then exactly."""
-    at = F.col("cls").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # numbers of bits begin with 1
-    maps = wanted.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
-    marks = {r["bucket"] - 1: bytes(r["map"]) for r in maps.collect()}  # 4 KB for each 32,768 bits at most
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "cls", bits))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             for some in slices(batch, 1):
+                found = [x for x in shingles(some.column(1), size) if len(x)]
+                names = np.array([_class(x) for x in found], np.int64)
                 classes, sets = [], []
-                for found in shingles(some.column(1), size):
-                    cls = _class(found)
-                    value = cls & ((1 << bits) - 1)
-                    own = marks.get(value // 32768)
-                    if len(found) and own is not None and own[value % 32768 // 8] >> (value % 8) & 1 and cls not in done:
+                for cls, x, held in zip(names.tolist(), found, in_bitmap(marks.value, names).tolist(), strict=True):
+                    if held and cls not in done:
                         done.add(cls)
                         classes.append(cls)
-                        sets.append(found.view(np.int64))
+                        sets.append(x.view(np.int64))
                 if classes:
                     yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "grams"])
 
@@ -189,6 +209,33 @@ class Tree:
             waiting += [(c, overlap) for c in children]
 
 
+def _partners(t: pa.Table, percent: int) -> np.ndarray:
+    """Which rows of a group (left rows, and right rows marked `other`) have a partner on the other side whose first common token is the group's."""
+    other = t.column("other").to_numpy(zero_copy_only=False)
+    token, cls, label, n = t.column("token")[0].as_py(), *(t.column(c).to_numpy() for c in ("cls", "label", "n"))
+    tokens = [np.sort(np.asarray(x.values)) for x in t.column("tokens")]
+    left = np.flatnonzero(~other)
+    keep = np.zeros(t.num_rows, bool)
+    held = np.concatenate([tokens[k] for k in left]) if len(left) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(left)), [len(tokens[k]) for k in left])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    for r in np.flatnonzero(other):
+        lo, hi = np.searchsorted(held, tokens[r], "left"), np.searchsorted(held, tokens[r], "right")
+        hits = [owner[a:b] for a, b in zip(lo, hi, strict=True)]
+        common = np.bincount(np.concatenate(hits), minlength=len(left)) if hits else np.zeros(len(left), np.int64)
+        earlier = [h for h, x in zip(hits, tokens[r], strict=True) if x < token]
+        first = np.ones(len(left), bool)
+        if earlier:
+            first[np.concatenate(earlier)] = False
+        small, large = np.minimum(n[left], n[r]), np.maximum(n[left], n[r])
+        near = first & (common >= 1 + small // 20) & (100 * small >= percent * large) & (label[left] != label[r]) & (cls[left] != cls[r])
+        if near.any():
+            keep[r] = True
+            keep[left[near]] = True
+    return keep
+
+
 def link(left: list[np.ndarray], right: list[np.ndarray], left_ids: list[int], right_ids: list[int], labels: dict[int, int], percent: int, counts: np.ndarray) -> list[tuple[int, int]]:
     """Links between left and right that connect what is linked; sets of a component by labels are connected from the start."""
     values = np.unique(np.concatenate([*left, *right]))
@@ -224,9 +271,14 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 512)
     seen = stored(_read(docs, size), "seen")
     counts = sc.broadcast(_order(seen))  # 4 MB, whatever the corpus
     rows = seen.where("block IS NULL").select("doc_id", "n", "cls")
-    prefixes = _prefixes(docs, size, percent, counts)
-    shared = prefixes.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("token")
-    members = stored(prefixes.join(shared, "token", "left_semi").distinct(), "members")
+    shared = stored(_shared(_prefixes(docs, size, percent, counts).select("token", "cls")), "shared")
+    held = sc.broadcast(bitmap(shared, "token", 25))
+    members = _prefixes(docs, size, percent, counts, held).distinct().join(shared, "token", "left_semi")
+    members = stored(members, "members")
+    # a partner of a set of n has 9/10 n n-grams at least, so l of either set is that of 9/10 n or more
+    enough = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("tokens")).where(F.col("tokens") >= 1 + F.floor(F.col("n") * percent / 2000)).select("cls")
+    members = members.join(enough, "cls", "left_semi")
+    members = stored(members.join(_shared(members), "token", "left_semi"), "members")
     sets = stored(_sets(docs, members.select("cls").distinct(), size), "sets")
 
     # each class in its largest group
@@ -244,14 +296,24 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 512)
     labels = stored(components(links), "labels")
 
     # groups of several components
-    named = members.join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("label", "cls").alias("label"))
+    named = members.join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("label"))
     by_label = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("xor"))
     groups = by_label.groupBy("token").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor")).where("labels > 1")
     groups = groups.groupBy("size", "sum", "xor").agg(F.min("token").alias("token"), F.first("main").alias("main"))
     groups = groups.select("token", F.col("main.label").alias("main"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main.n")) / block).cast("int").alias("others"))
     open_ = named.join(groups, "token")
-    left = open_.select("token", "cls", "label", F.lit(False).alias("other"), F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"))
-    right = open_.where("label != main").select("token", "cls", "label", F.lit(True).alias("other"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)).alias("i"), F.pmod(F.xxhash64("cls"), F.col("others")).cast("int").alias("j"))
+    left = open_.select("token", "cls", "label", "n", F.lit(False).alias("other"), F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"))
+    right = open_.where("label != main").select("token", "cls", "label", "n", F.lit(True).alias("other"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)).alias("i"), F.pmod(F.xxhash64("cls"), F.col("others")).cast("int").alias("j"))
+    # by prefixes first, a seventh of the sets: who has enough of them in common with a member of another component, each pair in the group of its first token only
+    lists = named.groupBy("cls").agg(F.collect_list("token").alias("tokens"))
+    columns = "token bigint, i bigint, j int, cls bigint, label bigint, other boolean"
+
+    def candidates(t: pa.Table) -> pa.Table:
+        keep = _partners(t, percent)
+        return t.filter(pa.array(keep)).select(["token", "i", "j", "cls", "label", "other"])
+
+    pairs = left.unionByName(right).join(lists, "cls").select("token", "i", "j", "cls", "label", "other", "n", "tokens")
+    pairs = stored(pairs.groupBy("token", "i", "j").applyInArrow(candidates, columns), "candidates")
 
     def across(t: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
@@ -264,8 +326,7 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 512)
             found = link(a, b, a_ids, b_ids, dict(zip(ids, names, strict=True)), percent, counts.value.astype(np.int64))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    pairs = left.unionByName(right).join(sets, "cls").select("token", "i", "j", "cls", "label", "other", "grams")
-    more = pairs.groupBy("token", "i", "j").applyInArrow(across, schema)
+    more = pairs.join(sets, "cls").select("token", "i", "j", "cls", "label", "other", "grams").groupBy("token", "i", "j").applyInArrow(across, schema)
     final = components(links.union(more))
     smallest = rows.where("n > 0").join(final, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("label", "cls").alias("label"), "doc_id")
     least = smallest.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -469,3 +469,90 @@ def p02_j03_j04_validation_set(spark, sf_dir):
     verses = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("text_id"), F.array().cast("array<array<string>>").alias("theme_paths"))
     found = sheets.validation_set(gold, rated(spark, sf_dir).where("A = 'NOT_SUPPORTED'"), verses, ["doc_id"])
     return found.select("doc_id", "question", "answer", "difficulty", "text_id", F.coalesce(T.path_text(F.col("theme_path_used_for_generation")), F.lit("")).alias("used"), T.paths_text(F.col("theme_paths_full")).alias("full_paths"))
+
+
+@query(WITH + "SELECT doc_id, llm = hum AS same FROM human")
+def p22_flags_equal(spark, sf_dir):
+    return human_subset(rated(spark, sf_dir)).select("doc_id", (F.col("llm") == F.col("hum")).alias("same"))
+
+
+@query("""WITH replies AS (SELECT doc_id, CASE WHEN n_chars < 200 THEN ' INSUFFICIENT_EVIDENCE ' WHEN doc_id % 3 = 0 THEN '{"question": "' || lang || '", "answer": "' || source || '"}' WHEN doc_id % 3 = 1 THEN 'no json' END AS content FROM documents)
+SELECT doc_id, CASE WHEN trim(content) = 'INSUFFICIENT_EVIDENCE' THEN 'insufficient' WHEN content LIKE '{%' THEN 'ok' ELSE 'failed' END AS outcome,
+  CASE WHEN content LIKE '{%' THEN json_extract_string(content, '$.question') END AS question FROM replies""")
+def p19_p20_p21_route_replies(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    reply = F.to_json(F.struct(F.col("lang").alias("question"), F.col("source").alias("answer")))
+    content = T.strip(F.when(F.col("n_chars") < 200, f" {P.INSUFFICIENT} ").when(F.col("doc_id") % 3 == 0, reply).when(F.col("doc_id") % 3 == 1, "no json"))
+    parsed = F.from_json(content, "question STRING, answer STRING")
+    outcome = F.when(content == P.INSUFFICIENT, "insufficient").when(parsed["question"].isNotNull(), "ok").otherwise("failed")
+    return d.select("doc_id", outcome.alias("outcome"), parsed["question"].alias("question"))
+
+
+@query("SELECT n_nationkey, r_name || ' → ' || n_name AS path FROM nation JOIN region ON r_regionkey = n_regionkey")
+def f10_extended_path(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", T.path_text(T.with_step(F.array("r_name"), F.col("n_name"))).alias("path"))
+
+
+@query("SELECT event_id, CASE WHEN props LIKE '{%' THEN 'object' WHEN props LIKE '[%' THEN 'list' ELSE 'scalar' END AS kind FROM events")
+def f12_kind_of_node(spark, sf_dir):
+    node = F.trim("props")
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.startswith(node, F.lit("{")), "object").when(F.startswith(node, F.lit("[")), "list").otherwise("scalar").alias("kind"))
+
+
+@query("SELECT conv_id, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS verdict_A FROM conversations")
+def e09_raw_verdict(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip(F.col("text")).alias("verdict_A"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT event_id, user_id, event_type FROM events WHERE event_id % 5 = 0")
+def s02_s03_k02_k03_log_round_trip(spark, sf_dir):
+    """A log written in two batches and read strictly."""
+    from concord.sources.readers import read_log
+    from concord.sources.writers import write_lines
+
+    path = scratch(spark, "log")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    write_lines(e.where("event_id % 5 <> 0"), path)
+    write_lines(e.where("event_id % 5 = 0"), path, append=True)
+    return read_log(spark, path, "event_id BIGINT, user_id BIGINT, event_type STRING", strict=True)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def s01_k01_array_round_trip(spark, sf_dir):
+    """A JSON array written and read."""
+    from concord.sources.readers import read_array
+    from concord.sources.writers import write_array
+
+    path = scratch(spark, "nations.json")
+    write_array(table(spark, sf_dir, "nation"), path)
+    return read_array(spark, path, "n_nationkey INT, n_name STRING, n_regionkey INT")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS \"ID\", c_name AS verdict, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS error_type FROM customer")
+def s05_s06_k04_sheet_round_trip(spark, sf_dir):
+    """A delimited file with a header, NULL for null and spaces around a name, written and read."""
+    from concord.sources.readers import read_labels
+
+    path = scratch(spark, "labels")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("verdict"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias(" error_type"))
+    c.write.csv(path, sep=";", header=True, nullValue="NULL", ignoreLeadingWhiteSpace=False)
+    return read_labels(spark, path)
+
+
+@query("SELECT user_id, event_id FROM events WHERE false")
+def s07_missing_source(spark, sf_dir):
+    from concord.sources.readers import read_optional
+
+    return read_optional(spark, scratch(spark, "nothing"), "user_id BIGINT, event_id BIGINT")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; in local mode without one, in a temporary folder."""
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='concord-')}/{uuid.uuid4().hex}-{name}"

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import SPACES, ascii_lower, text_or_empty, words
+from concord.llm.common import SPACES, ascii_lower, stored, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -103,14 +103,16 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return step.drop("_places")
 
 
-def verdicts(docs: DataFrame, min_docs: int = 10, min_share: float = 0.01, min_left: float = 0.5) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = 10, min_share: float = 0.01, min_left: float = 0.5, frequent: DataFrame | None = None) -> DataFrame:
     """Per row of docs: doc_id, the base counts, base_failed, n_removed_words and kept.
 
     A line counts as frequent in more than min_docs distinct documents of its
     host and more than min_share of them; a document is depleted if less than
-    min_left of its words are left.
+    min_left of its words are left. frequent: what frequent_lines gave for docs
+    and these limits, if it is at hand.
     """
-    frequent = frequent_lines(docs, min_docs, min_share)
+    if frequent is None:
+        frequent = frequent_lines(docs, min_docs, min_share)
     removed = (
         _hashed(_with_lines(docs)).alias("d")
         .join(frequent.alias("f"), F.col("d._host").eqNullSafe(F.col("f._host")) & (F.col("d._line") == F.col("f._line")) & (F.col("d._id") != F.col("f._first")))
@@ -134,12 +136,12 @@ def verdicts(docs: DataFrame, min_docs: int = 10, min_share: float = 0.01, min_l
 
 def clean(docs: DataFrame, min_docs: int = 10, min_share: float = 0.01, min_left: float = 0.5) -> DataFrame:
     """docs without the rejected rows and, in the others, without the frequent lines; columns as in docs."""
-    frequent = frequent_lines(docs, min_docs, min_share)
+    frequent = stored(frequent_lines(docs, min_docs, min_share), "frequent")
     each = _hashed(_with_lines(docs)).alias("d").join(
         frequent.alias("f"), F.col("d._host").eqNullSafe(F.col("f._host")) & (F.col("d._line") == F.col("f._line")) & (F.col("d._id") != F.col("f._first"))
     )
     gone = each.groupBy(F.col("d._id").alias("_gid"), F.col("d._copy").alias("_gcopy")).agg(F.collect_set("d._line").alias("_gone"))
-    rejected = verdicts(docs, min_docs, min_share, min_left).where("not kept").select(F.col("doc_id").alias("_rid"), F.col("_copy").alias("_rcopy")).distinct()
+    rejected = verdicts(docs, min_docs, min_share, min_left, frequent).where("not kept").select(F.col("doc_id").alias("_rid"), F.col("_copy").alias("_rcopy")).distinct()
     marks = gone.join(rejected, F.col("_gid").eqNullSafe(F.col("_rid")) & (F.col("_gcopy") == F.col("_rcopy")), "full_outer").select(
         F.coalesce("_gid", "_rid").alias("_mid"), F.coalesce("_gcopy", "_rcopy").alias("_mcopy"), "_gone", F.col("_rcopy").isNotNull().alias("_out")
     )

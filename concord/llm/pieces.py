@@ -13,9 +13,11 @@ The scores are those of the model file. For a unigram model this is its own
 encoding; for a BPE model it is the best-scoring segmentation over its pieces,
 which its merges may not reach.
 
-Rows are dealt by chunk once: the words of a chunk and its documents, packed,
-meet in one task of bounded size. The piece table has the size of the vocabulary
-and is broadcast if it is under `broadcast_rows`.
+Nothing is shuffled: the substrings of a word follow each other out of explode and
+the broadcast join, so edges are grouped as they come, and the documents of a
+chunk, packed, follow its words through the plan. Rows are streamed; a task holds
+the words of one chunk. The piece table has the size of the vocabulary, at most
+`MOST_PIECES`, and is broadcast.
 
 Defined cases: null and empty texts have no pieces; words over `long_word`
 characters go through the same recurrence in Python, a word at a time, as arrays
@@ -32,7 +34,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ from concord.llm.wordhash import slices
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _NORMAL, _BYTE, _USER = 1, 6, 4
+MOST_PIECES = 1_000_000
 
 
 @cache
@@ -56,6 +58,8 @@ def model(path: str):
     if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or not spec.add_dummy_prefix:
         raise ValueError("only models without normalisation rules and with a dummy prefix are supported")
     table = [(i, p.piece, p.score) for i, p in enumerate(m.pieces) if p.type in (_NORMAL, _USER)]
+    if len(table) > MOST_PIECES:
+        raise ValueError(f"over {MOST_PIECES} pieces")
     bytes_ = [i for i, p in enumerate(m.pieces) if p.type == _BYTE]
     if len(bytes_) != 256 or bytes_[-1] - bytes_[0] != 255:
         raise ValueError("the model has no byte pieces in a row")
@@ -101,115 +105,159 @@ def decode(ids: list[int], path: str) -> str:
     return out[1:] if out[:1] == " " else out
 
 
-def _path(edges: Column, n: Column) -> Column:
-    """Ids along the best path over edges (end, start, score, id), sorted by end and start; every end has an edge."""
-    start = F.struct(
-        F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id"))).alias("done"),
-        F.lit(0).alias("end"), F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).alias("now"),
-    )
-
-    def step(a: Column, e: Column) -> Column:
-        new = e["end"] != a["end"]
-        done = F.when(new & (a["end"] > 0), F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
-        score = F.get(done, e["start"])["score"] + e["score"]
-        better = new | (score > a["now"]["score"])
-        return F.struct(done.alias("done"), e["end"].alias("end"), F.when(better, F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id"))).otherwise(a["now"]).alias("now"))
-
-    folded = F.aggregate(edges, start, step, lambda a: F.reverse(F.concat(a["done"], F.array(a["now"]))))
-    back = F.struct(n.alias("at"), n.alias("next"), F.array().cast("array<int>").alias("ids"))
+def _path(ends: Column) -> Column:
+    """Ids along the best path. ends: for each end from 1 on, the edges (start, score, id) that end there, at least one."""
+    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
 
-    def walk(a: Column, x: Column) -> Column:
-        on = a["at"] == a["next"]
-        return F.struct((a["at"] - 1).alias("at"), F.when(on, x["start"]).otherwise(a["next"]).alias("next"), F.when(on & (a["at"] > 0), F.concat(F.array(x["id"]), a["ids"])).otherwise(a["ids"]).alias("ids"))
+    def step(done: Column, edges: Column) -> Column:
+        # the best edge: by score, then by the earlier start
+        tried = F.transform(edges, lambda e: F.struct((F.get(done, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
+        chosen = F.transform(F.array(F.array_max(tried)), lambda x: F.struct(x["score"].alias("score"), F.concat(F.get(done, -x["back"])["ids"], F.array(x["id"])).alias("ids")))
+        return F.concat(done, chosen)
 
-    return F.aggregate(folded, back, walk, lambda a: a["ids"])
+    return F.aggregate(ends, begin, step, lambda done: F.element_at(done, -1)["ids"])
 
 
-def lattice(words: DataFrame, path: str, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """chunk, word and ids of words (chunk, word), which are partitioned by chunk, without repeats and not empty."""
+def lattice(words: DataFrame, path: str) -> DataFrame:
+    """word (its number), start, end, score and id of the edges of words (number, word, packed), in the order of words; rows of no word keep packed."""
     table, _, _, unknown = model(path)
     longest = max(len(t) for _, t, _ in table)
-    pieces = words.sparkSession.createDataFrame(table, "id int, piece string, score double")
-    if len(table) <= broadcast_rows:
-        pieces = F.broadcast(pieces)
-    at = words.select("chunk", "word", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", i, F.lit(longest)))).alias("start", "rest"))
-    spans = at.select("chunk", "word", "start", F.explode(F.transform(F.sequence(F.lit(1), F.length("rest")), lambda k: F.substring("rest", F.lit(1), k))).alias("piece"))
-    joined = spans.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.length("piece") == 1))
-    end = F.col("start") + F.length("piece")
-    edge = F.struct(end.alias("end"), "start", F.coalesce("score", F.lit(float(unknown))).alias("score"), F.coalesce("id", -F.ascii("piece")).alias("id"))
-    grouped = joined.groupBy("chunk", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    return grouped.select("chunk", "word", _path(F.col("edges"), F.length("word")).alias("ids"))
+    known = F.broadcast(words.sparkSession.createDataFrame(table, "id int, piece string, score double"))
+    # places and lengths are exploded as numbers and cut out in generated code
+    n = F.length("word")
+    at = words.select("number", "packed", "word", F.explode_outer(F.when(F.col("word").isNotNull(), F.sequence(F.lit(1), n))).alias("place"))
+    most = F.least(F.lit(longest), n - F.col("place") + 1)
+    spans = at.select("number", "packed", "word", "place", F.explode_outer(F.when(F.col("place").isNotNull(), F.sequence(F.lit(1), most))).alias("size"))
+    spans = spans.select("number", "packed", (F.col("place") - 1).alias("start"), F.substring("word", F.col("place"), F.col("size")).alias("piece"))
+    joined = spans.join(known, "piece", "left").where(F.col("id").isNotNull() | F.col("piece").isNull() | (F.length("piece") == 1))
+    return joined.select(
+        "number", "start", (F.col("start") + F.length("piece")).alias("end"), F.coalesce("score", F.lit(float(unknown))).alias("score"),
+        F.coalesce("id", -F.ascii("piece")).alias("id"), "packed",
+    )
 
 
-def _chunked(docs: DataFrame, path: str, long_word: int, chunk: int, words: bool) -> DataFrame:
-    """The distinct words of each chunk, or its documents, packed; chunks are runs of a task's rows, found alike by either scan."""
+_ENDS = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("score", pa.float64()), ("id", pa.int32())])))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size = TaskContext.get().partitionId() << 24, 0, 0
-        seen: set[str] = set()
 
-        def give() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), part + number)), pa.array(list(seen), pa.string())], names=["chunk", "word"])
+def _grouped(edges: DataFrame) -> DataFrame:
+    """ends of each word: for each end its edges, by start; edges of a word come one after another."""
+
+    def give(number: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
+        word = np.cumsum(np.append(False, number[1:] != number[:-1]))
+        order = np.lexsort((start, end, word))
+        word, end = word[order], end[order]
+        first = np.flatnonzero(np.append(True, (end[1:] != end[:-1]) | (word[1:] != word[:-1])))
+        inner = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x[order]) for x in (start, score, id_)], fields=list(_ENDS.value_type.value_type)))
+        outer = np.flatnonzero(np.append(True, word[first][1:] != word[first][:-1]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(outer, len(first)).astype(np.int32)), inner)
+        return pa.RecordBatch.from_arrays([lists, pa.array([None] * len(outer), pa.binary())], names=["ends", "packed"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            marks = np.flatnonzero(np.asarray(batch.column(5).is_valid()))
+            lo = 0
+            for hi in [*marks.tolist(), batch.num_rows]:
+                some = [c.to_numpy() for c in batch.slice(lo, hi - lo).columns[:5]] if hi > lo else None
+                if some is not None:
+                    some = [x.astype(t) for x, t in zip(some, (np.int64, np.int32, np.int32, np.float64, np.int32), strict=True)]
+                    held = some if held is None else [np.concatenate(x) for x in zip(held, some, strict=True)]
+                    last = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on
+                    if last:
+                        yield give(*[x[:last] for x in held])
+                        held = [x[last:] for x in held]
+                if hi < batch.num_rows:
+                    if held is not None:
+                        yield give(*held)
+                        held = None
+                    yield pa.RecordBatch.from_arrays([pa.array([None], _ENDS), batch.column(5).slice(hi, 1)], names=["ends", "packed"])
+                lo = hi + 1
+        if held is not None:
+            yield give(*held)
+
+    return edges.mapInArrow(group, "ends array<array<struct<start:int,score:double,id:int>>>, packed binary")
+
+
+def _words(texts: list[str], long_word: int) -> dict[str, int]:
+    """The distinct words of texts that go into the lattice, numbered as they come."""
+    out: dict[str, int] = {}
+    for t in texts:
+        for w in split(t):
+            if len(w) <= long_word:
+                out.setdefault(w, len(out))
+    return out
+
+
+def _chunks(docs: DataFrame, long_word: int, chunk: int) -> DataFrame:
+    """number and word of the distinct words of each chunk, then a row with its documents, packed."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            words = list(_words([t for b in held for t in b.column(1).to_pylist()], long_word))
+            for lo in range(0, len(words), 20_000):
+                some = words[lo : lo + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(some)), pa.int64()), pa.array(some, pa.string()), pa.array([None] * len(some), pa.binary())], names=["number", "word", "packed"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["number", "word", "packed"])
 
         for batch in batches:
             for some in slices(batch, 1):
+                held.append(some)
                 size += some.column(1).nbytes
-                if words:
-                    for t in some.column(1).to_pylist():
-                        seen.update(w for w in split(t) if len(w) <= long_word)
-                else:
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_batch(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([part + number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
                 if size > chunk:
-                    if seen:
-                        yield give()
-                    seen.clear()
-                    number, size = number + 1, 0
-        if seen:
-            yield give()
+                    yield from give()
+                    held, size = [], 0
+        if held:
+            yield from give()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(read, "chunk bigint, word string" if words else "chunk bigint, packed binary").repartition("chunk")
+    return rows.mapInArrow(read, "number bigint, word string, packed binary")
 
 
 ENCODED = "doc_id bigint, n_pieces bigint, n_bytes_pieces bigint, ids_crc32 bigint, round_trip boolean"
 
 
-def encode(docs: DataFrame, path: str, schema: str, give, long_word: int = 256, chunk: int = 12 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, schema: str, give, long_word: int = 256, chunk: int = 48 << 20) -> DataFrame:
     """give(doc_id, text, ids as little-endian unsigned 32-bit bytes) for each row of docs, as rows of schema."""
-    ids = lattice(_chunked(docs, path, long_word, chunk, True), path)
-    packed = _chunked(docs, path, long_word, chunk, False)
-    kinds = pa.schema([(x.split(" ")[0], {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[x.split(" ")[1]]) for x in schema.split(", ")])
+    grouped = _grouped(lattice(_chunks(docs, long_word, chunk), path))
+    paths = grouped.select(F.when(F.col("ends").isNotNull(), _path(F.col("ends"))).alias("ids"), "packed")
+    kinds = pa.schema([(x.split(" ")[0], {"bigint": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}[x.split(" ")[1]]) for x in schema.split(", ")])
 
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, first, _, _ = model(path)
-        known: dict[str, bytes] = {}
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = model(path)[1]
+        found: list[bytes] = []
 
-        def as_bytes(x: list[int] | np.ndarray) -> bytes:
-            if min(x) < 0:
-                x = [j for i in x for j in ([i] if i >= 0 else [first + b for b in chr(-i).encode()])]
-            return np.array(x, "<u4").tobytes()
+        def as_bytes(x: list[int]) -> bytes:
+            return np.array([j for i in x for j in ([i] if i >= 0 else [first + b for b in chr(-i).encode()])], "<u4").tobytes()
 
-        for batch in right.to_batches():
-            words, values = batch.column("word").to_pylist(), batch.column("ids")
-            flat, at = values.values.to_numpy(), values.offsets.to_numpy()
-            negative = np.add.reduceat(flat < 0, at[:-1]) > 0 if len(words) else []
+        for batch in batches:
+            ids = batch.column(0)
+            flat, at = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
             little = flat.astype("<u4").tobytes()
-            base = at[0] if len(at) else 0
-            del base
-            for w, a, b, odd in zip(words, at[:-1].tolist(), at[1:].tolist(), negative, strict=True):
-                known[w] = as_bytes(flat[a:b].tolist()) if odd else little[4 * a : 4 * b]
-        rows = []
-        for blob in left.column("packed").to_pylist():
-            for some in pa.ipc.open_stream(blob):
-                for doc, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    found = [known[w] if len(w) <= long_word else as_bytes(viterbi(w, path)) for w in split(text)]
-                    rows.append(give(doc, text, b"".join(found)))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds) if rows else kinds.empty_table()
-
-    return packed.groupBy("chunk").cogroup(ids.select("chunk", "word", "ids").groupBy("chunk")).applyInArrow(apply, schema)
+            odd = np.append(0, np.cumsum(flat < 0)).tolist()
+            for k, (valid, a, b) in enumerate(zip(np.asarray(ids.is_valid()).tolist(), at[:-1], at[1:], strict=True)):
+                if valid:
+                    found.append(little[4 * a : 4 * b] if odd[a] == odd[b] else as_bytes(flat[a:b].tolist()))
+                    continue
+                packed = [b for b in pa.ipc.open_stream(batch.column(1)[k].as_py())]
+                words = _words([t for b in packed for t in b.column(1).to_pylist()], long_word)
+                if len(words) != len(found):
+                    raise RuntimeError("the words of a chunk have lost their order")
+                known = dict(zip(words, found, strict=True))
+                found = []
+                for b in packed:
+                    rows = []
+                    for doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                        rows.append(give(doc, text, b"".join([known[w] if len(w) <= long_word else as_bytes(viterbi(w, path)) for w in split(text)])))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k_) for c, k_ in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+
+    return paths.mapInArrow(apply, schema)
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:

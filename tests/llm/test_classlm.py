@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import zlib
@@ -72,3 +73,7 @@ def test_exchange_never_lowers_the_likelihood():
 
 def test_no_rows(documents):
     assert classlm.score(documents([(1, "x")]).limit(0)).count() == 0
+
+
+def test_core_of_the_query():
+    assert inspect.signature(classlm.score).parameters["core"].default >= 2048

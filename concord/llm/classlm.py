@@ -8,17 +8,19 @@ score is the log10 probability of its words and of the end after them.
    bigram counts among them, each word in turn moves to the class that raises the
    likelihood of the class bigrams most, until few move. Classes are clustered
    again, by the same rule, into a few groups.
-3. All other words are told apart by the group whose words they follow most, and
-   make one class per group; class transitions are counted over all training
-   texts.
-4. Texts are scored in chunks of bounded size. The distinct words of a chunk look
-   up their count and class by a join, so a word of the corpus is looked up once
-   in a chunk and not once an occurrence, and no table that grows with the
-   vocabulary is broadcast.
+3. Each other word goes to one of these classes by the same gain, from counts of
+   the classes before and after it, with all words but itself where they are
+   after step 2 (words outside the core as one kind).
+4. Texts get their words' classes and counts in chunks of bounded size. The
+   distinct words of a chunk look them up by a join, so a word of the corpus is
+   looked up once in a chunk and not once an occurrence, and no table that grows
+   with the vocabulary is broadcast. Class transitions are counted over all
+   training texts from these classes, and texts are scored from them.
 
 Smoothing: transitions are interpolated with class frequencies; half a count of
 each word seen once is held back in its class for unknown words (one type);
-the result is mixed with the base model. Probabilities over the V words of the
+after unknown words stands what one of the group of the last known word's class
+would be; the result is mixed with the base model. Probabilities over the V words of the
 training texts and the unknown word sum to 1 after every history.
 
 Defined cases: null text is empty and scores as its end alone; a null id is held
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import stored, text_or_empty
-from concord.llm.wordhash import slices, word_hashes
+from concord.llm.wordhash import slices, text_buffers, word_hashes
 
 #: The hash that stands for the end of a text.
 END = -(1 << 63)
@@ -186,14 +188,121 @@ def exchange(counts: np.ndarray, classes: int, fixed: int = 0, passes: int = 6)
     return own
 
 
+def gains(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What the likelihood of class bigrams gains, by class, where one word of the other words moves there; a row per word.
+
+    pairs: bigrams of classes, with other words and the end last. counts: of each
+    word, what stands before it by class, what stands after it, and itself after
+    itself, which is in neither. The part that all classes share is left out.
+    """
+    k = len(pairs)
+    free, other = k - 2, k - 2
+    before, after, self_ = counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k :]
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1e-300))
+
+    out = np.zeros((len(counts), free))
+    for found, table in ((after, pairs[:free].T), (before, pairs[:, :free])):
+        found = found.copy()
+        found[:, other] = 0
+        word, slot = np.nonzero(found)
+        if len(word):
+            held = table[slot]
+            parts = f(held + found[word, slot][:, None]) - f(held)
+            begins = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[begins]] += np.add.reduceat(parts, begins)
+    # the word's neighbours lose it as one of the other words
+    b, a = before[:, :free], after[:, :free]
+    for lost, table, found in ((b, pairs[:free, other], after), (a, pairs[other, :free], before)):
+        held = table - lost
+        out += f(held + found[:, other : other + 1]) - f(held)
+    word, own = np.nonzero((a > 0) & (b > 0) | (self_ > 0))
+    inner, r, c = np.diag(pairs)[own], a[word, own], b[word, own]
+    out[word, own] += f(inner + r + c + self_[word, 0]) - f(inner + r) - f(inner + c) + f(inner)
+    for total, found in ((pairs.sum(axis=1)[:free], after), (pairs.sum(axis=0)[:free], before)):
+        out -= f(total + found.sum(axis=1, keepdims=True) + self_) - f(total)
+    return out
+
+
+def _beside(texts: DataFrame, ascending: np.ndarray, order: np.ndarray, own: np.ndarray, k: int, most: int = 2_000_000) -> DataFrame:
+    """word and seen, for words outside the core: its neighbours by class, as 32-bit numbers of place (10 bits) and count."""
+    kinds = own.astype(np.int16)  # of the core, other words and the end
+
+    def packed(words: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+        word, where = np.unique(np.concatenate(words), return_inverse=True)
+        code, n = np.unique(where * 1024 + np.concatenate(places), return_counts=True)
+        at = np.append(np.flatnonzero(np.diff(code >> 10, prepend=-1)), len(code)).astype(np.int32) * 4
+        entries = ((code & 1023) << 22 | n).astype(np.uint32)
+        seen = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(at), pa.py_buffer(entries)])
+        return pa.RecordBatch.from_arrays([pa.array(word), seen], names=["word", "seen"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, places, held = [], [], 0
+        for batch in batches:
+            for some in slices(batch, 2):
+                tokens, _ = _tokens(some, 2)
+                kind = kinds[_ids(tokens, ascending, order)]
+                at = np.flatnonzero(kind == k - 2)  # never the last: that is an end
+                word, before, after = tokens[at], np.concatenate([[k - 1], kind[:-1]])[at], kind[at + 1] + k
+                after[tokens[at + 1] == word] = 2 * k
+                first = (at == 0) | (tokens[at - 1] != word)
+                words += [word[first], word]
+                places += [before[first].astype(np.int16), after.astype(np.int16)]
+                held += 2 * len(word)
+                if held > most:  # counts have 22 bits
+                    yield packed(words, places)
+                    words, places, held = [], [], 0
+        if held:
+            yield packed(words, places)
+
+    return texts.mapInArrow(read, "word bigint, seen binary")
+
+
+def assigned(texts: DataFrame, ascending: np.ndarray, order: np.ndarray, own: np.ndarray, between: np.ndarray) -> DataFrame:
+    """word, n and cls of the words outside the core: each in the class of the largest gain, the others' as they are."""
+    k = len(between)
+
+    def best(words: np.ndarray, owner: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+        size = 2 * k + 1
+        code = owner * size + (entries >> np.uint32(22)).astype(np.int64)
+        counts = np.bincount(code, weights=(entries & np.uint32((1 << 22) - 1)).astype(np.float64), minlength=len(words) * size).reshape(-1, size)
+        cls = np.concatenate([gains(between, counts[lo : lo + 1024]).argmax(axis=1) for lo in range(0, len(words), 1024)])
+        n = counts[:, :k].sum(axis=1) + counts[:, 2 * k]
+        return _emit(["word", "n", "cls"], words, n.astype(np.int64), cls.astype(np.int32))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, kept = np.zeros(0, np.int64), np.zeros(0, np.uint32)  # rows of the last word, which may go on
+        lengths = np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, at = text_buffers(batch.column(1))
+            words = np.concatenate([rest, batch.column(0).to_numpy()])
+            entries = np.concatenate([kept, data.view(np.uint32)])
+            lengths = np.concatenate([lengths, np.diff(at) // 4])
+            begins = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            cut = begins[-1]
+            where = int(lengths[:cut].sum())
+            if cut:
+                owner = np.repeat(np.arange(len(begins) - 1), np.add.reduceat(lengths[:cut], begins[:-1]))
+                yield best(words[begins[:-1]], owner, entries[:where])
+            rest, kept, lengths = words[cut:], entries[where:], lengths[cut:]
+        if len(rest):
+            yield best(rest[:1], np.zeros(len(kept), np.int64), kept)
+
+    beside = _beside(texts, ascending, order, own, k)
+    return beside.repartition("word").sortWithinPartitions("word").mapInArrow(read, "word bigint, n bigint, cls int")
+
+
 def score(docs: DataFrame, core: int = 2048, classes: int = 64, groups: int = 8, mixture: float = 0.9, chunk: int = 24 << 20) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     texts = _texts(docs)
     train = texts.where(~F.col("held_out"))
     vocabulary = stored(word_counts(train), "words")
-    totals = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).head()
-    n_train, n_types = int(totals["n"] or 0), int(totals["v"])
+    totals = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends")).head()
+    n_train, n_types, n_ends = int(totals["n"] or 0), int(totals["v"]), int(totals["ends"] or 0)
 
     top = vocabulary.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(core).collect()
     words = np.array([r["word"] for r in top], np.int64)
@@ -204,65 +313,23 @@ def score(docs: DataFrame, core: int = 2048, classes: int = 64, groups: int = 8,
     member = np.zeros((len(own), classes + 2))
     member[np.arange(len(own)), own] = 1
     between = member.T @ counts @ member
-    group = np.append(exchange(between[: classes + 1, : classes + 1], groups, fixed=1)[:classes], -1)
-    #: classes: the core's, one of other words for each group, the end
-    k, end = classes + groups + 1, classes + groups
-    core_class = own[: len(words)]
-
-    def states(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class (-1: other words) of each token, group of the text that most core words are in."""
-        ids = _ids(tokens, ascending, order)
-        cls = np.where(ids == len(words) + 1, end, np.append(core_class, [-1, end])[ids])
-        known = (cls >= 0) & (cls != end)
-        texts_ = int(owner[-1]) + 1
-        votes = np.bincount(owner[known] * groups + group[cls[known]], minlength=texts_ * groups).reshape(texts_, groups)
-        return cls, votes.argmax(axis=1), known
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, names = np.zeros(k * k, np.int64), ["word", "group", "n"]
-        held: dict[int, _Counts] = {g: _Counts(2_000_000 // groups) for g in range(groups)}
-        for batch in batches:
-            for some in slices(batch, 2):
-                tokens, owner = _tokens(some, 2)
-                cls, text_group, _ = states(tokens, owner)
-                of = text_group[owner]
-                other = cls < 0
-                typed = np.where(other, classes + of, cls)
-                before = np.concatenate([[end], typed[:-1]])
-                links += np.bincount(before * k + typed, minlength=k * k)
-                for g in np.unique(of[other]):
-                    if full := held[int(g)].add(tokens[other & (of == g)]):
-                        yield _emit(names, full[0], np.full(len(full[0]), g), full[1])
-        for g, own_counts in held.items():
-            if full := own_counts.rest():
-                yield _emit(names, full[0], np.full(len(full[0]), g), full[1])
-        at = np.flatnonzero(links)
-        yield _emit(names, at, np.full(len(at), -1), links[at])
+    #: classes: of words, and the end; then what stands for an unknown word after a group of classes
+    k, end = classes + 1, classes
+    group = np.append(exchange(between[: classes + 1, : classes + 1], groups, fixed=1)[:classes], groups)
 
-    found = stored(train.mapInArrow(read, "word bigint, group bigint, n bigint").groupBy("word", "group").agg(F.sum("n").alias("n")), "follow")
-    pairs = found.where("group = -1").select("word", "n").toPandas()  # k * k rows at most
-    moves = np.zeros(k * k)
-    moves[pairs["word"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.float64)
-    moves = moves.reshape(k, k)
-
-    fixed = spark.createDataFrame([(int(w), int(c)) for w, c in zip(words, core_class, strict=True)] + [(END, end)], "core_word bigint, core_class int")
-    tail = found.where("group >= 0").groupBy("word").agg(F.max_by("group", F.struct("n", "group")).alias("group"))
-    lexicon = (
-        vocabulary.join(tail, "word", "left").join(fixed, F.col("word") == F.col("core_word"), "left")
-        .select("word", "n", F.coalesce("core_class", (F.lit(classes) + F.col("group")).cast("int")).alias("cls"))
-    )
+    fixed = [(int(r["word"]), int(r["n"]), int(c)) for r, c in zip(top, own, strict=False)] + ([(END, n_ends, end)] if n_ends else [])
+    lexicon = assigned(train, ascending, order, own, between).unionByName(spark.createDataFrame(fixed, "word bigint, n bigint, cls int"))
     lexicon = stored(lexicon, "lexicon")
     sizes = lexicon.groupBy("cls").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).toPandas()  # k rows at most
     size, once = np.zeros(k), np.zeros(k)
     size[sizes["cls"].to_numpy(int)], once[sizes["cls"].to_numpy(int)] = sizes["n"].to_numpy(float), sizes["once"].to_numpy(float)
     once[end] = 0
     share = (size / size.sum()) if size.sum() else np.full(k, 1 / k)
-    moves = (moves + 10 * share) / (moves.sum(axis=1, keepdims=True) + 10)
     with np.errstate(divide="ignore", invalid="ignore"):
         unseen = np.where(size > 0, 0.5 * once / size, 1.0)
-    unknown = moves @ unseen
     log_base = np.log10(n_train + 0.5 * (n_types + 1))
-    class_group = np.concatenate([group[:classes], np.arange(groups), [-1]])
+    cls_type, n_type = np.dtype(np.uint8 if k < 255 else np.uint16), np.dtype(np.uint32 if n_train < 1 << 32 else np.uint64)
+    unknown_word = np.iinfo(cls_type).max
 
     bytes_ = texts.agg(F.avg(F.octet_length("text"))).head()[0] or 1.0
     rows_each = max(1, int(chunk / max(bytes_, 1.0)))
@@ -296,42 +363,71 @@ def score(docs: DataFrame, core: int = 2048, classes: int = 64, groups: int = 8,
     asked = dealt.mapInArrow(distinct, "chunk bigint, word bigint")
     answers = asked.join(lexicon, "word").select("chunk", "word", "n", "cls")
 
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+    def coded(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The class and count of each token, as bytes."""
         known_words = right.column("word").to_numpy()
         by = np.argsort(known_words)
         known_words, known_n, known_cls = known_words[by], right.column("n").to_numpy()[by], right.column("cls").to_numpy()[by]
-        out: list[tuple] = []
+        out = []
         for batch in left.to_batches():
             for some in slices(batch, 2):
                 tokens, owner = _tokens(some, 2)
                 at = np.minimum(np.searchsorted(known_words, tokens), max(len(known_words) - 1, 0))
                 hit = (known_words[at] == tokens) if len(known_words) else np.zeros(len(tokens), bool)
-                n = np.where(hit, known_n[at] if len(known_words) else 0, 0)
-                cls = np.where(hit, known_cls[at] if len(known_words) else 0, -1)
+                n = np.where(hit, known_n[at] if len(known_words) else 0, 0).astype(n_type)
+                cls = np.where(hit, known_cls[at] if len(known_words) else 0, unknown_word).astype(cls_type)
+                begins = np.searchsorted(owner, np.arange(some.num_rows + 1)).astype(np.int32)
+                held = [pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer(begins * x.itemsize), pa.py_buffer(x)]) for x in (cls, n)]
+                out.append(pa.RecordBatch.from_arrays([some.column(0), some.column(1), *held], schema=coded_schema))
+        return pa.Table.from_batches(out, coded_schema)
+
+    coded_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("classes", pa.binary()), ("counts", pa.binary())])
+    both = dealt.select("doc_id", "held_out", "text", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    codes = stored(both.applyInArrow(coded, "doc_id bigint, held_out boolean, classes binary, counts binary"), "codes")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for some in slices(batch, 0):
+                cls = text_buffers(some.column(0))[0].view(cls_type).astype(np.int64)
+                links += np.bincount(np.concatenate([[end], cls[:-1]]) * k + cls, minlength=k * k)
+        at = np.flatnonzero(links)
+        yield _emit(["code", "n"], at, links[at])
+
+    rows = codes.where(~F.col("held_out")).select("classes").mapInArrow(follow, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # k * k rows at most
+    moves = np.zeros(k * k)
+    moves[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
+    moves = moves.reshape(k, k)
+    moves = (moves + 10 * share) / (moves.sum(axis=1, keepdims=True) + 10)
+    # after unknown words: the classes of one that follows the group of the last known word
+    unknown_cls = np.zeros((groups + 1, k))
+    np.add.at(unknown_cls, group, np.maximum(size, 1e-9)[:, None] * moves * unseen)
+    sums = unknown_cls.sum(axis=1, keepdims=True)
+    unknown_cls = np.where(sums > 0, unknown_cls / np.where(sums > 0, sums, 1), share)
+    moves = np.concatenate([moves, unknown_cls @ moves])
+    unknown = moves @ unseen
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 2, 1 << 18):
+                stored_cls, at = text_buffers(some.column(2))
+                cls = stored_cls.view(cls_type).astype(np.int64)
+                n = text_buffers(some.column(3))[0].view(n_type).astype(np.float64)
+                begins = at[:-1] // cls_type.itemsize
+                hit = cls != unknown_word
+                cls = np.where(hit, cls, 0)
                 base = np.log10(n + 0.5) - log_base
-                # the state after an unknown word: other words of the group of the last known one
-                place = np.where(hit, np.arange(len(tokens)), -1)
-                last = np.maximum.accumulate(place)
+                last = np.maximum.accumulate(np.where(hit, np.arange(len(cls)), -1))
                 state = np.where(last >= 0, cls[np.maximum(last, 0)], end)
-                state = np.where(hit | (class_group[state] < 0), state, classes + class_group[state])
+                state = np.where(hit, state, k + group[state])
                 before = np.concatenate([[end], state[:-1]])
                 emitted = (n - 0.5 * ((n == 1) & (cls != end))) / np.maximum(size[cls], 1)
                 model = np.where(hit, moves[before, cls] * emitted, unknown[before])
                 mixed = np.log10(mixture * model + (1 - mixture) * 10.0**base) if n_train else base
-                ends = np.flatnonzero(tokens == END)
-                begins = np.concatenate([[0], ends[:-1] + 1])
                 add = lambda x: np.add.reduceat(x, begins)
-                out.append((some.column(0).to_pylist(), some.column(1).to_pylist(), ends - begins + 1, add(hit.astype(np.int64)), add(base), add(mixed)))
-        rows = [np.concatenate([o[j] for o in out]) for j in range(2, 6)]
-        ids, flags = ([x for o in out for x in o[j]] for j in range(2))
-        return pa.table(
-            [pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(rows[0]), pa.array(rows[1]), pa.array(np.full(len(ids), n_train)), pa.array(rows[2]), pa.array(rows[3])],
-            names=[x.split(" ")[0] for x in SCORES.split(", ")],
-        )
-
-    def apply_all(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
-        return apply(left, right)
-
-    return dealt.select("doc_id", "held_out", "text", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply_all, SCORES)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(np.diff(at) // cls_type.itemsize), pa.array(add(hit.astype(np.int64))), pa.array(np.full(some.num_rows, n_train)), pa.array(add(base)), pa.array(add(mixed))],
+                    names=[x.split(" ")[0] for x in SCORES.split(", ")],
+                )
+
+    return codes.mapInArrow(apply, SCORES)

@@ -75,5 +75,54 @@ def test_no_rows(documents):
     assert classlm.score(documents([(1, "x")]).limit(0)).count() == 0
 
 
+def test_gains_are_differences_of_likelihood():
+    """Moves of one word out of the other words, held against the likelihood of all bigrams."""
+    counts = np.random.default_rng(3).poisson(0.7, (14, 14)).astype(float)
+    own = np.array([0, 1, 2, 0, 1, 2, *[3] * 7, 4])  # 3: other words, 4: the end
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+
+    def likelihood(own):
+        pairs = np.eye(5)[own].T @ counts @ np.eye(5)[own]
+        return f(pairs) - f(pairs.sum(0)) - f(pairs.sum(1))
+
+    member = np.eye(5)[own]
+    for w in range(6, 13):
+        after, before, self_ = counts[w] @ member, counts[:, w] @ member, counts[w, w]
+        after[3] -= self_
+        before[3] -= self_
+        got = classlm.gains(member.T @ counts @ member, np.concatenate([before, after, [self_]])[None])[0]
+        expected = np.array([likelihood(np.where(np.arange(14) == w, b, own)) for b in range(3)])
+        assert np.allclose(got - got[0], expected - expected[0])
+
+
+def _lexicon(texts, core, classes):
+    train = classlm._texts(texts).where("not held_out")
+    top = classlm.word_counts(train).where(f"word != {classlm.END}").orderBy("n", "word", ascending=[False, True]).limit(core).collect()
+    words = np.array([r["word"] for r in top], np.int64)
+    order = np.argsort(words)
+    counts = classlm.bigrams(train, words[order], order)
+    own = classlm.exchange(counts, classes, fixed=2)
+    member = np.eye(classes + 2)[own]
+    found = classlm.assigned(train, words[order], order, own, member.T @ counts @ member)
+    return {r["word"]: (r["n"], r["cls"]) for r in found.collect()}, dict(zip(words.tolist(), own, strict=False))
+
+
+def test_rare_words_are_classed_by_their_neighbours(documents):
+    """One text holds rare words of both kinds, each between the common words of the other kind."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 != 1][:200]
+    rows = [(i, " ".join(rng.choice([f"n{k}" for k in range(8)] if j % 2 else [f"v{k}" for k in range(8)]) for j in range(40))) for i in ids]
+    rare = [f"rn{k}" for k in range(10)], [f"rv{k}" for k in range(10)]
+    rows[0] = (ids[0], " ".join([f"v1 {w} v2 n3" for w in rare[0]] + [f"n1 {w} n2 v3" for w in rare[1]] + ["twice twice"]))
+    found, common = _lexicon(documents(rows), 16, 2)
+    key = lambda w: int(classlm.word_hashes(pa.array([w]))[0].view(np.int64)[0])
+    for names, like in zip(rare, ("n1", "v1"), strict=True):
+        assert {found[key(w)] for w in names} == {(1, common[key(like)])}
+    assert found[key("twice")][0] == 2
+    assert common[key("n1")] != common[key("v1")] and len(found) == 21
+
+
 def test_core_of_the_query():
     assert inspect.signature(classlm.score).parameters["core"].default >= 2048

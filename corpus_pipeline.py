@@ -40,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    found = jaccard.similar(docs, size=3, percent=90)
+    found = jaccard.similar(docs, size=5, percent=80)
     gone = stored(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
     flat = bitmap(gone.select(F.xxhash64("doc_id").alias("key")), "key", 25)
     held, rest = split_by_bitmap(docs, F.xxhash64("doc_id"), flat)  # only what may go is joined

@@ -30,3 +30,14 @@ def test_stages(spark, documents):
     assert "long enough" not in kept["suffix_dedup"][3] + kept["suffix_dedup"][4]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert set(Counter(r["doc_id"] for r in packed)) == set(kept["suffix_dedup"])
+
+
+def test_jaccard_stage_takes_copies_from_four_fifths(spark, documents):
+    words = [f"w{k}" for k in range(200)]
+    copies = {
+        1: [*words, *(f"x{k}" for k in range(40))],  # five-word shingles 196 of 236
+        2: [*words[:60], "other", *words[61:140], "new", *words[141:]],  # 186 of 206
+        3: [*words, *(f"y{k}" for k in range(60))],  # 196 of 256, and 196 of 296 with 1
+    }
+    docs = documents([(0, " ".join(words)), *((k, " ".join(w)) for k, w in copies.items())])
+    assert {r["doc_id"] for r in corpus_pipeline.ngram_jaccard(spark, docs, "").collect()} == {0, 3}

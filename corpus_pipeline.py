@@ -39,12 +39,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    found = jaccard.similar(docs, size=5, percent=80)
-    gone = stored(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
-    flat = bitmap(gone.select(F.xxhash64("doc_id").alias("key")), "key", 25)
-    held, rest = split_by_bitmap(docs, F.xxhash64("doc_id"), flat)  # only what may go is joined
-    return rest.unionByName(held.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    """Of each group of linked rows one stays: that with the smallest id (null last), then by a hash; of equal ids and texts, one row."""
+    id_ = F.col("doc_id")
+    keyed = docs.withColumn("__key", F.xxhash64(id_.isNull(), id_, F.coalesce(F.col("text"), F.lit(""))))
+    found = stored(jaccard.similar(keyed.select(F.col("__key").alias("doc_id"), "text"), size=5, percent=80), "found")
+    rows = found.where("n_shingles > 0").selectExpr("doc_id AS __key", "component_id AS component", "1 AS n", "component_id != doc_id AS linked")
+    firsts = rows.where("linked").selectExpr("component AS __key", "component", "0 AS n", "linked")
+    members = rows.unionByName(firsts).groupBy("__key").agg(F.min("component").alias("component"), F.sum("n").alias("n"), F.max("linked").alias("linked"))
+    members = stored(members.where("linked OR n > 1").select("__key", "component"), "members")
+    flat = bitmap(members.select("__key"), "__key", 25)
+    held, rest = split_by_bitmap(keyed, F.col("__key"), flat)  # only what may go is joined
+    named = held.groupBy("__key").agg(F.first("doc_id").alias("doc_id")).join(members, "__key")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("one")
+    kept = named.groupBy("component").agg(one).select(F.col("one.__key").alias("__key"))
+    fates = stored(members.join(kept.withColumn("stays", F.lit(True)), "__key", "left").select("__key", F.coalesce("stays", F.lit(False)).alias("stays")), "fates")
+    judged = held.join(fates, "__key", "left")
+    stay = judged.where("stays IS NULL").unionByName(judged.where("stays").dropDuplicates(["__key"]))
+    return rest.select(*docs.columns).unionByName(stay.select(*docs.columns))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

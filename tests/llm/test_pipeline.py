@@ -41,3 +41,16 @@ def test_jaccard_stage_takes_copies_from_four_fifths(spark, documents):
     }
     docs = documents([(0, " ".join(words)), *((k, " ".join(w)) for k, w in copies.items())])
     assert {r["doc_id"] for r in corpus_pipeline.ngram_jaccard(spark, docs, "").collect()} == {0, 3}
+
+
+def test_one_row_of_a_group_goes_on(spark, documents):
+    text = lambda x, n=90: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, text("a"))] * 3  # repeated rows
+    rows += [(2, text("b")), (2, text("c")), (3, text("c")), (0, text("c"))]  # two texts of one id, one of them a copy
+    rows += [(None, text("d")), (None, text("d")), (4, text("e")), (None, text("e") + " more")]
+    rows += [(5, ""), (5, ""), (None, None), (6, text("f"))]
+    out = corpus_pipeline.ngram_jaccard(spark, documents(rows), "")
+    expected = [(1, text("a")), (2, text("b")), (0, text("c")), (None, text("d")), (4, text("e")), (5, ""), (5, ""), (None, None), (6, text("f"))]
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(expected)
+    left = corpus_pipeline.suffix_dedup(spark, spark.createDataFrame(out.collect(), out.schema), "").collect()
+    assert [r["text"] for r in left if r["doc_id"] == 1] == [text("a")]

@@ -6,7 +6,6 @@
    the driver. Lengths are placed longest first, each into the shortest open pack
    that has room; what is kept is how many packs have each pattern of lengths, so
    the work depends on the sequence length and not on the number of documents.
-   With `cut`, packs that would stay short are filled by cutting pieces.
 3. Patterns are joined back to the pieces by rank: the k-th piece of a length
    takes the k-th slot that patterns have for it. Ranks are sums over
    (partition, length) counts plus the place within the partition, so a length
@@ -27,7 +26,6 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import stored
+from concord.llm.common import stored, text_or_empty
+from concord.llm.wordhash import slices
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, place bigint"
 PACKED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-#: White space before a space, or a space before white space: there a split at spaces could part a token.
-_UNSAFE = re.compile(r"\s (?:\s|$)")
-#: Characters of words that a worker keeps the ids of.
-_CACHE_CHARS = 8_000_000
-
+#: A run of white space over which the merge loop's pattern would run out of stack; the tokenizer itself takes such texts.
+_LONG_SPACE = re.compile(r"\s{1000}")
 
 #: The published split of byte-level BPE into pre-tokens: a fixed value.
 BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -57,13 +53,13 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes; words between spaces are encoded once and remembered.
+    """Ids as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE pre-tokens never reach over the start of a space that follows
-    a word, so a text's ids are those of its words, each with its space. New words
-    go to tiktoken's merge loop, built from the same tokenizer file, which gives
-    the same ids several times as fast, if the file's merges are in the order
-    of their ids; else to the tokenizer itself.
+    Texts go to tiktoken's merge loop, built from the same tokenizer file, which
+    gives the same ids several times as fast, if the file's merges are in the order
+    of their ids; else to the tokenizer itself, which also takes texts that may
+    hold special tokens or very long runs of white space. Nothing is kept between
+    texts.
     """
 
     def __init__(self, path: str):
@@ -72,12 +68,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.fast = self._merges()
-        #: For each id, whether its bytes start with a space.
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.chars = 0
 
     def _merges(self):
         about = json.loads(self.tokenizer.to_str())
@@ -94,31 +84,10 @@ class Encoder:
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
         return tiktoken.Encoding("merges", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        if self.fast and not any("<|" in t for t in texts):
-            return [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], words: list[str], joined: bool) -> None:
-        """joined: each word follows a space; then one text holds all of them, parted where an id starts with a space."""
-        found: list[bytes] = []
-        if words and joined:
-            ids = self._whole([" " + " ".join(words)])[0]
-            at = [*(4 * np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")])).tolist(), len(ids)]
-            found = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
-        if len(found) != len(words):
-            found = self._whole([" " * joined + w for w in words])
-        known.update(zip(words, found, strict=True))
-        self.chars += sum(map(len, words)) + 16 * len(words)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.chars > 4 * _CACHE_CHARS:
-            self.first, self.rest, self.chars = {}, {}, 0
-        split = [None if _UNSAFE.search(t) or "<|" in t else t.split(" ") for t in texts]
-        self._learn(self.first, [w for w in {s[0] for s in split if s} if w not in self.first], False)
-        self._learn(self.rest, [w for w in set(chain.from_iterable(s[1:] for s in split if s)) if w not in self.rest], True)
-        rest = self.rest.__getitem__
-        return [self._whole([t])[0] if s is None else self.first[s[0]] + b"".join(map(rest, s[1:])) for t, s in zip(texts, split, strict=True)]
+    def encode(self, text: str) -> bytes:
+        if self.fast and "<|" not in text and not _LONG_SPACE.search(text):
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -136,11 +105,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 1) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen, tail = encoder(tokenizer), TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                some = batch.slice(lo, 64)
+            for some in slices(batch, 1):
                 rows: list[tuple] = []
-                for doc, ids in zip(some.column(0).to_pylist(), enc.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    view = memoryview(ids + tail)
+                for doc, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    view = memoryview(enc.encode(text) + tail)
                     n = len(view) // 4
                     for start in range(0, n, size):
                         length = min(size, n - start)
@@ -150,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 1) -> DataF
                 kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:

@@ -18,7 +18,12 @@ ENCODER = packing.Encoder(PATH)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t 'aB9é漢.<|endoftxt>"), st.characters(codec="utf-8")), max_size=60))
 def test_ids_are_the_tokenizers(text):
     assert ENCODER.fast is not None
-    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_are_the_tokenizers():
+    for text in (" " * 200_000 + "a", "\n" * 200_000, " \n" * 100_000 + "x", "a" * 200_000, "=-" * 100_000, "x" + " " * 999 + "y"):
+        assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)

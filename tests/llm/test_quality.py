@@ -34,7 +34,7 @@ def brute(rows, min_docs, min_share, min_left):
 def test_against_brute_force(documents):
     rows = [(k, f"Boiler  PLATE {k}9 line " + "x " * 40 + f"\n{LONG} {k}\n\n", "a") for k in range(8)]
     rows += [(20 + k, f"{LONG} unique {k}\nsame\nsame\n### $", "a") for k in range(3)]
-    rows += [(30, None, "a"), (31, "", "b"), (32, "a b a b a b a b " * 20, None), (33, LONG, None), (33, LONG, None), (34, LONG * 2000, "c")]
+    rows += [(30, None, "a"), (31, "", "b"), (32, "a b a b a b a b " * 20, None), (33, LONG, None), (33, LONG, None), (34, LONG * 2000, "c"), (35, "p q r " + " ".join(f"u{k}" for k in range(70_000)) + " p q r", "c"), (36, "ÀÉ\tÜ  A9\x0bB İ" * 9, "c")]
     df = documents(rows, kept=1, n_words="x")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     got = sorted([tuple(r) for r in quality.verdicts(df, 3, 0.01, 0.5).select(*names).collect()], key=str)
@@ -43,7 +43,7 @@ def test_against_brute_force(documents):
 
 def test_clean_keeps_first_and_columns(documents):
     rows = [(k, f"plate {k} line here\n{LONG} {chr(97 + k)}", "a") for k in range(8)]
-    df = documents(rows, kept="mine")
+    df = documents(rows, kept="mine", _out=True, _gone="mine", _row=1, _mid=2)
     out = {r["doc_id"]: r for r in quality.clean(df, 3, 0.01, 0.5).collect()}
     assert quality.clean(df).columns == df.columns
     assert len(out) == 8 and out[0]["kept"] == "mine"

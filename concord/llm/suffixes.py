@@ -6,11 +6,12 @@ which depends on the string alone; so equal strings meet under equal anchors.
 Strings of a text with one anchor are neighbours and form a context.
 
 1. All anchors and the hashes of their contexts are counted.
-2. Contexts found twice or more go as a whole. What is left are anchors with
+2. Contexts found twice or more, by the 128 bits of anchor and context, go as a whole. What is left are anchors with
    different contexts: their distinct texts are gathered, in buckets of about
-   `bucket` bytes, and each bucket's suffixes are sorted by linear grouping
-   construction (`suffix_array`). Starts in suffix order whose next `length` bytes
-   equal those of a neighbour are repeats.
+   `bucket` bytes, and the suffixes of each anchor's texts are sorted by linear
+   grouping construction: short ones of a bucket in step, as array operations
+   (`suffix_arrays`), long ones one by one (`suffix_array`). Starts in suffix order
+   whose next `length` bytes equal those of a neighbour are repeats.
 3. An anchor with more than `block` distinct contexts is dealt over blocks, each
    sorted by itself. Blocks then exchange hashes of one start of each string
    they hold, dealt by the hash into parts of bounded size, and what two blocks
@@ -30,10 +31,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import bitmap, in_bitmap, split_by_bitmap, stored, text_or_empty
@@ -42,6 +44,7 @@ from concord.llm.wordhash import _LETTERS, _powers, mix, slices, text_buffers
 _ODD1, _ODD2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _PLACES = "doc bigint, copy bigint, a bigint, c bigint, start bigint, size int, context binary"
 _RUNS = "a bigint, c bigint, runs array<int>"
+_MOST_TASKS = 20_000
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -130,6 +133,124 @@ def suffix_array(text: bytes) -> list[int]:
     return out[1:]
 
 
+def suffix_arrays(texts: list[bytes]) -> list[np.ndarray]:
+    """`suffix_array` of each text, by the same construction in step: the k-th highest group of every text is one array operation.
+
+    Each text stands between a guard, where chains of pointers end, and its empty
+    suffix. Members that point within their group double their pointers.
+    """
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(lengths + 2) - lengths - 1
+    end, total = begin + lengths, int((lengths + 2).sum())
+    letters = np.frombuffer(b"".join(b"\0" + t + b"\0" for t in texts), np.uint8).astype(np.int64) + 1
+    letters[end] = 0
+    text_of = np.repeat(np.arange(len(texts)), lengths + 2)
+    at = np.delete(np.arange(total), begin - 1)
+
+    def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places by their keys, these keys, and where a key is first."""
+        code = np.sort(keys[at] * total + at)
+        key, where = np.divmod(code, total)
+        return where, key, np.flatnonzero(np.diff(key, prepend=-1))
+
+    where, key, first = ranked(text_of * 257 + letters)
+    used, n = len(at), len(first)
+    pool = np.empty(2 * total, np.int32)  # members of groups, each group's in a row; some have left
+    pool[:used] = where
+    room = 2 * n
+    start, size, live, lower, upper, step_of = (np.zeros(room, np.int32) for _ in range(6))
+    start[:n] = first
+    size[:n] = live[:n] = np.diff(np.append(first, used))
+    ids, same = np.arange(n), np.append(False, np.diff(key[first] // 257) == 0)
+    lower[:n] = np.where(same, ids - 1, -1)
+    upper[:n] = np.where(np.append(same[1:], False), ids + 1, -1)
+    group = np.full(total, -1, np.int32)
+    group[where] = np.repeat(ids, size[:n])
+    before, done = np.zeros(total, np.int32), np.zeros(total, bool)
+    current, step = ids[upper[:n] < 0], 0
+    while len(current):
+        step += 1
+        step_of[current] = step
+        some = size[current]
+        i = pool[np.repeat(start[current] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))]
+        g = np.repeat(current, some)
+        own = group[i] == g
+        i, g = i[own], g[own]
+        p = i - 1
+        m = np.flatnonzero(done[p])
+        while len(m):
+            p[m] = q = before[p[m]]
+            m = m[done[q]]
+        before[i] = p
+        m = np.flatnonzero(group[p] == g)
+        while len(m):
+            p[m] = q = before[p[m]]
+            before[i[m]] = q
+            m = m[group[q] == g[m]]
+        done[i] = True
+        q = np.sort(p[group[p] >= 0])
+        if len(q):
+            first = np.flatnonzero(np.diff(q, prepend=-1))
+            count = np.diff(np.append(first, len(q)))
+            q = q[first]
+            code = group[q].astype(np.int64) * (int(count.max()) + 1) + count
+            by = np.argsort(code, kind="stable")
+            q, code = q[by], code[by]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            each, h = np.diff(np.append(first, len(q))), group[q[first]]
+            opens = np.flatnonzero(np.diff(h, prepend=-1))
+            stay = np.zeros(len(first), bool)
+            stay[opens] = np.add.reduceat(each, opens) == live[h[opens]]  # all grow: those that grow least stay
+            q = q[np.repeat(~stay, each)]
+            each, h = each[~stay], h[~stay]
+        if len(q):
+            while n + len(h) > room:
+                start, size, live, lower, upper, step_of = (np.concatenate([x, np.zeros(room, np.int32)]) for x in (start, size, live, lower, upper, step_of))
+                room *= 2
+            new = np.arange(n, n + len(h))
+            n += len(h)
+            opens = np.diff(h, prepend=-1) != 0
+            o, closes = np.flatnonzero(opens), np.append(opens[1:], True)
+            live[h[o]] -= np.add.reduceat(each, o)
+            size[new] = live[new] = each
+            start[new] = used + np.cumsum(each) - each
+            pool[used : used + len(q)] = q
+            used += len(q)
+            group[q] = np.repeat(new, each)
+            above = upper[h]
+            lower[new] = np.where(opens, h, new - 1)
+            upper[new] = np.where(closes, above, new + 1)
+            upper[h[o]] = new[o]
+            top = closes & (above >= 0)
+            lower[above[top]] = new[top]
+        current = lower[current]
+        current = current[current >= 0]
+    order = np.zeros(total, np.int64)
+    order[at] = text_of[at] * (step + 1) + step - step_of[group[at]]
+    where, _, first = ranked(order)
+    place = np.zeros(n, np.int64)
+    place[group[where[first]]] = first
+    slot = np.cumsum(lengths + 1) - lengths - 1
+    out = np.zeros(len(at), np.int32)
+    out[slot] = end
+    settled = np.zeros(total, bool)
+    settled[end] = settled[begin - 1] = True
+    by = np.argsort(-lengths, kind="stable")
+    longer = np.searchsorted(-lengths[by], -np.arange(int(lengths.max()) + 1), "right")
+    for k, active in enumerate(longer.tolist()):
+        j = out[slot[by[:active]] + k] - 1
+        j = j[~settled[j]]
+        while len(j):
+            settled[j] = True
+            h = group[j]
+            s = place[h]
+            out[s] = j
+            place[h] = s + 1
+            j = before[j]
+            j = j[~settled[j]]
+    return [out[s + 1 : s + n + 1] - b for s, n, b in zip(slot.tolist(), lengths.tolist(), begin.tolist(), strict=True)]
+
+
 def contexts(data: np.ndarray, at: np.ndarray, length: int, k: int):
     """Anchor hash, context hash, start in data and number of strings, of each context; data: texts in a row, at: where each begins."""
     empty = np.zeros(0, np.int64)
@@ -162,9 +283,10 @@ def contexts(data: np.ndarray, at: np.ndarray, length: int, k: int):
     return grams[anchor[first]].view(np.int64), hashed.view(np.int64), begin, count
 
 
-def _documents(docs: DataFrame) -> DataFrame:
+def _documents(*more: Column) -> list[Column]:
+    """doc, copy (hash of the text) and text, and more."""
     text = text_or_empty()
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"))
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"), *more]
 
 
 def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -175,7 +297,7 @@ def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "c"])
 
-    return _documents(docs).mapInArrow(read, "a bigint, c bigint")
+    return docs.select(*_documents()).mapInArrow(read, "a bigint, c bigint")
 
 
 def _places(docs: DataFrame, length: int, k: int, repeated, mixed) -> DataFrame:
@@ -204,7 +326,7 @@ def _places(docs: DataFrame, length: int, k: int, repeated, mixed) -> DataFrame:
                 rows = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([some.column(0).take(rows), some.column(1).take(rows), pa.array(a), pa.array(c), pa.array(begin - at[owner]), pa.array((count - 1 + length).astype(np.int32)), pa.array(texts, pa.binary())], names=names)
 
-    return _documents(docs).mapInArrow(read, _PLACES)
+    return docs.select(*_documents()).mapInArrow(read, _PLACES)
 
 
 def _windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,10 +339,37 @@ def _windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     return data, begin, owner
 
 
-def repeats(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all starts: index of the text, place in it, whether the string is found twice or more, whether it is the first of its kind."""
+#: Texts up to so many bytes are sorted in step, in batches of about `_BATCH` bytes.
+_TOGETHER, _BATCH = 8192, 1 << 20
+
+
+def _suffix_order(texts: list[bytes]) -> np.ndarray:
+    """Starts of the suffixes of each text, in order, text after text; places are those in all texts, parted by a byte."""
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    batch, held = [], 0
+    by = sorted((k for k in range(len(texts)) if len(texts[k]) <= _TOGETHER), key=lambda k: len(texts[k]))
+    for k in by:
+        batch.append(k)
+        held += len(texts[k])
+        if held > _BATCH or k == by[-1]:
+            for j, order in zip(batch, suffix_arrays([texts[j] for j in batch]), strict=True):
+                found[j] = order + at[j]
+            batch, held = [], 0
+    for k, t in enumerate(texts):
+        if len(t) > _TOGETHER:
+            found[k] = np.array(suffix_array(t), np.int64) + at[k]
+    return np.concatenate(found)
+
+
+def repeats(texts: list[bytes], length: int, anchors: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all starts: index of the text, place in it, whether the string is found twice or more, whether it is the first of its kind.
+
+    anchors: of each text, those of one anchor in a row; only these are compared.
+    """
     data, begin, owner = _windows(texts, length)
-    order = np.array(suffix_array(b"\xff".join(texts)), np.int64)
+    same_anchor = [list(g) for _, g in groupby(range(len(texts)), (lambda k: anchors[k]) if anchors else lambda k: 0)]
+    order = _suffix_order([b"\xff".join([texts[k] for k in g]) for g in same_anchor])
     number = np.full(len(data), -1, np.int64)
     number[begin] = np.arange(len(begin))
     order = order[number[order] >= 0]
@@ -247,7 +396,7 @@ def _spans(places: np.ndarray, length: int) -> list[int]:
     return np.stack([begin, end], axis=1).ravel().tolist()
 
 
-def runs(docs: DataFrame, length: int = 200, k: int = 64, block: int = 512, bucket: int = 1 << 17, bits: int = 26) -> DataFrame:
+def runs(docs: DataFrame, length: int = 200, k: int = 64, block: int = 512, bucket: int = 1 << 21, bits: int = 26) -> DataFrame:
     """doc, copy and runs (begin and end, in turn, of removed bytes, perhaps overlapping) of documents that lose bytes."""
     sc = docs.sparkSession.sparkContext
     seen = _anchors(docs, length, k).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
@@ -260,18 +409,20 @@ def runs(docs: DataFrame, length: int = 200, k: int = 64, block: int = 512, buck
     texts = stored(found.join(exact, "a", "left_semi"), "contexts")
     whole = found.where("n > 1").select("a", "c", F.array(F.lit(0), F.col("size")).alias("runs"))
 
-    groups = texts.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"))
-    buckets = max(1, -(-(texts.agg(F.sum("size")).head()[0] or 0) // bucket))
-    keyed = texts.join(groups, "a").select(
-        "a", "c", "n", "context", "m",
-        F.when(F.col("m") > block, F.col("a")).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets))).alias("key"),
-        F.when(F.col("m") > block, F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / block))).otherwise(F.lit(-1)).alias("part"),
+    large = texts.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+    total = texts.agg(F.sum("size")).head()[0] or 0
+    buckets, tasks = max(1, -(-total // bucket)), max(1, min(_MOST_TASKS, -(-2 * total // bucket)))
+    keyed = texts.join(large, "a", "left").select(
+        "a", "c", "n", "context", F.coalesce("m", F.lit(0)).alias("m"),
+        F.when(F.col("m").isNotNull(), F.col("a")).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets))).alias("key"),
+        F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / block))).otherwise(F.lit(-1)).alias("part"),
     )
     schema = "a bigint, c bigint, runs array<int>, q int, digests binary, at binary"
 
     def sort(t: pa.Table) -> pa.Table:
+        t = t.sort_by("a")
         contexts_ = t.column("context").to_pylist()
-        owner, place, twice, first = repeats(contexts_, length)
+        owner, place, twice, first = repeats(contexts_, length, t.column("a").to_pylist())
         n = t.column("n").to_numpy()
         a, c = t.column("a").to_numpy(), t.column("c").to_numpy()
         split = np.searchsorted(owner, np.arange(len(contexts_) + 1))
@@ -295,7 +446,8 @@ def runs(docs: DataFrame, length: int = 200, k: int = 64, block: int = 512, buck
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, y) for x, y in zip(columns, kinds, strict=True)], names=["a", "c", "runs", "q", "digests", "at"])
 
-    done = stored(keyed.groupBy("key", "part").applyInArrow(sort, schema), "sorted")
+    # small for a shuffle, dear for a task: dealt by weight and not by size
+    done = stored(keyed.repartition(tasks, "key", "part").groupBy("key", "part").applyInArrow(sort, schema), "sorted")
 
     def exchange(t: pa.Table) -> pa.Table:
         digest = np.frombuffer(b"".join(t.column("digests").to_pylist()), np.uint64).reshape(-1, 2)
@@ -356,28 +508,27 @@ def cut(text: bytes, pairs: list[int]) -> tuple[int, int, bytes]:
 def cut_out(docs: DataFrame, schema: str, give, names: tuple[str, ...], **settings) -> DataFrame:
     """docs (all columns) with what give(text, pairs) returns for each row."""
     found = stored(runs(docs, **settings), "runs")
-    text = text_or_empty()
+    kept = [f for f in docs.schema.fields if f.name not in names and f.name != "text"]
+    # numbers for names: columns of docs may have any
+    own = [F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(kept)]
+    marked = docs.select(*own, *_documents(F.col("text").isNull().alias("null")))
     # documents that lose nothing aren't moved
     flat = bitmap(found.select(F.xxhash64("doc", "copy").alias("key")), "key", 25)
-    marked = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("__copy", F.xxhash64(text)).withColumn("__text", text)
-    hit, rest = split_by_bitmap(marked, F.xxhash64("__doc", "__copy"), flat)
-    hit = hit.alias("o").join(found.alias("r"), (F.col("__doc") == F.col("r.doc")) & (F.col("__copy") == F.col("r.copy")), "left").select("o.*", F.col("r.runs").alias("__runs"))
-    both = hit.unionByName(rest.withColumn("__runs", F.lit(None).cast("array<int>")))
-    kept = [c for c in docs.columns if c not in names and c != "text"]
-    both = both.select(*[F.col(f"`{c}`") for c in kept], "__text", "__runs", F.col("text").isNull().alias("__null"))
-    fields = both.schema.fields[: len(kept)]
+    hit, rest = split_by_bitmap(marked, F.xxhash64("doc", "copy"), flat)
+    wanted = [*(f"c{k}" for k in range(len(kept))), "text", "runs", "null"]
+    both = hit.join(found, ["doc", "copy"], "left").select(*wanted).unionByName(rest.withColumn("runs", F.lit(None).cast("array<int>")).select(*wanted))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(fields)
+        n = len(kept)
         for batch in batches:
             for some in slices(batch, n):
                 out = [give(t, r, x) for t, r, x in zip(some.column(n).to_pylist(), some.column(n + 1).to_pylist(), some.column(n + 2).to_pylist(), strict=True)]
                 made = [pa.array(x) if x.count(None) < len(x) else pa.array(x, pa.string()) for x in map(list, zip(*out, strict=True))]
-                yield pa.RecordBatch.from_arrays([*some.columns[:n], *made], names=[*(f.name for f in fields), *names])
+                yield pa.RecordBatch.from_arrays([*some.columns[:n], *made], names=[*(f.name for f in kept), *names])
 
     from pyspark.sql.types import StructType
 
-    return both.mapInArrow(apply, StructType([*fields, *StructType.fromDDL(schema).fields]))
+    return both.mapInArrow(apply, StructType([*kept, *StructType.fromDDL(schema).fields]))
 
 
 def report(docs: DataFrame, **settings) -> DataFrame:

@@ -14,6 +14,12 @@ def test_suffix_array(text):
     assert suffixes.suffix_array(data) == sorted(range(len(data)), key=lambda i: data[i:])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(b"ab\xff\0"[x % 4] for x in b)), min_size=1, max_size=6))
+def test_suffix_arrays_in_step(texts):
+    assert [x.tolist() for x in suffixes.suffix_arrays(texts)] == [sorted(range(len(t)), key=lambda i: t[i:]) for t in texts]
+
+
 def brute(rows, length):
     data = [(i, (t or "").encode()) for i, t in rows]
     count = {}
@@ -43,7 +49,7 @@ def corpus(seed):
 
 def test_against_brute_force(documents):
     rows = corpus(3)
-    df = documents(rows, a="mine", runs=1)
+    df = documents(rows, a="mine", runs=1, doc_=2, r=3)
     assert sorted([tuple(r) for r in suffixes.report(df, length=20, k=8).collect()], key=str) == brute(rows, 20)
 
 
@@ -54,7 +60,7 @@ def test_split_anchors_and_full_bitmaps(documents):
 
 
 def test_deduplicate_keeps_columns(documents):
-    df = documents([(1, "é" * 30), (2, "x" + "é" * 30), (3, None)], kept="mine")
+    df = documents([(1, "é" * 30), (2, "x" + "é" * 30), (3, None)], kept="mine", runs=1, r=2, DOC_=3, doc=4, key=5)
     out = {r["doc_id"]: r for r in suffixes.deduplicate(df, length=21, k=8).collect()}
     assert suffixes.deduplicate(df, length=21, k=8).columns == df.columns
     assert out[1]["text"] == "" and out[2]["text"] == "x" and out[3]["text"] is None and out[1]["kept"] == "mine"

@@ -84,3 +84,15 @@ def split_by_bitmap(df: DataFrame, key: Column, flat: np.ndarray) -> tuple[DataF
         return pd.Series(in_bitmap(held.value, values.to_numpy()))
 
     return df.where(marked(key)), df.where(~marked(key))
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int, parts: int = 2000) -> DataFrame:
+    """rows joined with keyed, which has a row for each key and n, the rows of that key; total: all rows.
+
+    Keys with more than 1/parts of the rows, fewer than `parts` whatever the data, are
+    broadcast: their rows stay where they are. Rows of the others are shuffled.
+    """
+    often = F.col("n") * parts > total
+    hot = F.broadcast(keyed.where(often).drop("n"))
+    cold = rows.join(F.broadcast(keyed.where(often).select(*keys)), keys, "left_anti").join(keyed.where(~often).drop("n"), keys)
+    return rows.join(hot, keys).unionByName(cold)

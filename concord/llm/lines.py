@@ -34,10 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import bitmap, in_bitmap, split_by_bitmap, stored, text_or_empty
+from concord.llm.common import bitmap, in_bitmap, join_split, split_by_bitmap, stored, text_or_empty
+from concord.llm.wordhash import slices
 
 _LINES = "lid bigint, lid2 bigint, doc bigint, copy bigint, no int"
 _TEXTS = "lid bigint, lid2 bigint, doc bigint, copy bigint, no int, line string, sides int"
@@ -86,9 +87,10 @@ def neighbourhood(line: str) -> tuple[int, np.ndarray, np.ndarray]:
     return whole.view(np.int64)[0], without.view(np.int64), placed.view(np.int64)
 
 
-def _documents(docs: DataFrame) -> DataFrame:
+def _documents() -> list[Column]:
+    """doc, copy (hash of the text) and text."""
     text = text_or_empty()
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"))
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text")]
 
 
 def _split(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[int, int, int, str]]:
@@ -106,11 +108,11 @@ def _columns(rows: list[tuple], names: str, *last: pa.DataType) -> pa.RecordBatc
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                if rows := [(*_lid(line.encode()), doc, copy, no) for doc, copy, no, line in _split(batch.slice(lo, 256), min_chars)]:
+            for some in slices(batch, 2):
+                if rows := [(*_lid(line.encode()), doc, copy, no) for doc, copy, no, line in _split(some, min_chars)]:
                     yield _columns(rows, _LINES)
 
-    return _documents(docs).mapInArrow(read, _LINES)
+    return docs.select(*_documents()).mapInArrow(read, _LINES)
 
 
 def _shared_halves(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -118,15 +120,15 @@ def _shared_halves(docs: DataFrame, min_chars: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
+            for some in slices(batch, 2):
                 keys: dict[tuple[int, int], None] = {}
-                for _, _, _, line in _split(batch.slice(lo, 256), min_chars):
+                for _, _, _, line in _split(some, min_chars):
                     lid = _lid(line.encode())[0]
                     keys.update(((half, lid), None) for _, half in _halves(line))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*keys, strict=True)], names=["half", "lid"])
 
-    halves = _documents(docs).mapInArrow(read, "half bigint, lid bigint")
+    halves = docs.select(*_documents()).mapInArrow(read, "half bigint, lid bigint")
     return halves.groupBy("half").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo != hi").select("half")
 
 
@@ -136,15 +138,15 @@ def _texts(docs: DataFrame, shared: np.ndarray, min_chars: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                lines = list(_split(batch.slice(lo, 256), min_chars))
+            for some in slices(batch, 2):
+                lines = list(_split(some, min_chars))
                 halves = [_halves(x[3]) for x in lines]
                 marks = iter(in_bitmap(held.value, np.array([h for x in halves for _, h in x], np.int64)).tolist())
                 sides = [sum({1 << tag for tag, _ in x if next(marks)}) for x in halves]
                 if rows := [(*_lid(line.encode()), doc, copy, no, line, side) for (doc, copy, no, line), side in zip(lines, sides, strict=True) if side]:
                     yield _columns(rows, _TEXTS, pa.string(), pa.int32())
 
-    places = _documents(docs).mapInArrow(read, _TEXTS)
+    places = docs.select(*_documents()).mapInArrow(read, _TEXTS)
     distinct = places.groupBy("lid", "lid2").agg(F.min(F.struct("doc", "copy", "no")).alias("first"), F.first("line").alias("line"), F.first("sides").alias("sides"))
     # sorted by range: the ids then increase with the order of the lines
     return distinct.select("lid", "first.*", "line", "sides").orderBy("doc", "copy", "no").select("lid", "line", "sides", F.monotonically_increasing_id().alias("order"))
@@ -155,8 +157,7 @@ def _keys(texts: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                some = batch.slice(lo, 64)
+            for some in slices(batch, 0, 1 << 17):  # 32 bytes a character
                 keys, values = [], []
                 for line, sides, order in zip(*(some.column(k).to_pylist() for k in range(3)), strict=True):
                     own, without, placed = neighbourhood(line)
@@ -199,23 +200,25 @@ def removals(docs: DataFrame, max_edits: int = 1, min_chars: int = 20, bitmap_bi
     # only lines found twice, or near an earlier one, can go
     wanted = twice.withColumn("near", F.lit(False)).union(near.withColumn("near", F.lit(True))).groupBy("lid").agg(F.max("near").alias("near"))
     some = stored(lines.join(wanted, "lid"), "lines")
-    first = some.groupBy("lid", "lid2").agg(F.min(F.struct("doc", "copy", "no")).alias("first"))
-    gone = some.join(first, ["lid", "lid2"]).where(F.col("near") | (F.col("first") != F.struct("doc", "copy", "no")))
+    first = stored(some.groupBy("lid", "lid2").agg(F.min(F.struct("doc", "copy", "no")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    gone = join_split(some, first, ["lid", "lid2"], some.count()).where(F.col("near") | (F.col("first") != F.struct("doc", "copy", "no")))
     return gone.groupBy("doc", "copy").agg(F.collect_set("no").alias("removed"))
 
 
 def deduplicate(docs: DataFrame, max_edits: int = 1, min_chars: int = 20, bitmap_bits: int = 25) -> DataFrame:
     """docs with the text less removed lines, and n_lines, n_removed; all rows are kept, those emptied as well."""
     gone = stored(removals(docs, max_edits, min_chars, bitmap_bits), "removed")
-    marked = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("__copy", F.xxhash64(text_or_empty()))
+    # numbers for names: columns of docs may have any
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    marked = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], *_documents()[:2])
     # documents that lose nothing aren't moved
     flat = bitmap(gone.select(F.xxhash64("doc", "copy").alias("key")), "key", bitmap_bits)
-    hit, rest = split_by_bitmap(marked, F.xxhash64("__doc", "__copy"), flat)
-    hit = hit.alias("o").join(gone.alias("g"), (F.col("__doc") == F.col("g.doc")) & (F.col("__copy") == F.col("g.copy")), "left").select("o.*", F.col("g.removed").alias("__removed"))
-    both = hit.unionByName(rest.withColumn("__removed", F.lit(None).cast("array<int>")))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    n_removed = F.coalesce(F.size("__removed"), F.lit(0)).cast("long")
-    own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    hit, rest = split_by_bitmap(marked, F.xxhash64("doc", "copy"), flat)
+    both = hit.join(gone, ["doc", "copy"], "left").unionByName(rest.withColumn("removed", F.lit(None).cast("array<int>")))
+    text = F.col(f"c{kept.index('text')}")
+    parts = F.split(text, "\n")
+    left = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("removed", i)), "\n"))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
+    n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    own = [(left if c == "text" else F.col(f"c{k}")).alias(c) for k, c in enumerate(kept)]
     return both.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))

@@ -23,6 +23,15 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with doc_id, text and a number for the name of each other column: columns of docs may have any name."""
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
+
+
+def _named(numbered: DataFrame, docs: DataFrame) -> DataFrame:
+    return numbered.select(*[F.col(c if c in ("doc_id", "text") else f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def _blank(text: str):
     return F.length(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, "")) == 0
 
@@ -34,34 +43,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines within an edit of an earlier line go."""
-    found = lines.deduplicate(docs)
-    return _counted(found.where(~(_blank("text") & (F.col("n_removed") > 0))).select(*docs.columns))
+    found = lines.deduplicate(_numbered(docs))
+    return _counted(_named(found.where(~(_blank("text") & (F.col("n_removed") > 0))), docs))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one stays: that with the smallest id (null last), then by a hash; of equal ids and texts, one row."""
     id_ = F.col("doc_id")
-    keyed = docs.withColumn("__key", F.xxhash64(id_.isNull(), id_, F.coalesce(F.col("text"), F.lit(""))))
-    found = stored(jaccard.similar(keyed.select(F.col("__key").alias("doc_id"), "text"), size=5, percent=80), "found")
-    rows = found.where("n_shingles > 0").selectExpr("doc_id AS __key", "component_id AS component", "1 AS n", "component_id != doc_id AS linked")
-    firsts = rows.where("linked").selectExpr("component AS __key", "component", "0 AS n", "linked")
-    members = rows.unionByName(firsts).groupBy("__key").agg(F.min("component").alias("component"), F.sum("n").alias("n"), F.max("linked").alias("linked"))
-    members = stored(members.where("linked OR n > 1").select("__key", "component"), "members")
-    flat = bitmap(members.select("__key"), "__key", 25)
-    held, rest = split_by_bitmap(keyed, F.col("__key"), flat)  # only what may go is joined
-    named = held.groupBy("__key").agg(F.first("doc_id").alias("doc_id")).join(members, "__key")
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("one")
-    kept = named.groupBy("component").agg(one).select(F.col("one.__key").alias("__key"))
-    fates = stored(members.join(kept.withColumn("stays", F.lit(True)), "__key", "left").select("__key", F.coalesce("stays", F.lit(False)).alias("stays")), "fates")
-    judged = held.join(fates, "__key", "left")
-    stay = judged.where("stays IS NULL").unionByName(judged.where("stays").dropDuplicates(["__key"]))
-    return rest.select(*docs.columns).unionByName(stay.select(*docs.columns))
+    keyed = _numbered(docs).withColumn("key", F.xxhash64(id_.isNull(), id_, F.coalesce(F.col("text"), F.lit(""))))
+    found = stored(jaccard.similar(keyed.select(F.col("key").alias("doc_id"), "text"), size=5, percent=80), "found")
+    rows = found.where("n_shingles > 0").selectExpr("doc_id AS key", "component_id AS component", "1 AS n", "component_id != doc_id AS linked")
+    firsts = rows.where("linked").selectExpr("component AS key", "component", "0 AS n", "linked")
+    members = rows.unionByName(firsts).groupBy("key").agg(F.min("component").alias("component"), F.sum("n").alias("n"), F.max("linked").alias("linked"))
+    members = stored(members.where("linked OR n > 1").select("key", "component"), "members")
+    flat = bitmap(members.select("key"), "key", 25)
+    held, rest = split_by_bitmap(keyed, F.col("key"), flat)  # only what may go is joined
+    named = held.groupBy("key").agg(F.first("doc_id").alias("doc_id")).join(members, "key")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("one")
+    kept = named.groupBy("component").agg(one).select(F.col("one.key").alias("key"))
+    fates = stored(members.join(kept.withColumn("stays", F.lit(True)), "key", "left").select("key", F.coalesce("stays", F.lit(False)).alias("stays")), "fates")
+    judged = held.join(fates, "key", "left")
+    stay = judged.where("stays IS NULL").unionByName(judged.where("stays").dropDuplicates(["key"]))
+    return _named(rest, docs).unionByName(_named(stay, docs))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 that start elsewhere too go."""
-    found = suffixes.deduplicate(docs.withColumn("__was_blank", _blank("text")), length=200)
-    return _counted(found.where(F.col("__was_blank") | ~_blank("text")).select(*docs.columns))
+    found = suffixes.deduplicate(_numbered(docs).withColumn("was_blank", _blank("text")), length=200)
+    return _counted(_named(found.where(F.col("was_blank") | ~_blank("text")), docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

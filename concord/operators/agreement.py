@@ -112,3 +112,33 @@ def long_form(df: DataFrame, item: str, raters: Sequence[str]) -> DataFrame:
 def rates(df: DataFrame, **flags: Column) -> DataFrame:
     """The means of flags (0, 1 or boolean), and items."""
     return df.agg(F.count(F.lit(1)).alias("items"), *[F.avg(f.cast("double")).alias(k) for k, f in flags.items()])
+
+
+def report(df: DataFrame, item: str, models: Sequence[str], people: Sequence[str]) -> DataFrame:
+    """Sizes, rates and agreement of models and people (columns of verdicts) in one row.
+
+    items, n_majority, n_strict, majority, strict: votes of the models. labelled,
+    human_observed, human_kappa: the models' majority against any supporting person,
+    over items that all people labelled. fleiss_models, fleiss_all (complete items),
+    alpha (missing ratings left out), and kappa_X_Y of each pair of models. Each part
+    is a pass over df; store it first if it is dear.
+    """
+    valid = lambda c: F.when(c.isin(SUPPORTED, NOT_SUPPORTED), c)
+    votes = F.size(F.filter(F.array(*models), lambda x: x == SUPPORTED))
+    most = votes >= len(models) // 2 + 1
+    sums = df.agg(F.count(F.lit(1)).alias("items"), *[c.alias(k) for k, c in (("n_majority", F.count_if(most)), ("n_strict", F.count_if(votes == len(models))))])
+    sums = sums.select("*", _ratio(F.col("n_majority"), F.col("items")).alias("majority"), _ratio(F.col("n_strict"), F.col("items")).alias("strict"))
+    verdict = lambda yes: F.when(yes, SUPPORTED).otherwise(NOT_SUPPORTED)
+    labelled = df.dropna(subset=list(people)).where(F.forall(F.array(*people), lambda x: x.isin(SUPPORTED, NOT_SUPPORTED)))
+    both = labelled.select(verdict(most).alias("model"), verdict(F.exists(F.array(*people), lambda x: x == SUPPORTED)).alias("person"))
+    pairs = pairwise_cohen(df, models)
+    wide = pairs.agg(*[F.max(F.when((F.col("rater1") == a) & (F.col("rater2") == b), F.col("kappa"))).alias(f"kappa_{a}_{b}") for a, b in combinations(models, 2)])
+    raters = [*models, *people]
+    parts = [
+        both.agg(F.count(F.lit(1)).alias("labelled")), cohen(both, "model", "person").toDF("human_observed", "human_kappa"),
+        fleiss(df, models).select(F.col("kappa").alias("fleiss_models")), fleiss(df, raters, "listwise").select(F.col("kappa").alias("fleiss_all")),
+        krippendorff(long_form(df.select(item, *[valid(F.col(r)).alias(r) for r in raters]), item, raters), item), wide,
+    ]
+    for part in parts:  # one row each
+        sums = sums.crossJoin(part)
+    return sums

@@ -1,9 +1,9 @@
 """Calls to a model from executors: generation, judging, retries, outcomes.
 
 A client is an object with `complete(messages, options) -> reply`, where a reply
-has `content` and `usage`; it travels to the executors with the task. Calls go row
-by row within a partition, so the number of partitions bounds how many run at a
-time. Store what these functions return before using it twice: each reading of
+has `content` and `usage`; it travels to the executors with the task. Partitions
+and calls in flight within each (`in_flight`, for clients that threads may share)
+bound how many run at a time. Store what these functions return before using it twice: each reading of
 an unstored result calls again.
 """
 
@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +51,7 @@ class OfflineClient:
         user = messages[-1]["content"]
         if user.startswith("Passage:\n"):
             passage, _, rest = user.removeprefix("Passage:\n").partition("\nQuestion: ")
-            answer = rest.partition("\nAnswer: ")[2]
+            answer = rest.partition("\nAnswer: ")[2].removesuffix("\nOne word.")
             return Reply(V.SUPPORTED if answer and answer in passage else V.NOT_SUPPORTED, len(user.split()))
         head = user.partition("\n")[2].partition("\nTheme")[0].split()[: self.words]
         if not head:
@@ -86,20 +87,25 @@ def call(client: Client, messages: list[dict], options: dict, retry: Retry) -> t
     return None, None if error is None else str(error)
 
 
-def _each(df: DataFrame, prompts: Sequence[str], client: Client, options: dict, retry: Retry, pause: float, partitions: int | None) -> DataFrame:
+def _each(df: DataFrame, prompts: Sequence[str], client: Client, options: dict, retry: Retry, pause: float, partitions: int | None, in_flight: int = 1) -> DataFrame:
     """df with columns content, usage, error for each column of prompts, their names followed by that of the prompt."""
     fields = (("content", T.StringType()), ("usage", T.LongType()), ("error", T.StringType()), ("answered", T.BooleanType()))
     schema = T.StructType([*df.schema.fields, *(T.StructField(f"{name}_{p}", kind) for p in prompts for name, kind in fields)])
 
+    def one(messages) -> tuple:
+        reply, error = call(client, [dict(m) if isinstance(m, dict) else m.asDict() for m in messages], options, retry)
+        if pause:
+            retry.sleep(pause)
+        return reply.content if reply else None, reply.usage if reply else None, error, reply is not None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p in prompts:
-                found = []
-                for messages in batch[p]:
-                    reply, error = call(client, [dict(m) if isinstance(m, dict) else m.asDict() for m in messages], options, retry)
-                    found.append((reply.content if reply else None, reply.usage if reply else None, error, reply is not None))
-                    if pause:
-                        retry.sleep(pause)
+                if in_flight > 1:
+                    with ThreadPoolExecutor(in_flight) as pool:
+                        found = list(pool.map(one, batch[p]))
+                else:
+                    found = [one(messages) for messages in batch[p]]
                 for k, name in enumerate(("content", "usage", "error", "answered")):
                     batch[f"{name}_{p}"] = pd.Series([f[k] for f in found], index=batch.index, dtype=object)
             yield batch
@@ -110,19 +116,21 @@ def _each(df: DataFrame, prompts: Sequence[str], client: Client, options: dict,
 REPLY = "question STRING, answer STRING, supporting_verses ARRAY<STRUCT<surah:INT,ayat:INT>>, type STRING, difficulty STRING"
 
 
-def generate(items: DataFrame, prompt, client: Client, keys: Sequence[str] = ("surah", "ayat"), retry: Retry | None = None, partitions: int | None = 6) -> DataFrame:
-    """Pairs of items (keys and what the prompt reads), with status, usage, outcome and error.
-
-    outcome: ok, insufficient (the model said so), filtered (refused by a content
-    filter), failed (no or no readable reply; to be tried again).
-    """
-    asked = _each(items.withColumn("p", prompt), ["p"], client, GENERATION_OPTIONS, retry or Retry(tries=3, only=None, wait=lambda _: 1.0), 0, partitions)
-    content = strip(F.col("content_p"))
-    parsed = F.from_json(content, REPLY)
+def routed(content: Column, error: Column, schema: str = REPLY) -> tuple[Column, Column]:
+    """Outcome and parsed reply. ok; insufficient: the model said so; filtered: refused by a content filter; failed: no or no readable reply, to be tried again."""
+    content = strip(content)
+    parsed = F.from_json(content, schema)
     outcome = (
-        F.when(F.col("error_p").contains("content_filter"), "filtered").when(content == INSUFFICIENT, "insufficient")
+        F.when(F.contains(error, F.lit("content_filter")), "filtered").when(content == INSUFFICIENT, "insufficient")
         .when(parsed.isNotNull() & parsed["question"].isNotNull(), "ok").otherwise("failed")
     )
+    return outcome, parsed
+
+
+def generate(items: DataFrame, prompt, client: Client, keys: Sequence[str] = ("surah", "ayat"), retry: Retry | None = None, partitions: int | None = 6, in_flight: int = 1) -> DataFrame:
+    """Pairs of items (keys and what the prompt reads), with status, usage, outcome (see `routed`) and error."""
+    asked = _each(items.withColumn("p", prompt), ["p"], client, GENERATION_OPTIONS, retry or Retry(tries=3, only=None, wait=lambda _: 1.0), 0, partitions, in_flight)
+    outcome, parsed = routed(F.col("content_p"), F.col("error_p"))
     out = asked.select(*items.columns, parsed.alias("__r"), outcome.alias("outcome"), F.col("usage_p").alias("usage"), F.col("error_p").alias("error"))
     ok = F.col("outcome") == "ok"
     fields = [F.when(ok, F.col(f"__r.{f}")).alias(f) for f in ("question", "answer", "supporting_verses", "type", "difficulty")]
@@ -130,7 +138,7 @@ def generate(items: DataFrame, prompt, client: Client, keys: Sequence[str] = ("s
     return out.select(*rest, *fields, F.when(F.col("outcome") == "insufficient", INSUFFICIENT).alias("status"), "usage", "outcome", "error")
 
 
-def validate(items: DataFrame, prompt, clients: dict[str, Client], keys: Sequence[str] = ("surah", "ayat"), parse: bool = True, options: dict | None = None, retry: Retry | None = None, pause: float = 0.2, partitions: int | None = 3) -> DataFrame:
+def validate(items: DataFrame, prompt, clients: dict[str, Client], keys: Sequence[str] = ("surah", "ayat"), parse: bool = True, options: dict | None = None, retry: Retry | None = None, pause: float = 0.2, partitions: int | None = 3, in_flight: int = 1) -> DataFrame:
     """keys and a verdict from each client; items that a client gave no reply for are left out, to be tried again.
 
     parse: verdicts are read from replies; else they are the replies, stripped.
@@ -138,7 +146,7 @@ def validate(items: DataFrame, prompt, clients: dict[str, Client], keys: Sequenc
     asked = items.withColumn("p", prompt)
     out = list(keys)
     for name, client in clients.items():
-        asked = _each(asked.withColumnRenamed("p", f"p{name}"), [f"p{name}"], client, options or JUDGE_OPTIONS_3, retry or Retry(), pause, partitions if name == next(iter(clients)) else None)
+        asked = _each(asked.withColumnRenamed("p", f"p{name}"), [f"p{name}"], client, options or JUDGE_OPTIONS_3, retry or Retry(), pause, partitions if name == next(iter(clients)) else None, in_flight)
         asked = asked.where(F.col(f"answered_p{name}")).withColumnRenamed(f"p{name}", "p")
         content = F.col(f"content_p{name}")
         asked = asked.withColumn(name, V.parse(content) if parse else strip(content)).drop(f"content_p{name}", f"usage_p{name}", f"error_p{name}", f"answered_p{name}")
@@ -155,3 +163,19 @@ def progress(done: int, total: int, seconds: float) -> dict[str, float | None]:
     """Seconds per item, and seconds that remain at that pace."""
     each = seconds / done if done else None
     return {"done": done, "each": each, "remaining": None if each is None else (total - done) * each}
+
+
+def observed(df: DataFrame, write: Callable[[DataFrame], object], total: int | None = None, clock: Callable[[], float] = time.monotonic) -> dict[str, object]:
+    """What a run of write(df) did, measured while it ran: rows, tokens, rows of each outcome, seconds, and its pace against `total` items.
+
+    df needs no second pass: the counts come from the rows that write reads.
+    """
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("done"), F.sum("usage").alias("usage") if "usage" in df.columns else F.lit(None).alias("usage")]
+    if "outcome" in df.columns:
+        counts += [F.count_if(F.col("outcome") == o).alias(o) for o in ("ok", "insufficient", "filtered", "failed")]
+    began = clock()
+    write(df.observe(seen, *counts))
+    seconds = clock() - began
+    found = dict(seen.get)
+    return found | {"seconds": seconds} | progress(found["done"], found["done"] if total is None else total, seconds)

@@ -53,8 +53,13 @@ def remaining(left: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
     return left.join(done.select(*keys), list(keys), "left_anti")
 
 
-def enriched(left: DataFrame, lookup: DataFrame, keys: Sequence[str], defaults: dict[str, Column]) -> DataFrame:
-    """left with columns of a lookup of one row per key; a default where there is no row, null where the row holds null."""
+def enriched(left: DataFrame, lookup: DataFrame, keys: Sequence[str], defaults: dict[str, Column], seq: str | None = None) -> DataFrame:
+    """left with columns of a lookup; a default where there is no row, null where the row holds null.
+
+    Of a lookup's rows with one key the last by seq counts; without seq keys are
+    taken to be unique, and of repeated ones any row counts: left keeps its rows.
+    """
+    lookup = last_wins(lookup, keys, seq) if seq else lookup.dropDuplicates(list(keys))
     side = lookup.select(*keys, *[F.col(c).alias(f"__{c}") for c in defaults], F.lit(True).alias("__matched"))
     found = left.join(side, list(keys), "left")
     own = [F.col(c) for c in left.columns if c not in defaults]

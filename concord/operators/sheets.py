@@ -32,13 +32,18 @@ def sheet(pairs: DataFrame, keys: Sequence[str] = ("surah", "ayat"), text: str =
     )
 
 
-def non_strict_sheet(log: DataFrame, gold: DataFrame, verses: DataFrame, raters: Sequence[str] = ("A", "B", "C"), keys: Sequence[str] = ("surah", "ayat")) -> DataFrame:
-    """The sheet of pairs whose verdicts aren't all supported; blank verdicts leave a row out, missing ones don't."""
+def non_strict_sheet(log: DataFrame, gold: DataFrame, verses: DataFrame, raters: Sequence[str] = ("A", "B", "C"), keys: Sequence[str] = ("surah", "ayat"), seq: str | None = None) -> DataFrame:
+    """The sheet of pairs whose verdicts aren't all supported; blank verdicts leave a row out, missing ones don't.
+
+    A row of the log gives one row. Of gold and verses with one key the last by seq,
+    a column of both, counts; without seq any one does.
+    """
     open_ = log.where(V.none_blank(raters) & ~V.all_supported(raters)).select(*keys)
-    pairs = open_.join(gold.where(F.col("question").isNotNull()), list(keys))
+    asked = gold.where(F.col("question").isNotNull())
+    pairs = open_.join(keyed.last_wins(asked, keys, seq).drop(seq) if seq else asked.dropDuplicates(list(keys)), list(keys))
     if "theme_paths" not in pairs.columns:
         pairs = pairs.withColumn("theme_paths", F.array().cast("array<array<string>>"))
-    return sheet(keyed.enriched(pairs, verses.select(*keys, "text_id"), keys, {"text_id": F.lit("")}), keys, paths="theme_paths")
+    return sheet(keyed.enriched(pairs, verses.select(*keys, "text_id", *([seq] if seq else [])), keys, {"text_id": F.lit("")}, seq), keys, paths="theme_paths")
 
 
 def with_human_labels(log: DataFrame, labels: DataFrame, names: dict[str, str], keys: Sequence[str] = ("surah", "ayat"), seq: str = "seq") -> DataFrame:

@@ -2,8 +2,13 @@
 
 Objects are walked by key, which joins the path; lists are walked without. An
 object within a list that has all key fields is a leaf and isn't entered; such an
-object as the value of a key is walked on. Scalars are ignored. Where an object
-repeats a key, its last value counts, at the first one's place.
+object as the value of a key is walked on. Scalars are ignored, texts that look
+like objects or lists included. Where an object repeats a key, its last value
+counts, at the first one's place; in such an object texts aren't told apart.
+
+Depth and rows of the walk have no limit: `leaves` lifts those of the session
+(spark.sql.cteRecursionLevelLimit, spark.sql.cteRecursionRowLimit), which count
+when the query runs. The reader of JSON itself takes 1,000 levels.
 """
 
 from __future__ import annotations
@@ -21,17 +26,22 @@ WITH RECURSIVE walk(node, in_list, path, ord) AS (
     SELECT explode(CASE
       WHEN startswith(node, '{{') THEN transform(array(map_entries(from_json(node, 'map<string,string>'))), es -> transform(
         array_distinct(es.key),
-        (k, i) -> named_struct('node', element_at(filter(es, e -> e.key = k), -1).value, 'in_list', false,
+        (k, i) -> named_struct('node', {kept_value}, 'in_list', false,
           'path', concat(path, array(k)), 'ord', concat(ord, array(i)))))[0]
       WHEN startswith(node, '[') THEN transform(
         from_json(node, 'array<string>'),
-        (v, i) -> named_struct('node', v, 'in_list', true, 'path', path, 'ord', concat(ord, array(i))))
+        (v, i) -> named_struct('node', {kept_item}, 'in_list', true, 'path', path, 'ord', concat(ord, array(i))))
       ELSE cast(array() AS array<struct<node: string, in_list: boolean, path: array<string>, ord: array<int>>>) END) AS child
     FROM walk WHERE NOT ({leaf})))
 SELECT {fields}, path, ord FROM walk WHERE {leaf}
 """
 
 
+#: A child, or null if it is a text and no object or list.
+_VALUE = "element_at(filter(es, e -> e.key = k), -1).value"
+_CHILD = "CASE WHEN left(ltrim({value}), 1) IN ('{{', '[') AND schema_of_variant({kind}) = 'STRING' THEN NULL ELSE {value} END"
+
+
 def leaves(documents: DataFrame, keys: Sequence[str] = ("surah", "ayat"), column: str = "value") -> DataFrame:
     """keys (int), path and ord (sort by it for document order) of the leaves of JSON texts."""
     spark = documents.sparkSession
@@ -40,7 +50,11 @@ def leaves(documents: DataFrame, keys: Sequence[str] = ("surah", "ayat"), column
     has = " AND ".join(f"array_contains(json_object_keys(node), '{k}')" for k in keys)
     leaf = f"coalesce(in_list AND startswith(node, '{{') AND {has}, false)"
     fields = ", ".join(f"try_cast(get_json_object(node, '$.{k}') AS int) AS {k}" for k in keys)
-    return spark.sql(_WALK.format(source=name, leaf=leaf, fields=fields))
+    value = _CHILD.format(value=_VALUE, kind="element_at(cast(try_parse_json(node) AS map<string,variant>), k)")
+    item = _CHILD.format(value="v", kind="get(cast(try_parse_json(node) AS array<variant>), i)")
+    for limit in ("Level", "Row"):
+        spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
+    return spark.sql(_WALK.format(source=name, leaf=leaf, fields=fields, kept_value=value, kept_item=item))
 
 
 def distinct_leaves(documents: DataFrame, keys: Sequence[str] = ("surah", "ayat"), column: str = "value") -> DataFrame:

@@ -214,11 +214,11 @@ def p17_valid_pairs(spark, sf_dir):
     return pairs(spark, sf_dir).where(F.col("question").isNotNull() & F.col("answer").isNotNull())
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, 'Passage:\n' || coalesce(d.text, '') || '\nQuestion: ' || question || '\nAnswer: ' || answer AS content FROM pairs LEFT JOIN documents d ON d.doc_id = conv_id")
+@query(f"WITH {PAIRS} SELECT conv_id, turn, 'Passage:\n' || coalesce(d.text, '') || '\nQuestion: ' || question || '\nAnswer: ' || answer AS content, 'Passage:\n' || coalesce(d.text, '') || '\nQuestion: ' || question || '\nAnswer: ' || answer || '\nOne word.' AS strict FROM pairs LEFT JOIN documents d ON d.doc_id = conv_id")
 def e04_j07_judge_prompt(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "text")
     found = keyed.enriched(pairs(spark, sf_dir), docs, ["conv_id"], {"text": F.lit("")})
-    return found.select("conv_id", "turn", P.judgement("text")[1]["content"].alias("content"))
+    return found.select("conv_id", "turn", P.judgement("text")[1]["content"].alias("content"), P.judgement("text", strict=True)[1]["content"].alias("strict"))
 
 
 @query(f"""WITH {PAIRS}, replies AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN ' supported' || chr(10) WHEN 1 THEN 'NOT_SUPPORTED.' WHEN 2 THEN 'NOT SUPPORTED' WHEN 3 THEN 'maybe' WHEN 4 THEN NULL ELSE 'unsupported' END AS content FROM pairs)
@@ -232,15 +232,20 @@ def e08_f02_f03_parse_verdict(spark, sf_dir):
 # keyed records
 
 
+def urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of urgent orders; others have none."""
+    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+
+
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
 def j01_lookup(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer")
     return keyed.matched(o, c, [("o_custkey", "c_custkey")], ["c_name"]).select("o_orderkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def j02_unmatched(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders")
+    c, o = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), urgent(spark, sf_dir).withColumnRenamed("c_custkey", "o_custkey")
     return keyed.unmatched(c, o, [("c_custkey", "o_custkey")])
 
 
@@ -336,14 +341,14 @@ def a19_a20_f13_outcomes(spark, sf_dir):
     return outcomes(e)
 
 
-@query("SELECT DISTINCT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT DISTINCT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def u01_difference(spark, sf_dir):
-    return keyed.missing_keys(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    return keyed.missing_keys(table(spark, sf_dir, "customer"), urgent(spark, sf_dir), ["c_custkey"])
 
 
-@query("SELECT c_custkey FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) ORDER BY 1 LIMIT 20")
+@query("SELECT c_custkey FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ORDER BY 1 LIMIT 20")
 def o02_first_missing(spark, sf_dir):
-    return keyed.missing_keys(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], most=20)
+    return keyed.missing_keys(table(spark, sf_dir, "customer"), urgent(spark, sf_dir), ["c_custkey"], most=20)
 
 
 @query("SELECT DISTINCT n_regionkey, n_nationkey FROM nation ORDER BY 1, 2")
@@ -411,25 +416,6 @@ SQL["e01_e02_e03_generation_prompts"] = """SELECT doc_id, 'Passage ' || doc_id |
   'Passage ' || doc_id || ':\n' || coalesce(text, '') || '\nThemes:\n1. ' || source || ' → ' || lang || '\n2. ' || lang AS multi FROM documents"""
 
 
-def e05_e06_generate(spark, sf_dir):
-    """Offline generation over short documents' passages (rows only)."""
-    from concord.operators.judging import OfflineClient, generate
-
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("surah"), F.lit(0).alias("ayat"), F.col("text").alias("text_id"))
-    return generate(items, P.generation(["surah", "ayat"]), OfflineClient()).select("surah", "question", "answer", "outcome", "usage")
-
-
-def e08_e10_e11_validate(spark, sf_dir):
-    """Offline judging of pairs of turns against the user's own words (rows only)."""
-    from concord.operators.judging import OfflineClient, validate
-
-    items = pairs(spark, sf_dir).select("conv_id", "turn", F.concat_ws(" ", "question", "answer").alias("text_id"), "question", F.when(F.col("turn") % 4 == 0, F.col("answer")).otherwise("no").alias("answer"))
-    return validate(items, P.judgement(), {"A": OfflineClient(), "B": OfflineClient()}, ["conv_id", "turn"], pause=0)
-
-
-QUERIES |= {"e05_e06_generate": e05_e06_generate, "e08_e10_e11_validate": e08_e10_e11_validate}
-
-
 def t02_tree_paths(spark, sf_dir):
     """A tree of regions, nations and their keys, walked by the recursive query."""
     from concord.operators import tree
@@ -476,15 +462,18 @@ def p22_flags_equal(spark, sf_dir):
     return human_subset(rated(spark, sf_dir)).select("doc_id", (F.col("llm") == F.col("hum")).alias("same"))
 
 
-@query("""WITH replies AS (SELECT doc_id, CASE WHEN n_chars < 200 THEN ' INSUFFICIENT_EVIDENCE ' WHEN doc_id % 3 = 0 THEN '{"question": "' || lang || '", "answer": "' || source || '"}' WHEN doc_id % 3 = 1 THEN 'no json' END AS content FROM documents)
-SELECT doc_id, CASE WHEN trim(content) = 'INSUFFICIENT_EVIDENCE' THEN 'insufficient' WHEN content LIKE '{%' THEN 'ok' ELSE 'failed' END AS outcome,
+@query("""WITH replies AS (SELECT doc_id, CASE WHEN n_chars < 200 THEN ' INSUFFICIENT_EVIDENCE ' WHEN doc_id % 4 = 0 THEN '{"question": "' || lang || '", "answer": "' || source || '"}' WHEN doc_id % 4 = 1 THEN 'no json' END AS content,
+  CASE WHEN n_chars >= 200 AND doc_id % 4 > 1 THEN CASE doc_id % 4 WHEN 2 THEN 'status 400: content_filter' ELSE 'status 500' END END AS error FROM documents)
+SELECT doc_id, CASE WHEN contains(error, 'content_filter') THEN 'filtered' WHEN trim(content) = 'INSUFFICIENT_EVIDENCE' THEN 'insufficient' WHEN content LIKE '{%' THEN 'ok' ELSE 'failed' END AS outcome,
   CASE WHEN content LIKE '{%' THEN json_extract_string(content, '$.question') END AS question FROM replies""")
 def p19_p20_p21_route_replies(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    from concord.operators.judging import routed
+
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
     reply = F.to_json(F.struct(F.col("lang").alias("question"), F.col("source").alias("answer")))
-    content = T.strip(F.when(F.col("n_chars") < 200, f" {P.INSUFFICIENT} ").when(F.col("doc_id") % 3 == 0, reply).when(F.col("doc_id") % 3 == 1, "no json"))
-    parsed = F.from_json(content, "question STRING, answer STRING")
-    outcome = F.when(content == P.INSUFFICIENT, "insufficient").when(parsed["question"].isNotNull(), "ok").otherwise("failed")
+    content = F.when(F.col("n_chars") < 200, f" {P.INSUFFICIENT} ").when(k == 0, reply).when(k == 1, "no json")
+    error = F.when((F.col("n_chars") >= 200) & (k > 1), F.when(k == 2, "status 400: content_filter").otherwise("status 500"))
+    outcome, parsed = routed(content, error)
     return d.select("doc_id", outcome.alias("outcome"), parsed["question"].alias("question"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -39,6 +43,24 @@ def read_labels(spark: SparkSession, path: str, sep: str = ";", null: str = "NUL
     return found.toDF(*[c.strip() for c in found.columns])
 
 
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook that `write_excel` wrote, all columns as strings; a workbook is one task's work."""
+    from xml.etree import ElementTree
+
+    data = spark.read.format("binaryFile").load(path).select("content").head()[0]
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        sheet = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))
+    name = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    unescape = lambda t: re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), t)
+
+    def value(c) -> str | None:
+        text = c.find(f"{name}is/{name}t") if c.get("t") == "inlineStr" else c.find(f"{name}v")
+        return None if text is None else unescape(text.text or "")
+
+    header, *rows = [[value(c) for c in r] for r in sheet.iter(f"{name}row")]
+    return spark.createDataFrame(rows, StructType([StructField(h, StringType()) for h in header]))
+
+
 def read_optional(spark: SparkSession, path: str, schema: str, reader=read_log) -> DataFrame:
     """What reader finds at path, or no rows if there is no such path."""
     return reader(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], StructType.fromDDL(schema))

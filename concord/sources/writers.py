@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,18 +18,22 @@ def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def write_array(df: DataFrame, path: str, most: int = 100_000) -> int:
-    """One file with a JSON array, two spaces to a level, characters as they are; for sets of at most `most` rows."""
-    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} rows; write_lines has no such bound")
+def _put(df: DataFrame, path: str, data: bytes) -> None:
     spark = df.sparkSession
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     try:
-        out.write(bytearray(json.dumps([json.loads(r[0]) for r in rows], ensure_ascii=False, indent=2).encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
+
+
+def write_array(df: DataFrame, path: str, most: int = 100_000) -> int:
+    """One file with a JSON array, two spaces to a level, characters as they are; for sets of at most `most` rows."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows; write_lines has no such bound")
+    _put(df, path, json.dumps([json.loads(r[0]) for r in rows], ensure_ascii=False, indent=2).encode())
     return len(rows)
 
 
@@ -33,19 +42,49 @@ def write_sheet(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def write_excel(df: DataFrame, path: str, most: int = 100_000) -> None:
-    """A sheet as a workbook, where a writer for it is installed; for sets of at most `most` rows."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("writing workbooks needs openpyxl; write_sheet doesn't") from e
-    found = df.limit(most + 1).toPandas()
-    if len(found) > most:
+_PARTS = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}  # fixed values: the parts of a workbook with one sheet
+#: Characters that XML can't hold; workbooks write them as _xHHHH_.
+_UNSAFE = re.compile(r"[\x00-\x08\x0b-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+
+
+def _cell(value: object) -> str:
+    if value is None:
+        return "<c/>"
+    if isinstance(value, bool):
+        return f'<c t="b"><v>{int(value)}</v></c>'
+    if isinstance(value, int | float) and value == value and abs(value) != float("inf"):
+        return f"<c><v>{value!r}</v></c>"
+    text = _UNSAFE.sub(lambda m: f"_x{ord(m[0]):04X}_", str(value))
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+
+def write_excel(df: DataFrame, path: str, most: int = 100_000) -> int:
+    """A sheet as a workbook with a header and no index; for sets of at most `most` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
         raise ValueError(f"over {most} rows; write_sheet has no such bound")
-    found.to_excel(path, index=False)
+    body = "".join(f"<row>{''.join(map(_cell, r))}</row>" for r in [df.columns, *rows])
+    sink = io.BytesIO()
+    with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as book:
+        sheet = f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+        for name, part in (_PARTS | {"xl/worksheets/sheet1.xml": sheet}).items():
+            book.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + part)
+    _put(df, path, sink.getvalue())
+    return len(rows)
 
 
 def write_outcomes(df: DataFrame, results: str, rejects: str) -> None:
-    """Rows with outcome 'ok' or 'insufficient' go to results, 'filtered' to rejects; others are retried next time. df should be stored: it is read twice."""
-    write_lines(df.where(F.col("outcome").isin("ok", "insufficient")), results, append=True)
-    write_lines(df.where("outcome = 'filtered'"), rejects, append=True)
+    """Rows with outcome 'ok' or 'insufficient' go to results, 'filtered' to rejects; others are retried next time. df is read once: its rows may cost calls."""
+    spark = df.sparkSession
+    held = f"{results.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(held)
+    once = spark.read.schema(df.schema).parquet(held)
+    write_lines(once.where(F.col("outcome").isin("ok", "insufficient")), results, append=True)
+    write_lines(once.where("outcome = 'filtered'"), rejects, append=True)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

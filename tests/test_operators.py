@@ -27,13 +27,21 @@ def test_repeated_object_keys(spark):
     assert [(r[0], r["path"]) for r in tree.leaves(df).orderBy("ord").collect()] == [(3, ["a"]), (2, ["b"])]
 
 
+def test_deep_tree(spark):
+    node = [{"surah": 1, "ayat": 2}]
+    for k in range(500):
+        node = {f"k{k}": node, "note": '[{"surah": 9, "ayat": 9}]'} if k % 2 else [node]
+    rows = tree.leaves(spark.createDataFrame([(json.dumps(node),)], "value string")).collect()
+    assert [(r["surah"], r["ayat"], len(r["path"]), len(r["ord"])) for r in rows] == [(1, 2, 250, 501)]
+
+
 def test_tree_against_walk(spark):
     rng = random.Random(1)
 
     def make(depth):
         r = rng.random()
         if depth == 0 or r < 0.2:
-            return rng.choice([1, None, "t", {"surah": rng.randint(1, 9), "ayat": rng.randint(1, 9)}])
+            return rng.choice([1, None, "t", '{"a": [', '[{"surah": 1, "ayat": 2}]', '{"x": [{"surah": 1, "ayat": 2}]}', {"surah": rng.randint(1, 9), "ayat": rng.randint(1, 9)}])
         return {f"k{j}": make(depth - 1) for j in range(rng.randint(0, 3))} if r < 0.6 else [make(depth - 1) for _ in range(rng.randint(0, 3))]
 
     def walk(node, path, in_list, out):
@@ -132,6 +140,15 @@ def test_non_strict_sheet(spark):
     assert [(r["ID"], r["Verse_Text"], r["Difficulty_Model"], r["Notes"]) for r in got] == [("1:2", "verse", "", ""), ("1:3", "", "", "")]
 
 
+def test_last_gold_counts(spark):
+    log = spark.createDataFrame([(1, "NOT_SUPPORTED"), (1, "EMPTY"), (2, S)], "k int, A string")
+    gold = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (1, None, 3), (2, "q", 1)], "k int, question string, seq int").withColumns({"answer": F.lit("a"), "difficulty": F.lit(None).cast("string")})
+    verses = spark.createDataFrame([(1, "early", 1), (1, "late", 2)], "k int, text_id string, seq int")
+    got = sheets.non_strict_sheet(log, gold, verses, ["A"], ["k"], "seq").collect()
+    assert [(r["ID"], r["Question"], r["Verse_Text"]) for r in got] == [("1", "new", "late")] * 2
+    assert sheets.non_strict_sheet(log, gold.drop("seq"), verses.drop("seq"), ["A"], ["k"]).count() == 2
+
+
 class Flaky:
     def __init__(self, fail, error="429 slow down"):
         self.fail, self.error, self.calls = fail, error, 0
@@ -171,3 +188,22 @@ def test_generate_and_validate(spark):
     judged = judging.validate(got.where("outcome = 'ok'"), P.judgement(), {"A": judging.OfflineClient(), "B": Refusing()}, pause=0).collect()
     assert [tuple(r) for r in judged] == [(1, 1, S, S)]
     assert judging.progress(2, 10, 4.0) == {"done": 2, "each": 2.0, "remaining": 16.0} and judging.progress(0, 1, 0.0)["remaining"] is None
+
+
+def test_observed_run_and_calls_in_flight(spark, tmp_path):
+    items = spark.createDataFrame([(1, k, "word " * (k % 3)) for k in range(20)], "surah int, ayat int, text_id string")
+    plain = judging.generate(items, P.generation(["surah", "ayat"]), judging.OfflineClient(), partitions=2)
+    both = judging.generate(items, P.generation(["surah", "ayat"]), judging.OfflineClient(), partitions=2, in_flight=4)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, both.collect()))
+    ticks = iter([10.0, 14.0])
+    seen = judging.observed(both, lambda df: df.write.parquet(str(tmp_path / "out")), total=40, clock=lambda: next(ticks))
+    assert seen == {"done": 20, "usage": sum(r["usage"] for r in plain.collect()), "ok": 13, "insufficient": 7, "filtered": 0, "failed": 0, "seconds": 4.0, "each": 0.2, "remaining": 4.0}
+
+
+def test_report_is_one_row(spark):
+    rows = [(1, S, S, N, S, N), (2, N, N, N, N, N), (3, S, S, S, None, S), (4, "EMPTY", S, N, S, S)]
+    r = agreement.report(spark.createDataFrame(rows, "item int, A string, B string, C string, D string, E string"), "item", "ABC", "DE").collect()
+    assert len(r) == 1 and (r[0]["items"], r[0]["n_majority"], r[0]["n_strict"], r[0]["labelled"], r[0]["strict"]) == (4, 2, 1, 3, 0.25)
+    assert r[0]["human_observed"] == pytest.approx(2 / 3) and r[0]["kappa_A_B"] == pytest.approx(1.0)
+    empty = agreement.report(spark.createDataFrame([], "item int, A string, B string, C string, D string, E string"), "item", "ABC", "DE").collect()
+    assert len(empty) == 1 and empty[0]["items"] == 0 and empty[0]["alpha"] is None

@@ -41,6 +41,34 @@ def test_writers(spark, tmp_path):
     assert [spark.read.json(str(tmp_path / d)).count() for d in "rf"] == [1, 1]
 
 
+def test_workbook(spark, tmp_path):
+    rows = [(1, "é <&> \"q\"", True, 2.5), (2, " \n\x01_x0041_ ", None, float("nan")), (3, None, False, -1e300)]
+    df = spark.createDataFrame(rows, "k int, `a b` string, f boolean, x double")
+    path = str(tmp_path / "book.xlsx")
+    assert writers.write_excel(df, path) == 3
+    got = readers.read_workbook(spark, path)
+    assert got.columns == df.columns
+    assert [tuple(r) for r in got.collect()] == [("1", rows[0][1], "1", "2.5"), ("2", rows[1][1], None, "nan"), ("3", None, "0", "-1e+300")]
+    with pytest.raises(ValueError):
+        writers.write_excel(df, path, most=2)
+    writers.write_excel(df.limit(0), path)
+    assert readers.read_workbook(spark, path).count() == 0
+
+
+def test_outcomes_are_read_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(k, o) for k, o in enumerate(["ok", "filtered", "failed", "insufficient"])], "k int, outcome string").mapInPandas(work, "k int, outcome string")
+    writers.write_outcomes(df, str(tmp_path / "r"), str(tmp_path / "f"))
+    assert calls.value == 4 and [spark.read.json(str(tmp_path / d)).count() for d in "rf"] == [2, 1]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["f", "r"]
+
+
 SCHEMA = "surah int, ayat int, A string, seq bigint"
 
 

@@ -1,28 +1,35 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text is split into words (each with the spaces before it, as U+2581). The
-distinct words of a chunk of documents make the lattice: their substrings of at
-most the longest piece's length are exploded and equi-joined to the piece table,
-the edges found are grouped by word, and Spark's aggregate function folds them in
-order of their ends into the best path (Viterbi): of all segmentations the one
-with the largest sum of scores, ties to the longer last piece. A character that is
-no piece is written as its bytes, if need be. Decoding joins pieces and bytes
-again and restores spaces.
+A text is split into words (each with the spaces before it, as U+2581), and words
+into segments at places that no piece reaches over. The distinct segments of a
+chunk of documents make the lattice: their substrings, bounded by the longest piece
+that starts there, are exploded and equi-joined to the piece table, the edges found
+are grouped by segment and end, and Spark's aggregate function folds them in order
+of their ends into the scores of the best paths (Viterbi): of all segmentations the
+one with the largest sum of scores, ties to the longer last piece. The path is then
+read back from the scores. A character that is no piece is written as its bytes, if
+need be. Decoding joins pieces and bytes again and restores spaces.
 
 The scores are those of the model file. For a unigram model this is its own
 encoding; for a BPE model it is the best-scoring segmentation over its pieces,
-which its merges may not reach.
-
-Nothing is shuffled: the substrings of a word follow each other out of explode and
-the broadcast join, so edges are grouped as they come, and the documents of a
-chunk, packed, follow its words through the plan. Rows are streamed; a task holds
-the words of one chunk. The piece table has the size of the vocabulary, at most
+which its merges may not reach. Pieces that score less than other pieces which make
+up the same text are on no best path and stay out of the lattice.
+
+Nothing is shuffled: the substrings of a segment follow each other out of explode
+and the broadcast join, so edges are grouped as they come, and the documents of a
+chunk, packed, follow its segments through the plan. Edges carry their segment's
+number, and a chunk whose segments don't come back complete raises an error. Rows
+are streamed; a task holds the segments of one chunk. The fold takes ends in blocks
+and carries the scores that pieces can reach, so a segment of any length is folded
+in the same way. The piece table has the size of the vocabulary, at most
 `MOST_PIECES`, and is broadcast.
 
-Defined cases: null and empty texts have no pieces; words over `long_word`
-characters go through the same recurrence in Python, a word at a time, as arrays
-of the fold would be copied for each edge; repeated rows give a row each; extra
-columns are ignored; no rows give no rows.
+Segments are told apart by 64-bit hashes; each document is compared with the
+segments that stand for it, and one that differs is encoded by the same recurrence
+in plain Python.
+
+Defined cases: null and empty texts have no pieces; repeated rows give a row each;
+extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +46,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import text_or_empty
-from concord.llm.wordhash import slices
+from concord.llm.wordhash import _BASE, _powers, mix, slices
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _NORMAL, _BYTE, _USER = 1, 6, 4
 MOST_PIECES = 1_000_000
+#: Ends in a block of the fold.
+_BLOCK = 256
+_SLOTS = 1 << 20
 
 
 @cache
@@ -105,175 +116,394 @@ def decode(ids: list[int], path: str) -> str:
     return out[1:] if out[:1] == " " else out
 
 
-def _path(ends: Column) -> Column:
-    """Ids along the best path. ends: for each end from 1 on, the edges (start, score, id) that end there, at least one."""
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+class Lattice(NamedTuple):
+    """What the lattice needs of a model: arrays by character index and by piece id."""
 
-    def step(done: Column, edges: Column) -> Column:
-        # the best edge: by score, then by the earlier start
-        tried = F.transform(edges, lambda e: F.struct((F.get(done, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
-        chosen = F.transform(F.array(F.array_max(tried)), lambda x: F.struct(x["score"].alias("score"), F.concat(F.get(done, -x["back"])["ids"], F.array(x["id"])).alias("ids")))
-        return F.concat(done, chosen)
+    pieces: list[tuple[int, str, float]]  # on some best path
+    longest: int
+    index: np.ndarray  # of each code point; 0 for characters of no piece
+    joins: np.ndarray  # whether a piece holds two characters in a row
+    starts: np.ndarray  # whether a piece starts with two characters
+    reach: np.ndarray  # by a hash of three characters, the longest piece that starts with them
+    score: np.ndarray  # of each id
+    text: np.ndarray  # the bytes of all pieces in a row, byte pieces as their byte
+    at: np.ndarray  # where an id's bytes begin
 
-    return F.aggregate(ends, begin, step, lambda done: F.element_at(done, -1)["ids"])
 
+def _worth(text: str, score: float, scores: dict[str, float], unknown: float) -> bool:
+    """Whether no other pieces make up the text with a larger sum."""
+    best = [0.0] + [-np.inf] * len(text)
+    for j in range(1, len(text) + 1):
+        for i in range(j):
+            if j - i < len(text):
+                one = scores.get(text[i:j], unknown if j == i + 1 else -np.inf)
+                best[j] = max(best[j], best[i] + one)
+    return best[-1] <= score + 1e-9 * abs(score)
 
-def lattice(words: DataFrame, path: str) -> DataFrame:
-    """word (its number), start, end, score and id of the edges of words (number, word, packed), in the order of words; rows of no word keep packed."""
-    table, _, _, unknown = model(path)
-    longest = max(len(t) for _, t, _ in table)
-    known = F.broadcast(words.sparkSession.createDataFrame(table, "id int, piece string, score double"))
+
+def _slot(a, b, c):
+    return (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) >> 7 & _SLOTS - 1
+
+
+@cache
+def lattice_of(path: str) -> Lattice:
+    table, first, texts, unknown = model(path)
+    scores = {t: s for _, t, s in table}
+    kept = [(i, t, s) for i, t, s in table if len(t) == 1 or _worth(t, s, scores, unknown)]
+    index = np.zeros(0x110000, np.int16 if len({c for _, t, _ in kept for c in t}) < 32767 else np.int32)
+    for k, c in enumerate(sorted({c for _, t, _ in kept for c in t}), 1):
+        index[ord(c)] = k
+    n = int(index.max()) + 1
+    joins, starts, reach = np.zeros((n, n), bool), np.zeros((n, n), bool), np.zeros(_SLOTS, np.uint8)
+    for _, t, _ in kept:
+        of = [int(index[ord(c)]) for c in t]
+        for a, b in zip(of, of[1:], strict=False):
+            joins[a, b] = True
+        if len(t) > 1:
+            starts[of[0], of[1]] = True
+        if len(t) > 2:
+            slot = _slot(*of[:3])
+            reach[slot] = max(reach[slot], min(len(t), 255))
+    joins[np.arange(n) != index[ord(SPACE)], index[ord(SPACE)]] = False  # a word begins there
+    joins[0] = joins[:, 0] = False
+    bytes_ = [bytes([i - first]) if first <= i < first + 256 else t.encode() for i, t in enumerate(texts)]
+    score = np.full(len(texts), unknown)
+    score[[i for i, _, _ in kept]] = [s for _, _, s in kept]
+    longest = max(len(t) for _, t, _ in kept)
+    if longest > 255:
+        raise ValueError("pieces of over 255 characters aren't supported")
+    return Lattice(kept, longest, index, joins, starts, reach, score, np.frombuffer(b"".join(bytes_), np.uint8), np.cumsum([0, *map(len, bytes_)]))
+
+
+class Segments(NamedTuple):
+    """The segments of some texts, in a row."""
+
+    text: str  # of all texts, spaces as U+2581
+    hashes: np.ndarray
+    begin: np.ndarray  # where segments begin, and the end
+    first: np.ndarray  # the first segment of each text, and the end
+    most: np.ndarray  # characters of the longest piece that may start at a character
+
+
+def segments(texts: list[str], path: str) -> Segments:
+    of = lattice_of(path)
+    marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+    text = "".join(marked)
+    places = np.cumsum([0, *map(len, marked)])
+    n = len(text)
+    if not n:
+        return Segments("", np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int8))
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    index = of.index[points].astype(np.int64)
+    new = np.ones(n + 1, bool)
+    new[1:-1] = ~of.joins[index[:-1], index[1:]]
+    new[places] = True
+    begin = np.flatnonzero(new)
+    up, down = _powers(n)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        hashes = mix((sums[begin[1:]] - sums[begin[:-1]]) * down[begin[:-1]] + np.diff(begin).astype(np.uint64) * np.uint64(_BASE))
+    left = np.repeat(begin[1:], np.diff(begin)) - np.arange(n)  # characters to the segment's end
+    most = np.ones(n, np.int64)
+    two = np.flatnonzero(left > 1)
+    most[two] += of.starts[index[two], index[two + 1]]
+    three = np.flatnonzero(left > 2)
+    most[three] = np.maximum(most[three], of.reach[_slot(index[three], index[three + 1], index[three + 2])])
+    return Segments(text, hashes.view(np.int64), begin, np.searchsorted(begin, places), np.minimum(most, left).astype(np.uint8))
+
+
+def _bits(number, start, size):
+    """Number, start and size of a substring as one number; columns or arrays."""
+    return number * (1 << 36) + start * (1 << 8) + size
+
+
+def lattice(chunks: DataFrame, path: str) -> DataFrame:
+    """code (see `_bits`) and id of the edges of segments (number, segment, most, packed), in the order of segments; rows of no segment keep packed."""
+    table = lattice_of(path).pieces
+    known = F.broadcast(chunks.sparkSession.createDataFrame(table, "id int, piece string, score double").select("id", "piece", F.xxhash64("piece").alias("hash")))
     # places and lengths are exploded as numbers and cut out in generated code
-    n = F.length("word")
-    at = words.select("number", "packed", "word", F.explode_outer(F.when(F.col("word").isNotNull(), F.sequence(F.lit(1), n))).alias("place"))
-    most = F.least(F.lit(longest), n - F.col("place") + 1)
-    spans = at.select("number", "packed", "word", "place", F.explode_outer(F.when(F.col("place").isNotNull(), F.sequence(F.lit(1), most))).alias("size"))
-    spans = spans.select("number", "packed", (F.col("place") - 1).alias("start"), F.substring("word", F.col("place"), F.col("size")).alias("piece"))
-    joined = spans.join(known, "piece", "left").where(F.col("id").isNotNull() | F.col("piece").isNull() | (F.length("piece") == 1))
-    return joined.select(
-        "number", "start", (F.col("start") + F.length("piece")).alias("end"), F.coalesce("score", F.lit(float(unknown))).alias("score"),
-        F.coalesce("id", -F.ascii("piece")).alias("id"), "packed",
-    )
-
-
-_ENDS = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("score", pa.float64()), ("id", pa.int32())])))
-
-
-def _grouped(edges: DataFrame) -> DataFrame:
-    """ends of each word: for each end its edges, by start; edges of a word come one after another."""
-
-    def give(number: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
-        word = np.cumsum(np.append(False, number[1:] != number[:-1]))
-        order = np.lexsort((start, end, word))
-        word, end = word[order], end[order]
-        first = np.flatnonzero(np.append(True, (end[1:] != end[:-1]) | (word[1:] != word[:-1])))
-        inner = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x[order]) for x in (start, score, id_)], fields=list(_ENDS.value_type.value_type)))
-        outer = np.flatnonzero(np.append(True, word[first][1:] != word[first][:-1]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(outer, len(first)).astype(np.int32)), inner)
-        return pa.RecordBatch.from_arrays([lists, pa.array([None] * len(outer), pa.binary())], names=["ends", "packed"])
+    at = chunks.select("number", "packed", "segment", F.posexplode_outer("most").alias("start", "size"))
+    spans = at.select("number", "packed", "segment", "start", F.explode_outer(F.when(F.col("size").isNotNull(), F.sequence(F.lit(1), F.col("size").cast("int")))).alias("size"))
+    spans = spans.select("packed", _bits(F.col("number"), F.col("start").cast("long"), F.col("size")).alias("code"), F.substring("segment", F.col("start") + 1, F.col("size")).alias("span"), "size")
+    joined = spans.withColumn("hash", F.xxhash64("span")).alias("s").join(known.alias("k"), (F.col("s.hash") == F.col("k.hash")) & (F.col("span") == F.col("piece")), "left")
+    joined = joined.where(F.col("id").isNotNull() | F.col("size").isNull() | (F.col("size") == 1))
+    return joined.select("code", F.coalesce("id", -F.ascii("span")).alias("id"), "packed")
+
+
+def _scores(blocks: Column, longest: int) -> Column:
+    """The score of the best path to each end, in order.
+
+    blocks: of `_BLOCK` ends each; an end is its edges (at, score), at least one,
+    where `at` counts from the first of the `longest` scores before the block.
+    """
+
+    def step(done: Column, edges: Column) -> Column:
+        return F.concat(done, F.array(F.array_max(F.transform(edges, lambda e: F.get(done, e["at"]) + e["score"]))))
+
+    def block(state: Column, ends: Column) -> Column:
+        found = F.transform(F.array(F.aggregate(ends, state["carry"], step)), lambda x: F.struct(F.slice(x, -longest, longest).alias("carry"), F.concat(state["all"], F.slice(x, longest + 1, F.size(ends))).alias("all")))
+        return F.get(found, F.lit(0))
+
+    carry = F.array(*[F.lit(float("-inf"))] * (longest - 1), F.lit(0.0))
+    return F.aggregate(blocks, F.struct(carry.alias("carry"), F.array().cast("array<double>").alias("all")), block, lambda x: x["all"])
+
+
+_EDGE = pa.struct([("at", pa.int32()), ("score", pa.float64())])
+_BLOCKS = pa.list_(pa.list_(pa.list_(_EDGE)))
+
+
+def _lists(begin: np.ndarray, total: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(begin, total).astype(np.int32)), values)
+
+
+def _binary(at: np.ndarray, values: np.ndarray) -> pa.Array:
+    """values, parted at `at` (which ends with their number), as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _grouped(edges: DataFrame, path: str) -> DataFrame:
+    """number, blocks and edges (code and id) of each segment, edges by end and start; edges of a segment come one after another."""
+
+    def give(code: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
+        of = lattice_of(path)
+        start, size = code >> 8 & (1 << 28) - 1, code & 255
+        end = (code >> 36 << 28) + start + size  # with the number
+        order = np.argsort(end, kind="stable")
+        code, id_, start, end = code[order], id_[order].astype(np.int64), start[order], end[order]
+        first = np.flatnonzero(np.diff(end, prepend=-1))
+        place = (end & (1 << 28) - 1) - 1  # of each edge's end, from 0
+        score = np.where(id_ >= 0, of.score[np.maximum(id_, 0)], of.score.min())
+        at = start - (place // _BLOCK * _BLOCK - of.longest + 1)
+        number, place = end[first] >> 28, place[first]
+        ends = _lists(first, len(end), pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(score)], fields=list(_EDGE)))
+        begin = np.flatnonzero(place % _BLOCK == 0)
+        blocks = _lists(begin, len(first), ends)
+        words = np.flatnonzero(np.diff(number[begin], prepend=-1))
+        rows = np.append(first[begin[words]], len(code))
+        both = np.stack([code, id_], axis=1).ravel()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(number[begin[words]]), _lists(words, len(begin), blocks), _binary(2 * rows, both), pa.array([None] * len(words), pa.binary())], names=["number", "blocks", "edges", "packed"]
+        )
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        code, id_ = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in batches:
-            marks = np.flatnonzero(np.asarray(batch.column(5).is_valid()))
+            marks = np.flatnonzero(np.asarray(batch.column(2).is_valid()))
             lo = 0
             for hi in [*marks.tolist(), batch.num_rows]:
-                some = [c.to_numpy() for c in batch.slice(lo, hi - lo).columns[:5]] if hi > lo else None
-                if some is not None:
-                    some = [x.astype(t) for x, t in zip(some, (np.int64, np.int32, np.int32, np.float64, np.int32), strict=True)]
-                    held = some if held is None else [np.concatenate(x) for x in zip(held, some, strict=True)]
-                    last = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on
-                    if last:
-                        yield give(*[x[:last] for x in held])
-                        held = [x[last:] for x in held]
+                if hi > lo:
+                    some = batch.slice(lo, hi - lo)
+                    code, id_ = np.concatenate([code, some.column(0).to_numpy()]), np.concatenate([id_, some.column(1).to_numpy()])
                 if hi < batch.num_rows:
-                    if held is not None:
-                        yield give(*held)
-                        held = None
-                    yield pa.RecordBatch.from_arrays([pa.array([None], _ENDS), batch.column(5).slice(hi, 1)], names=["ends", "packed"])
+                    if len(code):
+                        yield give(code, id_)
+                        code, id_ = code[:0], id_[:0]
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], _BLOCKS), pa.array([None], pa.binary()), batch.column(2).slice(hi, 1)], names=["number", "blocks", "edges", "packed"])
+                elif len(code) > 100_000:  # the last segment may go on
+                    last = int(np.searchsorted(code, code[-1] >> 36 << 36))
+                    if last:
+                        yield give(code[:last], id_[:last])
+                        code, id_ = code[last:], id_[last:]
                 lo = hi + 1
-        if held is not None:
-            yield give(*held)
-
-    return edges.mapInArrow(group, "ends array<array<struct<start:int,score:double,id:int>>>, packed binary")
-
-
-def _words(texts: list[str], long_word: int) -> dict[str, int]:
-    """The distinct words of texts that go into the lattice, numbered as they come."""
-    out: dict[str, int] = {}
-    for t in texts:
-        for w in split(t):
-            if len(w) <= long_word:
-                out.setdefault(w, len(out))
-    return out
-
-
-def _chunks(docs: DataFrame, long_word: int, chunk: int) -> DataFrame:
-    """number and word of the distinct words of each chunk, then a row with its documents, packed."""
+        if len(code):
+            yield give(code, id_)
+
+    return edges.mapInArrow(group, "number bigint, blocks array<array<array<struct<at:int,score:double>>>>, edges binary, packed binary")
+
+
+def _trace(scores: np.ndarray, place: np.ndarray, number: np.ndarray, edges: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the best paths, and where each segment's begin. scores: of all ends, a segment's from `place` on; edges: code and id, a segment's from `at` on.
+
+    Of the edges that reach an end with its score the first, the longest, is taken.
+    """
+    code, id_, score = edges
+    owner = np.repeat(np.arange(len(number)), np.diff(at))
+    start = code >> 8 & (1 << 28) - 1
+    # a place for 0, then one for each end
+    base = place[:-1] + np.arange(len(number))
+    known = np.insert(scores, place[:-1], 0.0)
+    to = base[owner] + start + (code & 255)
+    best = np.flatnonzero(known[base[owner] + start] + score == known[to])
+    best = best[np.append(True, to[best][1:] != to[best][:-1])]
+    if len(best) != len(scores):
+        raise RuntimeError("the scores of the fold aren't those of its edges")
+    back, by = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    back[to[best]], by[to[best]] = base[owner[best]] + start[best], id_[best]
+    here, who, steps = base + np.diff(place), np.arange(len(number)), []
+    while len(here):
+        steps.append((who, by[here]))
+        here = back[here]
+        more = here != base[who]
+        here, who = here[more], who[more]
+    who, ids = np.concatenate([x for x, _ in steps][::-1]), np.concatenate([x for _, x in steps][::-1])
+    order = np.argsort(who, kind="stable")
+    return ids[order], np.searchsorted(who[order], np.arange(len(number) + 1))
+
+
+def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
+    """number, segment and most (bounds of its substrings) of the distinct segments of each chunk, then a row with its documents, packed."""
+    names = ["number", "segment", "most", "packed"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def give() -> Iterator[pa.RecordBatch]:
-            words = list(_words([t for b in held for t in b.column(1).to_pylist()], long_word))
-            for lo in range(0, len(words), 20_000):
-                some = words[lo : lo + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(some)), pa.int64()), pa.array(some, pa.string()), pa.array([None] * len(some), pa.binary())], names=["number", "word", "packed"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for b in held:
-                    out.write_batch(b)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["number", "word", "packed"])
+        known: set[int] = set()
+        sink, out, size = None, None, 0
+
+        def finish() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.list_(pa.int16())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=names)
 
         for batch in batches:
             for some in slices(batch, 1):
-                held.append(some)
+                if out is None:
+                    sink = pa.BufferOutputStream()
+                    out = pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                out.write_batch(some)
                 size += some.column(1).nbytes
+                found = segments(some.column(1).to_pylist(), path)
+                hashes, where = np.unique(found.hashes, return_index=True)
+                fresh = np.array([h not in known for h in hashes.tolist()], bool)
+                where = np.sort(where[fresh]) if len(hashes) else where
+                numbers = np.arange(len(known), len(known) + len(where))
+                known.update(found.hashes[where].tolist())
+                begin, end = found.begin[where], found.begin[where + 1]
+                lengths = end - begin
+                for lo in range(0, len(where), 4096):
+                    part = slice(lo, lo + 4096)
+                    text = [found.text[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
+                    n = lengths[part]
+                    at = np.append(0, np.cumsum(n))
+                    chars = np.repeat(begin[part] - at[:-1], n) + np.arange(at[-1])
+                    most = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.most[chars].astype(np.int16)))
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[part]), pa.array(text, pa.string()), most, pa.array([None] * len(text), pa.binary())], names=names)
                 if size > chunk:
-                    yield from give()
-                    held, size = [], 0
-        if held:
-            yield from give()
+                    yield finish()
+                    known, out, size = set(), None, 0
+        if out is not None:
+            yield finish()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(read, "number bigint, word string, packed binary")
+    return rows.mapInArrow(read, "number bigint, segment string, most array<smallint>, packed binary")
+
+
+def _ragged(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of values, each from at[row] to at[row + 1], one after another; and where each begins, with the end."""
+    n = at[rows + 1] - at[rows]
+    begin = np.append(0, np.cumsum(n))
+    return values[np.repeat(at[rows] - begin[:-1], n) + np.arange(begin[-1])], begin
+
+
+class _Codes:
+    """The segments of a chunk as their ids come in."""
+
+    def __init__(self, path: str):
+        self.path, self.parts = path, []
+
+    def add(self, number: np.ndarray, scores: pa.Array, edges: pa.Array) -> None:
+        of, first = lattice_of(self.path), model(self.path)[1]
+        place = scores.offsets.to_numpy().astype(np.int64)
+        values = scores.values.to_numpy()[place[0] : place[-1]]
+        data = np.frombuffer(edges.buffers()[2], np.int64).reshape(-1, 2)
+        at = np.frombuffer(edges.buffers()[1], np.int32)[edges.offset : edges.offset + len(edges) + 1].astype(np.int64) // 16
+        code, id_ = data[at[0] : at[-1], 0], data[at[0] : at[-1], 1]
+        score = np.where(id_ >= 0, of.score[np.maximum(id_, 0)], of.score.min())
+        ids, begin = _trace(values, place - place[0], number, (code, id_, score), at - at[0])
+        if (ids < 0).any():  # characters of no piece, as bytes
+            each = [chr(-i).encode() if i < 0 else None for i in ids.tolist()]
+            size = np.array([len(b) if b else 1 for b in each])
+            begin = np.append(0, np.cumsum(size))[begin]
+            ids = np.concatenate([[first + x for x in b] if b else [i] for b, i in zip(each, ids.tolist(), strict=True)])
+        self.parts.append((number, np.diff(begin), ids))
+
+    def table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments by number, and where each one's begin."""
+        number = np.concatenate([x for x, _, _ in self.parts]) if self.parts else np.zeros(0, np.int64)
+        if not np.array_equal(np.sort(number), np.arange(n)):
+            raise RuntimeError("the segments of a chunk didn't come back complete")
+        sizes = np.concatenate([x for _, x, _ in self.parts]) if n else np.zeros(0, np.int64)
+        ids = np.concatenate([x for _, _, x in self.parts]) if n else np.zeros(0, np.int64)
+        order = np.argsort(number, kind="stable")
+        return _ragged(ids, np.append(0, np.cumsum(sizes)), order)
 
 
 ENCODED = "doc_id bigint, n_pieces bigint, n_bytes_pieces bigint, ids_crc32 bigint, round_trip boolean"
 
 
-def encode(docs: DataFrame, path: str, schema: str, give, long_word: int = 256, chunk: int = 48 << 20) -> DataFrame:
-    """give(doc_id, text, ids as little-endian unsigned 32-bit bytes) for each row of docs, as rows of schema."""
-    grouped = _grouped(lattice(_chunks(docs, long_word, chunk), path))
-    paths = grouped.select(F.when(F.col("ends").isNotNull(), _path(F.col("ends"))).alias("ids"), "packed")
+def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 24 << 20) -> DataFrame:
+    """give(doc_ids, texts, ids, where each one's ids begin), as columns of schema, for slices of docs; ids: little-endian unsigned 32-bit."""
+    grouped = _grouped(lattice(_chunks(docs, path, chunk), path), path)
+    longest = lattice_of(path).longest
+    paths = grouped.select("number", F.when(F.col("blocks").isNotNull(), _scores(F.col("blocks"), longest)).alias("scores"), "edges", "packed")
     kinds = pa.schema([(x.split(" ")[0], {"bigint": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}[x.split(" ")[1]]) for x in schema.split(", ")])
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slow(text: str) -> list[int]:
         first = model(path)[1]
-        found: list[bytes] = []
-
-        def as_bytes(x: list[int]) -> bytes:
-            return np.array([j for i in x for j in ([i] if i >= 0 else [first + b for b in chr(-i).encode()])], "<u4").tobytes()
+        return [j for w in split(text) for i in viterbi(w, path) for j in ([i] if i >= 0 else [first + b for b in chr(-i).encode()])]
+
+    def finish(packed: bytes, codes: _Codes) -> Iterator[pa.RecordBatch]:
+        known: dict[int, int] = {}
+        held: list[str] = []
+        read = [b for b in pa.ipc.open_stream(packed)]
+        for some in read:  # numbers are given again as the chunk gave them
+            found = segments(some.column(1).to_pylist(), path)
+            hashes, where = np.unique(found.hashes, return_index=True)
+            for k in np.sort(where).tolist():
+                h = int(found.hashes[k])
+                if h not in known:
+                    known[h] = len(known)
+                    held.append(found.text[found.begin[k] : found.begin[k + 1]])
+        values, at = codes.table(len(known))
+        for some in read:
+            texts = some.column(1).to_pylist()
+            found = segments(texts, path)
+            hashes, which = np.unique(found.hashes, return_inverse=True)
+            numbers = np.array([known[h] for h in hashes.tolist()], np.int64)[which] if len(hashes) else np.zeros(0, np.int64)
+            ids, begin = _ragged(values, at, numbers)
+            of_text = begin[found.first]
+            if "".join([held[k] for k in numbers.tolist()]) != found.text:  # a hash of two segments
+                each = [slow(t) for t in texts]
+                ids, of_text = np.array([i for x in each for i in x], np.int64), np.cumsum([0, *map(len, each)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(give(some.column(0), texts, ids.astype("<u4"), of_text), kinds.types, strict=True)], schema=kinds)
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(path)
         for batch in batches:
-            ids = batch.column(0)
-            flat, at = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
-            little = flat.astype("<u4").tobytes()
-            odd = np.append(0, np.cumsum(flat < 0)).tolist()
-            for k, (valid, a, b) in enumerate(zip(np.asarray(ids.is_valid()).tolist(), at[:-1], at[1:], strict=True)):
-                if valid:
-                    found.append(little[4 * a : 4 * b] if odd[a] == odd[b] else as_bytes(flat[a:b].tolist()))
-                    continue
-                packed = [b for b in pa.ipc.open_stream(batch.column(1)[k].as_py())]
-                words = _words([t for b in packed for t in b.column(1).to_pylist()], long_word)
-                if len(words) != len(found):
-                    raise RuntimeError("the words of a chunk have lost their order")
-                known = dict(zip(words, found, strict=True))
-                found = []
-                for b in packed:
-                    rows = []
-                    for doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                        rows.append(give(doc, text, b"".join([known[w] if len(w) <= long_word else as_bytes(viterbi(w, path)) for w in split(text)])))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k_) for c, k_ in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+            marks = np.flatnonzero(np.asarray(batch.column(3).is_valid()))
+            lo = 0
+            for hi in [*marks.tolist(), batch.num_rows]:
+                if hi > lo:
+                    some = batch.slice(lo, hi - lo)
+                    codes.add(some.column(0).to_numpy(), some.column(1), some.column(2))
+                if hi < batch.num_rows:
+                    yield from finish(batch.column(3)[hi].as_py(), codes)
+                    codes = _Codes(path)
+                lo = hi + 1
 
     return paths.mapInArrow(apply, schema)
 
 
-def report(docs: DataFrame, path: str) -> DataFrame:
+def report(docs: DataFrame, path: str, **settings) -> DataFrame:
     """Per row: doc_id, n_pieces, n_bytes_pieces, ids_crc32, and whether decoding the ids gives the text again."""
 
-    def give(doc: int | None, text: str, ids: bytes) -> tuple:
-        _, first, _, _ = model(path)
-        values = np.frombuffer(ids, "<u4")
-        return doc, len(values), int(((values >= first) & (values < first + 256)).sum()), zlib.crc32(ids), decode(values.tolist(), path) == text
+    def give(doc_ids: pa.Array, texts: list[str], ids: np.ndarray, at: np.ndarray) -> list:
+        of, first = lattice_of(path), model(path)[1]
+        in_bytes = np.append(0, np.cumsum((ids >= first) & (ids < first + 256)))
+        data, byte_at = _ragged(of.text, of.at, ids.astype(np.int64))
+        whole, ends, places = data.tobytes(), byte_at[at].tolist(), at.tolist()
+        back = [whole[a:b].decode(errors="replace").replace(SPACE, " ") for a, b in zip(ends, ends[1:], strict=False)]
+        same = [(b[1:] if b[:1] == " " else b) == t for b, t in zip(back, texts, strict=True)]
+        return [doc_ids, np.diff(at), in_bytes[at[1:]] - in_bytes[at[:-1]], [zlib.crc32(ids[a:b]) for a, b in zip(places, places[1:], strict=False)], same]
 
-    return encode(docs, path, ENCODED, give)
+    return encode(docs, path, ENCODED, give, **settings)
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
+def encoded(docs: DataFrame, path: str, **settings) -> DataFrame:
     """Per row: doc_id and ids."""
-    return encode(docs, path, "doc_id bigint, ids array<int>", lambda doc, _, ids: (doc, np.frombuffer(ids, "<i4").tolist()))
+
+    def give(doc_ids: pa.Array, texts: list[str], ids: np.ndarray, at: np.ndarray) -> list:
+        return [doc_ids, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+
+    return encode(docs, path, "doc_id bigint, ids array<int>", give, **settings)
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:

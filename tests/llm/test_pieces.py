@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
@@ -38,8 +40,33 @@ def test_encode_and_decode(documents):
     assert ids == sorted([(i, plain(t or "")) for i, t in rows], key=str)
     texts = sorted([tuple(r) for r in pieces.decoded(got, PATH).collect()], key=str)
     assert texts == sorted([(i, (t or "").replace("▁", " ")) for i, t in rows], key=str)
-    small = pieces.encode(documents(rows), PATH, "doc_id bigint, ids array<int>", lambda d, _, x: (d, [int.from_bytes(x[k : k + 4], "little") for k in range(0, len(x), 4)]), chunk=200)
+    small = pieces.encoded(documents(rows), PATH, chunk=200)
     assert sorted([(r["doc_id"], r["ids"]) for r in small.collect()], key=str) == ids
+    told = {(r["doc_id"], r["n_pieces"], r["ids_crc32"]) for r in pieces.report(documents(rows), PATH).collect() if r["round_trip"] or r["doc_id"] is None}
+    assert told == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids}
+
+
+def test_long_segments(documents):
+    rng = random.Random(5)
+    rows = [(1, "the" * 30_000), (2, "".join(rng.choice("theandi") for _ in range(2_000))), (3, " " * 5000 + "x"), (4, "漢" * 700 + "\n" * 300)]
+    assert {r["doc_id"]: r["ids"] for r in pieces.encoded(documents(rows), PATH).collect()} == {i: plain(t) for i, t in rows}
+
+
+def test_segments_part_where_no_piece_reaches():
+    rng, of = random.Random(3), pieces.lattice_of(PATH)
+    all_, kept = {t for _, t, _ in pieces.model(PATH)[0]}, {t for _, t, _ in of.pieces}
+    assert kept < all_ and {t for t in all_ if len(t) == 1} <= kept
+    texts = ["".join(rng.choice("the andüé.,$\n漢9Q") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    found = pieces.segments(texts, PATH)
+    assert found.text == "".join("▁" + t.replace(" ", "▁") for t in texts if t)
+    cuts, ends = set(found.begin.tolist()), np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+    assert set(ends.tolist()) <= cuts and found.begin[found.first].tolist() == ends.tolist()
+    for a, b in zip(found.begin, found.begin[1:]):
+        for i in range(a, b):
+            for j in range(i + 1, min(b, i + 16) + 1):
+                assert found.text[i:j] not in kept or j - i <= found.most[i]
+    for t in texts:  # pieces that stay out are on no best path
+        assert all(k < 0 or pieces.model(PATH)[2][k] in kept for w in pieces.split(t) for k in pieces.viterbi(w, PATH))
 
 
 def test_no_rows(documents):

@@ -24,9 +24,8 @@ and carries the scores that pieces can reach, so a segment of any length is fold
 in the same way. The piece table has the size of the vocabulary, at most
 `MOST_PIECES`, and is broadcast.
 
-Segments are told apart by 64-bit hashes; each document is compared with the
-segments that stand for it, and one that differs is encoded by the same recurrence
-in plain Python.
+Segments are told apart by 64-bit hashes; each document is decoded again from its
+ids, and one that differs is encoded by the same recurrence in plain Python.
 
 Defined cases: null and empty texts have no pieces; repeated rows give a row each;
 extra columns are ignored; no rows give no rows.
@@ -179,10 +178,10 @@ class Segments(NamedTuple):
     """The segments of some texts, in a row."""
 
     text: str  # of all texts, spaces as U+2581
+    index: np.ndarray  # of its characters
     hashes: np.ndarray
     begin: np.ndarray  # where segments begin, and the end
     first: np.ndarray  # the first segment of each text, and the end
-    most: np.ndarray  # characters of the longest piece that may start at a character
 
 
 def segments(texts: list[str], path: str) -> Segments:
@@ -191,26 +190,27 @@ def segments(texts: list[str], path: str) -> Segments:
     text = "".join(marked)
     places = np.cumsum([0, *map(len, marked)])
     n = len(text)
-    if not n:
-        return Segments("", np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int8))
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    index = of.index[points].astype(np.int64)
+    index = of.index[points]
     new = np.ones(n + 1, bool)
     new[1:-1] = ~of.joins[index[:-1], index[1:]]
     new[places] = True
-    begin = np.flatnonzero(new)
+    begin = np.flatnonzero(new) if n else np.zeros(1, np.int64)
     up, down = _powers(n)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        hashes = mix((sums[begin[1:]] - sums[begin[:-1]]) * down[begin[:-1]] + np.diff(begin).astype(np.uint64) * np.uint64(_BASE))
-    left = np.repeat(begin[1:], np.diff(begin)) - np.arange(n)  # characters to the segment's end
-    most = np.ones(n, np.int64)
-    two = np.flatnonzero(left > 1)
-    most[two] += of.starts[index[two], index[two + 1]]
-    three = np.flatnonzero(left > 2)
-    most[three] = np.maximum(most[three], of.reach[_slot(index[three], index[three + 1], index[three + 2])])
-    return Segments(text, hashes.view(np.int64), begin, np.searchsorted(begin, places), np.minimum(most, left).astype(np.uint8))
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        hashes = mix(mix((sums[begin[1:]] - sums[begin[:-1]]) * down[begin[:-1]]) + np.diff(begin).astype(np.uint64) * np.uint64(_BASE))
+    return Segments(text, index, hashes.view(np.int64), begin, np.searchsorted(begin, places))
+
+
+def bounds(index: np.ndarray, left: np.ndarray, path: str) -> np.ndarray:
+    """Characters of the longest piece that may start at each character; left: characters to its segment's end."""
+    of = lattice_of(path)
+    index = np.append(index.astype(np.int64), [0, 0])
+    a, b, c = index[:-2], index[1:-1], index[2:]
+    most = np.where((left > 1) & of.starts[a, b], 2, 1)
+    return np.minimum(np.where(left > 2, np.maximum(most, of.reach[_slot(a, b, c)]), most), left).astype(np.int16)
 
 
 def _bits(number, start, size):
@@ -341,12 +341,15 @@ def _trace(scores: np.ndarray, place: np.ndarray, number: np.ndarray, edges: np.
     return ids[order], np.searchsorted(who[order], np.arange(len(number) + 1))
 
 
+_CHUNK = "number bigint, segment string, most array<smallint>, packed binary"
+
+
 def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """number, segment and most (bounds of its substrings) of the distinct segments of each chunk, then a row with its documents, packed."""
-    names = ["number", "segment", "most", "packed"]
+    """number, segment and most (bounds of its substrings) of the distinct segments of each chunk, then a row with its documents and their segments' numbers, packed."""
+    names = [x.split(" ")[0] for x in _CHUNK.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
+        known, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)  # hashes, ascending, and their segments' numbers
         sink, out, size = None, None, 0
 
         def finish() -> pa.RecordBatch:
@@ -355,35 +358,41 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 
         for batch in batches:
             for some in slices(batch, 1):
+                found = segments(some.column(1).to_pylist(), path)
+                hashes, where, which = np.unique(found.hashes, return_index=True, return_inverse=True)
+                at = np.searchsorted(known, hashes)
+                fresh = at == len(known)
+                fresh[~fresh] = known[at[~fresh]] != hashes[~fresh]
+                n = len(known)
+                of = np.empty(len(hashes), np.int64)
+                of[~fresh] = numbers[at[~fresh]]
+                of[fresh] = np.arange(n, n + fresh.sum())
+                known, numbers = np.insert(known, at[fresh], hashes[fresh]), np.insert(numbers, at[fresh], of[fresh])
+                occurring = _binary(found.first, of[which].astype(np.uint32))
+                row = pa.RecordBatch.from_arrays([*some.columns, occurring], names=["doc_id", "text", "segments"])
                 if out is None:
                     sink = pa.BufferOutputStream()
-                    out = pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-                out.write_batch(some)
+                    out = pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                out.write_batch(row)
                 size += some.column(1).nbytes
-                found = segments(some.column(1).to_pylist(), path)
-                hashes, where = np.unique(found.hashes, return_index=True)
-                fresh = np.array([h not in known for h in hashes.tolist()], bool)
-                where = np.sort(where[fresh]) if len(hashes) else where
-                numbers = np.arange(len(known), len(known) + len(where))
-                known.update(found.hashes[where].tolist())
+                where = where[fresh]
                 begin, end = found.begin[where], found.begin[where + 1]
-                lengths = end - begin
                 for lo in range(0, len(where), 4096):
-                    part = slice(lo, lo + 4096)
-                    text = [found.text[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
-                    n = lengths[part]
-                    at = np.append(0, np.cumsum(n))
-                    chars = np.repeat(begin[part] - at[:-1], n) + np.arange(at[-1])
-                    most = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.most[chars].astype(np.int16)))
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers[part]), pa.array(text, pa.string()), most, pa.array([None] * len(text), pa.binary())], names=names)
+                    b, e = begin[lo : lo + 4096], end[lo : lo + 4096]
+                    text = [found.text[x:y] for x, y in zip(b.tolist(), e.tolist(), strict=True)]
+                    offsets = np.append(0, np.cumsum(e - b))
+                    chars = np.repeat(b - offsets[:-1], e - b) + np.arange(offsets[-1])
+                    most = bounds(found.index[chars], np.repeat(e, e - b) - chars, path)
+                    some_numbers = np.arange(n + lo, n + lo + len(b))
+                    yield pa.RecordBatch.from_arrays([pa.array(some_numbers), pa.array(text, pa.string()), _lists(offsets[:-1], offsets[-1], pa.array(most)), pa.array([None] * len(b), pa.binary())], names=names)
                 if size > chunk:
                     yield finish()
-                    known, out, size = set(), None, 0
+                    known, numbers, out, size = known[:0], numbers[:0], None, 0
         if out is not None:
             yield finish()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(read, "number bigint, segment string, most array<smallint>, packed binary")
+    return rows.mapInArrow(read, _CHUNK)
 
 
 def _ragged(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,6 +402,15 @@ def _ragged(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return values[np.repeat(at[rows] - begin[:-1], n) + np.arange(begin[-1])], begin
 
 
+def decodes(ids: np.ndarray, at: np.ndarray, path: str) -> list[str]:
+    """The texts that ids stand for, each one's from `at` on."""
+    of = lattice_of(path)
+    data, begin = _ragged(of.text, of.at, ids.astype(np.int64))
+    whole, ends = data.tobytes(), begin[at].tolist()
+    texts = [whole[a:b].decode(errors="replace").replace(SPACE, " ") for a, b in zip(ends, ends[1:], strict=False)]
+    return [t[1:] if t[:1] == " " else t for t in texts]
+
+
 class _Codes:
     """The segments of a chunk as their ids come in."""
 
@@ -415,14 +433,12 @@ class _Codes:
             ids = np.concatenate([[first + x for x in b] if b else [i] for b, i in zip(each, ids.tolist(), strict=True)])
         self.parts.append((number, np.diff(begin), ids))
 
-    def table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments by number, and where each one's begin."""
-        number = np.concatenate([x for x, _, _ in self.parts]) if self.parts else np.zeros(0, np.int64)
-        if not np.array_equal(np.sort(number), np.arange(n)):
-            raise RuntimeError("the segments of a chunk didn't come back complete")
-        sizes = np.concatenate([x for _, x, _ in self.parts]) if n else np.zeros(0, np.int64)
-        ids = np.concatenate([x for _, _, x in self.parts]) if n else np.zeros(0, np.int64)
+        number, sizes, ids = (np.concatenate([x[k] for x in self.parts]) if self.parts else np.zeros(0, np.int64) for k in range(3))
         order = np.argsort(number, kind="stable")
+        if not np.array_equal(number[order], np.arange(len(order))):
+            raise RuntimeError("the segments of a chunk didn't come back as they were numbered")
         return _ragged(ids, np.append(0, np.cumsum(sizes)), order)
 
 
@@ -430,7 +446,7 @@ ENCODED = "doc_id bigint, n_pieces bigint, n_bytes_pieces bigint, ids_crc32 bigi
 
 
 def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 24 << 20) -> DataFrame:
-    """give(doc_ids, texts, ids, where each one's ids begin), as columns of schema, for slices of docs; ids: little-endian unsigned 32-bit."""
+    """give(doc_ids, texts, ids, where each one's ids begin, texts decoded from them), as columns of schema, for slices of docs; ids: little-endian unsigned 32-bit."""
     grouped = _grouped(lattice(_chunks(docs, path, chunk), path), path)
     longest = lattice_of(path).longest
     paths = grouped.select("number", F.when(F.col("blocks").isNotNull(), _scores(F.col("blocks"), longest)).alias("scores"), "edges", "packed")
@@ -440,30 +456,26 @@ def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 24 << 20)
         first = model(path)[1]
         return [j for w in split(text) for i in viterbi(w, path) for j in ([i] if i >= 0 else [first + b for b in chr(-i).encode()])]
 
-    def finish(packed: bytes, codes: _Codes) -> Iterator[pa.RecordBatch]:
-        known: dict[int, int] = {}
-        held: list[str] = []
-        read = [b for b in pa.ipc.open_stream(packed)]
-        for some in read:  # numbers are given again as the chunk gave them
-            found = segments(some.column(1).to_pylist(), path)
-            hashes, where = np.unique(found.hashes, return_index=True)
-            for k in np.sort(where).tolist():
-                h = int(found.hashes[k])
-                if h not in known:
-                    known[h] = len(known)
-                    held.append(found.text[found.begin[k] : found.begin[k + 1]])
-        values, at = codes.table(len(known))
-        for some in read:
+    def finish(packed: pa.Buffer, codes: _Codes) -> Iterator[pa.RecordBatch]:
+        values, at = codes.table()
+        for some in pa.ipc.open_stream(packed):
             texts = some.column(1).to_pylist()
-            found = segments(texts, path)
-            hashes, which = np.unique(found.hashes, return_inverse=True)
-            numbers = np.array([known[h] for h in hashes.tolist()], np.int64)[which] if len(hashes) else np.zeros(0, np.int64)
+            held = some.column(2)
+            first = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64) // 4
+            numbers = np.frombuffer(held.buffers()[2] or b"", np.uint32)[first[0] : first[-1]].astype(np.int64)
+            if len(numbers) and numbers.max() >= len(at) - 1:
+                raise RuntimeError("segments of a chunk are missing")
             ids, begin = _ragged(values, at, numbers)
-            of_text = begin[found.first]
-            if "".join([held[k] for k in numbers.tolist()]) != found.text:  # a hash of two segments
-                each = [slow(t) for t in texts]
-                ids, of_text = np.array([i for x in each for i in x], np.int64), np.cumsum([0, *map(len, each)])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(give(some.column(0), texts, ids.astype("<u4"), of_text), kinds.types, strict=True)], schema=kinds)
+            begin = begin[first - first[0]]
+            back = decodes(ids, begin, path)
+            if wrong := [k for k, (b, t) in enumerate(zip(back, texts, strict=True)) if b != t]:
+                # one hash of two segments; or the text holds U+2581 itself, and comes to the same
+                each = [ids[x:y].tolist() for x, y in zip(begin.tolist(), begin[1:].tolist(), strict=False)]
+                for k in wrong:
+                    each[k] = slow(texts[k])
+                ids, begin = np.array([i for x in each for i in x], np.int64), np.cumsum([0, *map(len, each)])
+                back = decodes(ids, begin, path)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(give(some.column(0), texts, ids.astype("<u4"), begin, back), kinds.types, strict=True)], schema=kinds)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(path)
@@ -475,7 +487,7 @@ def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 24 << 20)
                     some = batch.slice(lo, hi - lo)
                     codes.add(some.column(0).to_numpy(), some.column(1), some.column(2))
                 if hi < batch.num_rows:
-                    yield from finish(batch.column(3)[hi].as_py(), codes)
+                    yield from finish(batch.column(3)[hi].as_buffer(), codes)
                     codes = _Codes(path)
                 lo = hi + 1
 
@@ -485,14 +497,11 @@ def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 24 << 20)
 def report(docs: DataFrame, path: str, **settings) -> DataFrame:
     """Per row: doc_id, n_pieces, n_bytes_pieces, ids_crc32, and whether decoding the ids gives the text again."""
 
-    def give(doc_ids: pa.Array, texts: list[str], ids: np.ndarray, at: np.ndarray) -> list:
-        of, first = lattice_of(path), model(path)[1]
+    def give(doc_ids: pa.Array, texts: list[str], ids: np.ndarray, at: np.ndarray, back: list[str]) -> list:
+        first = model(path)[1]
         in_bytes = np.append(0, np.cumsum((ids >= first) & (ids < first + 256)))
-        data, byte_at = _ragged(of.text, of.at, ids.astype(np.int64))
-        whole, ends, places = data.tobytes(), byte_at[at].tolist(), at.tolist()
-        back = [whole[a:b].decode(errors="replace").replace(SPACE, " ") for a, b in zip(ends, ends[1:], strict=False)]
-        same = [(b[1:] if b[:1] == " " else b) == t for b, t in zip(back, texts, strict=True)]
-        return [doc_ids, np.diff(at), in_bytes[at[1:]] - in_bytes[at[:-1]], [zlib.crc32(ids[a:b]) for a, b in zip(places, places[1:], strict=False)], same]
+        places = at.tolist()
+        return [doc_ids, np.diff(at), in_bytes[at[1:]] - in_bytes[at[:-1]], [zlib.crc32(ids[a:b]) for a, b in zip(places, places[1:], strict=False)], [b == t for b, t in zip(back, texts, strict=True)]]
 
     return encode(docs, path, ENCODED, give, **settings)
 
@@ -500,7 +509,7 @@ def report(docs: DataFrame, path: str, **settings) -> DataFrame:
 def encoded(docs: DataFrame, path: str, **settings) -> DataFrame:
     """Per row: doc_id and ids."""
 
-    def give(doc_ids: pa.Array, texts: list[str], ids: np.ndarray, at: np.ndarray) -> list:
+    def give(doc_ids: pa.Array, _texts: list[str], ids: np.ndarray, at: np.ndarray, _back: list[str]) -> list:
         return [doc_ids, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
     return encode(docs, path, "doc_id bigint, ids array<int>", give, **settings)

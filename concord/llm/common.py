@@ -56,6 +56,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def session_for_narrow_rows(spark: SparkSession) -> SparkSession:
+    """A session with the settings of spark in which batches for Python aren't bounded by bytes.
+
+    Spark asks for a batch's bytes after every row, which takes several times as long as
+    writing a row of a few numbers. Rows of unbounded size must be cut before they go to
+    Python in this session: a batch has spark.sql.execution.arrow.maxRecordsPerBatch of them.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1))
+    return own
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

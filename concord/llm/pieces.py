@@ -15,6 +15,7 @@ encoding; for a BPE model it is the best-scoring segmentation over its pieces,
 which its merges may not reach. Pieces that score less than other pieces which make
 up the same text are on no best path and stay out of the lattice.
 
+It runs several times as fast in a session from `common.session_for_narrow_rows`.
 Nothing is shuffled: the substrings of a segment follow each other out of explode
 and the broadcast join, so edges are grouped as they come, and the documents of a
 chunk, packed, follow its segments through the plan. Edges carry their segment's
@@ -45,12 +46,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import text_or_empty
-from concord.llm.wordhash import _BASE, _powers, mix, slices
+from concord.llm.wordhash import _BASE, _powers, mix
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _NORMAL, _BYTE, _USER = 1, 6, 4
 MOST_PIECES = 1_000_000
+#: Bytes of a row of text on its way to Python, so that a batch of rows is bounded.
+_PART = 1 << 13
 #: Ends in a block of the fold.
 _BLOCK = 256
 _SLOTS = 1 << 20
@@ -120,7 +123,7 @@ class Lattice(NamedTuple):
 
     pieces: list[tuple[int, str, float]]  # on some best path
     longest: int
-    index: np.ndarray  # of each code point; 0 for characters of no piece
+    index: np.ndarray  # of each code point; 0 for those of no longer piece than one character
     joins: np.ndarray  # whether a piece holds two characters in a row
     starts: np.ndarray  # whether a piece starts with two characters
     reach: np.ndarray  # by a hash of three characters, the longest piece that starts with them
@@ -149,8 +152,11 @@ def lattice_of(path: str) -> Lattice:
     table, first, texts, unknown = model(path)
     scores = {t: s for _, t, s in table}
     kept = [(i, t, s) for i, t, s in table if len(t) == 1 or _worth(t, s, scores, unknown)]
-    index = np.zeros(0x110000, np.int16 if len({c for _, t, _ in kept for c in t}) < 32767 else np.int32)
-    for k, c in enumerate(sorted({c for _, t, _ in kept for c in t}), 1):
+    chars = sorted({c for _, t, _ in kept if len(t) > 1 for c in t} | {SPACE})
+    index = np.zeros(0x110000, np.uint16)
+    if len(chars) > 4095:  # tables of pairs stay within 16 MB each
+        raise ValueError("over 4,095 characters in pieces of several aren't supported")
+    for k, c in enumerate(chars, 1):
         index[ord(c)] = k
     n = int(index.max()) + 1
     joins, starts, reach = np.zeros((n, n), bool), np.zeros((n, n), bool), np.zeros(_SLOTS, np.uint8)
@@ -226,31 +232,32 @@ def lattice(chunks: DataFrame, path: str) -> DataFrame:
     at = chunks.select("number", "packed", "segment", F.posexplode_outer("most").alias("start", "size"))
     spans = at.select("number", "packed", "segment", "start", F.explode_outer(F.when(F.col("size").isNotNull(), F.sequence(F.lit(1), F.col("size").cast("int")))).alias("size"))
     spans = spans.select("packed", _bits(F.col("number"), F.col("start").cast("long"), F.col("size")).alias("code"), F.substring("segment", F.col("start") + 1, F.col("size")).alias("span"), "size")
-    joined = spans.withColumn("hash", F.xxhash64("span")).alias("s").join(known.alias("k"), (F.col("s.hash") == F.col("k.hash")) & (F.col("span") == F.col("piece")), "left")
+    # one number is the key; that the texts are equal, too, is said so that it doesn't become a second key
+    same = F.startswith("span", F.col("piece")) & F.startswith("piece", F.col("span"))
+    joined = spans.withColumn("hash", F.xxhash64("span")).alias("s").join(known.alias("k"), (F.col("s.hash") == F.col("k.hash")) & same, "left")
     joined = joined.where(F.col("id").isNotNull() | F.col("size").isNull() | (F.col("size") == 1))
     return joined.select("code", F.coalesce("id", -F.ascii("span")).alias("id"), "packed")
 
 
-def _scores(blocks: Column, longest: int) -> Column:
-    """The score of the best path to each end, in order.
+def _scores(longest: int) -> Column:
+    """The score of the best path to each end, in order, from the column blocks.
 
-    blocks: of `_BLOCK` ends each; an end is its edges (at, score), at least one,
-    where `at` counts from the first of the `longest` scores before the block.
+    blocks: of `_BLOCK` ends each; an end is the scores of its edges from the shortest
+    to the longest piece that ends there, minus infinity where there is none between.
     """
 
     def step(done: Column, edges: Column) -> Column:
-        return F.concat(done, F.array(F.array_max(F.transform(edges, lambda e: F.get(done, e["at"]) + e["score"]))))
+        return F.concat(done, F.array(F.array_max(F.transform(edges, lambda score, k: score + F.element_at(done, -1 - k)))))
 
     def block(state: Column, ends: Column) -> Column:
         found = F.transform(F.array(F.aggregate(ends, state["carry"], step)), lambda x: F.struct(F.slice(x, -longest, longest).alias("carry"), F.concat(state["all"], F.slice(x, longest + 1, F.size(ends))).alias("all")))
         return F.get(found, F.lit(0))
 
     carry = F.array(*[F.lit(float("-inf"))] * (longest - 1), F.lit(0.0))
-    return F.aggregate(blocks, F.struct(carry.alias("carry"), F.array().cast("array<double>").alias("all")), block, lambda x: x["all"])
+    return F.aggregate("blocks", F.struct(carry.alias("carry"), F.array().cast("array<double>").alias("all")), block, lambda x: x["all"])
 
 
-_EDGE = pa.struct([("at", pa.int32()), ("score", pa.float64())])
-_BLOCKS = pa.list_(pa.list_(pa.list_(_EDGE)))
+_GROUPED = "number bigint, blocks array<array<array<double>>>, edges binary, packed binary"
 
 
 def _lists(begin: np.ndarray, total: int, values: pa.Array) -> pa.Array:
@@ -263,7 +270,8 @@ def _binary(at: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def _grouped(edges: DataFrame, path: str) -> DataFrame:
-    """number, blocks and edges (code and id) of each segment, edges by end and start; edges of a segment come one after another."""
+    """number, blocks (see `_scores`) and edges (code and id) of each segment, edges by end and start; edges of a segment come one after another."""
+    names = [x.split(" ")[0] for x in _GROUPED.split(", ")]
 
     def give(code: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
         of = lattice_of(path)
@@ -273,17 +281,18 @@ def _grouped(edges: DataFrame, path: str) -> DataFrame:
         code, id_, start, end = code[order], id_[order].astype(np.int64), start[order], end[order]
         first = np.flatnonzero(np.diff(end, prepend=-1))
         place = (end & (1 << 28) - 1) - 1  # of each edge's end, from 0
-        score = np.where(id_ >= 0, of.score[np.maximum(id_, 0)], of.score.min())
-        at = start - (place // _BLOCK * _BLOCK - of.longest + 1)
+        widths = np.maximum.reduceat(size[order], first)
+        offsets = np.cumsum(widths) - widths
+        scores = np.full(int(widths.sum()), -np.inf)
+        scores[np.repeat(offsets, np.diff(np.append(first, len(code)))) + size[order] - 1] = np.where(id_ >= 0, of.score[np.maximum(id_, 0)], of.score.min())
         number, place = end[first] >> 28, place[first]
-        ends = _lists(first, len(end), pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(score)], fields=list(_EDGE)))
         begin = np.flatnonzero(place % _BLOCK == 0)
-        blocks = _lists(begin, len(first), ends)
         words = np.flatnonzero(np.diff(number[begin], prepend=-1))
         rows = np.append(first[begin[words]], len(code))
+        blocks = _lists(words, len(begin), _lists(begin, len(first), _lists(offsets, len(scores), pa.array(scores))))
         both = np.stack([code, id_], axis=1).ravel()
         return pa.RecordBatch.from_arrays(
-            [pa.array(number[begin[words]]), _lists(words, len(begin), blocks), _binary(2 * rows, both), pa.array([None] * len(words), pa.binary())], names=["number", "blocks", "edges", "packed"]
+            [pa.array(number[begin[words]]), blocks, _binary(2 * rows, both), pa.array([None] * len(words), pa.binary())], names=names
         )
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +308,8 @@ def _grouped(edges: DataFrame, path: str) -> DataFrame:
                     if len(code):
                         yield give(code, id_)
                         code, id_ = code[:0], id_[:0]
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], _BLOCKS), pa.array([None], pa.binary()), batch.column(2).slice(hi, 1)], names=["number", "blocks", "edges", "packed"])
+                    lacking = [pa.nulls(1, t) for t in (pa.int64(), pa.list_(pa.list_(pa.list_(pa.float64()))), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*lacking, batch.column(2).slice(hi, 1)], names=names)
                 elif len(code) > 100_000:  # the last segment may go on
                     last = int(np.searchsorted(code, code[-1] >> 36 << 36))
                     if last:
@@ -309,7 +319,7 @@ def _grouped(edges: DataFrame, path: str) -> DataFrame:
         if len(code):
             yield give(code, id_)
 
-    return edges.mapInArrow(group, "number bigint, blocks array<array<array<struct<at:int,score:double>>>>, edges binary, packed binary")
+    return edges.mapInArrow(group, _GROUPED)
 
 
 def _trace(scores: np.ndarray, place: np.ndarray, number: np.ndarray, edges: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,6 +351,30 @@ def _trace(scores: np.ndarray, place: np.ndarray, number: np.ndarray, edges: np.
     return ids[order], np.searchsorted(who[order], np.arange(len(number) + 1))
 
 
+def _whole_texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `size` bytes, of doc_id and text, from rows (doc_id, part of the text as bytes, whether it is the last)."""
+    ids: list[int | None] = []
+    texts: list[bytes] = []
+    held, parts = 0, []
+
+    def give() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+
+    for batch in batches:
+        for doc, part, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts.append(part)
+            if last:
+                ids.append(doc)
+                texts.append(b"".join(parts) if len(parts) > 1 else part)
+                held += len(texts[-1])
+                parts = []
+                if held > size:
+                    yield give()
+                    ids, texts, held = [], [], 0
+    if ids:
+        yield give()
+
+
 _CHUNK = "number bigint, segment string, most array<smallint>, packed binary"
 
 
@@ -356,42 +390,44 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             out.close()
             return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.list_(pa.int16())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=names)
 
-        for batch in batches:
-            for some in slices(batch, 1):
-                found = segments(some.column(1).to_pylist(), path)
-                hashes, where, which = np.unique(found.hashes, return_index=True, return_inverse=True)
-                at = np.searchsorted(known, hashes)
-                fresh = at == len(known)
-                fresh[~fresh] = known[at[~fresh]] != hashes[~fresh]
-                n = len(known)
-                of = np.empty(len(hashes), np.int64)
-                of[~fresh] = numbers[at[~fresh]]
-                of[fresh] = np.arange(n, n + fresh.sum())
-                known, numbers = np.insert(known, at[fresh], hashes[fresh]), np.insert(numbers, at[fresh], of[fresh])
-                occurring = _binary(found.first, of[which].astype(np.uint32))
-                row = pa.RecordBatch.from_arrays([*some.columns, occurring], names=["doc_id", "text", "segments"])
-                if out is None:
-                    sink = pa.BufferOutputStream()
-                    out = pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-                out.write_batch(row)
-                size += some.column(1).nbytes
-                where = where[fresh]
-                begin, end = found.begin[where], found.begin[where + 1]
-                for lo in range(0, len(where), 4096):
-                    b, e = begin[lo : lo + 4096], end[lo : lo + 4096]
-                    text = [found.text[x:y] for x, y in zip(b.tolist(), e.tolist(), strict=True)]
-                    offsets = np.append(0, np.cumsum(e - b))
-                    chars = np.repeat(b - offsets[:-1], e - b) + np.arange(offsets[-1])
-                    most = bounds(found.index[chars], np.repeat(e, e - b) - chars, path)
-                    some_numbers = np.arange(n + lo, n + lo + len(b))
-                    yield pa.RecordBatch.from_arrays([pa.array(some_numbers), pa.array(text, pa.string()), _lists(offsets[:-1], offsets[-1], pa.array(most)), pa.array([None] * len(b), pa.binary())], names=names)
-                if size > chunk:
-                    yield finish()
-                    known, numbers, out, size = known[:0], numbers[:0], None, 0
+        for some in _whole_texts(batches, 1 << 18):
+            found = segments(some.column(1).to_pylist(), path)
+            hashes, where, which = np.unique(found.hashes, return_index=True, return_inverse=True)
+            at = np.searchsorted(known, hashes)
+            fresh = at == len(known)
+            fresh[~fresh] = known[at[~fresh]] != hashes[~fresh]
+            n = len(known)
+            of = np.empty(len(hashes), np.int64)
+            of[~fresh] = numbers[at[~fresh]]
+            of[fresh] = np.arange(n, n + fresh.sum())
+            known, numbers = np.insert(known, at[fresh], hashes[fresh]), np.insert(numbers, at[fresh], of[fresh])
+            occurring = _binary(found.first, of[which].astype(np.uint32))
+            row = pa.RecordBatch.from_arrays([*some.columns, occurring], names=["doc_id", "text", "segments"])
+            if out is None:
+                sink = pa.BufferOutputStream()
+                out = pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            out.write_batch(row)
+            size += some.column(1).nbytes
+            where = where[fresh]
+            begin, end = found.begin[where], found.begin[where + 1]
+            for lo in range(0, len(where), 4096):
+                b, e = begin[lo : lo + 4096], end[lo : lo + 4096]
+                text = [found.text[x:y] for x, y in zip(b.tolist(), e.tolist(), strict=True)]
+                offsets = np.append(0, np.cumsum(e - b))
+                chars = np.repeat(b - offsets[:-1], e - b) + np.arange(offsets[-1])
+                most = bounds(found.index[chars], np.repeat(e, e - b) - chars, path)
+                some_numbers = np.arange(n + lo, n + lo + len(b))
+                yield pa.RecordBatch.from_arrays([pa.array(some_numbers), pa.array(text, pa.string()), _lists(offsets[:-1], offsets[-1], pa.array(most)), pa.array([None] * len(b), pa.binary())], names=names)
+            if size > chunk:
+                yield finish()
+                known, numbers, out, size = known[:0], numbers[:0], None, 0
         if out is not None:
             yield finish()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    text = text_or_empty().cast("binary")
+    last = F.floor(F.greatest(F.octet_length(text) - 1, F.lit(0)) / _PART)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"), last.alias("last"))
+    rows = rows.select("doc_id", F.substring("text", (F.col("part") * _PART + 1).cast("int"), F.lit(_PART)).alias("text"), (F.col("part") == F.col("last")).alias("last"))
     return rows.mapInArrow(read, _CHUNK)
 
 
@@ -445,11 +481,11 @@ class _Codes:
 ENCODED = "doc_id bigint, n_pieces bigint, n_bytes_pieces bigint, ids_crc32 bigint, round_trip boolean"
 
 
-def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 16 << 20) -> DataFrame:
     """give(doc_ids, texts, ids, where each one's ids begin, texts decoded from them), as columns of schema, for slices of docs; ids: little-endian unsigned 32-bit."""
     grouped = _grouped(lattice(_chunks(docs, path, chunk), path), path)
     longest = lattice_of(path).longest
-    paths = grouped.select("number", F.when(F.col("blocks").isNotNull(), _scores(F.col("blocks"), longest)).alias("scores"), "edges", "packed")
+    paths = grouped.select("number", F.when(F.col("blocks").isNotNull(), _scores(longest)).alias("scores"), "edges", "packed")
     kinds = pa.schema([(x.split(" ")[0], {"bigint": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}[x.split(" ")[1]]) for x in schema.split(", ")])
 
     def slow(text: str) -> list[int]:

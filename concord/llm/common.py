@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,18 +56,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def session_for_narrow_rows(spark: SparkSession) -> SparkSession:
+def session_for_narrow_rows(spark: SparkSession, batch: int = 4000) -> SparkSession:
     """A session with the settings of spark in which batches for Python aren't bounded by bytes.
 
     Spark asks for a batch's bytes after every row, which takes several times as long as
     writing a row of a few numbers. Rows of unbounded size must be cut before they go to
-    Python in this session: a batch has spark.sql.execution.arrow.maxRecordsPerBatch of them.
+    Python in this session: a batch has `batch` of them.
     """
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and own.conf.isModifiable(key):
             own.conf.set(key, value)
     own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     return own
 
 
@@ -94,9 +95,9 @@ def split_by_bitmap(df: DataFrame, key: Column, flat: np.ndarray) -> tuple[DataF
     """Rows whose key (a 64-bit hash, not null) may be in the bitmap, and the others."""
     held = df.sparkSession.sparkContext.broadcast(flat)
 
-    @F.pandas_udf("boolean")
-    def marked(values: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(held.value, values.to_numpy()))
+    @F.arrow_udf("boolean")
+    def marked(values: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(held.value, values.to_numpy()))
 
     return df.where(marked(key)), df.where(~marked(key))
 

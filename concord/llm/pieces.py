@@ -118,6 +118,11 @@ def decode(ids: list[int], path: str) -> str:
     return out[1:] if out[:1] == " " else out
 
 
+def _lean() -> None:
+    """Let a worker give memory of Arrow back when it is free: three workers serve each task."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 class Lattice(NamedTuple):
     """What the lattice needs of a model: arrays by character index and by piece id."""
 
@@ -250,11 +255,12 @@ def _scores(longest: int) -> Column:
         return F.concat(done, F.array(F.array_max(F.transform(edges, lambda score, k: score + F.element_at(done, -1 - k)))))
 
     def block(state: Column, ends: Column) -> Column:
-        found = F.transform(F.array(F.aggregate(ends, state["carry"], step)), lambda x: F.struct(F.slice(x, -longest, longest).alias("carry"), F.concat(state["all"], F.slice(x, longest + 1, F.size(ends))).alias("all")))
+        before = F.size(state["carry"])
+        kept = lambda x: F.slice(x, F.greatest(F.size(x) - (longest - 1), F.lit(1)), longest)
+        found = F.transform(F.array(F.aggregate(ends, state["carry"], step)), lambda x: F.struct(kept(x).alias("carry"), F.concat(state["all"], F.slice(x, before + 1, F.size(ends))).alias("all")))
         return F.get(found, F.lit(0))
 
-    carry = F.array(*[F.lit(float("-inf"))] * (longest - 1), F.lit(0.0))
-    return F.aggregate("blocks", F.struct(carry.alias("carry"), F.array().cast("array<double>").alias("all")), block, lambda x: x["all"])
+    return F.aggregate("blocks", F.struct(F.array(F.lit(0.0)).alias("carry"), F.array().cast("array<double>").alias("all")), block, lambda x: x["all"])
 
 
 _GROUPED = "number bigint, blocks array<array<array<double>>>, edges binary, packed binary"
@@ -296,6 +302,7 @@ def _grouped(edges: DataFrame, path: str) -> DataFrame:
         )
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         code, id_ = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in batches:
             marks = np.flatnonzero(np.asarray(batch.column(2).is_valid()))
@@ -361,16 +368,17 @@ def _whole_texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
 
     for batch in batches:
-        for doc, part, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parts.append(part)
-            if last:
-                ids.append(doc)
-                texts.append(b"".join(parts) if len(parts) > 1 else part)
-                held += len(texts[-1])
-                parts = []
-                if held > size:
-                    yield give()
-                    ids, texts, held = [], [], 0
+        for lo in range(0, batch.num_rows, 64):
+            for doc, part, last in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
+                parts.append(part)
+                if last:
+                    ids.append(doc)
+                    texts.append(b"".join(parts) if len(parts) > 1 else part)
+                    held += len(texts[-1])
+                    parts = []
+                    if held > size:
+                        yield give()
+                        ids, texts, held = [], [], 0
     if ids:
         yield give()
 
@@ -383,6 +391,7 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     names = [x.split(" ")[0] for x in _CHUNK.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         known, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)  # hashes, ascending, and their segments' numbers
         sink, out, size = None, None, 0
 
@@ -481,7 +490,7 @@ class _Codes:
 ENCODED = "doc_id bigint, n_pieces bigint, n_bytes_pieces bigint, ids_crc32 bigint, round_trip boolean"
 
 
-def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 12 << 20) -> DataFrame:
     """give(doc_ids, texts, ids, where each one's ids begin, texts decoded from them), as columns of schema, for slices of docs; ids: little-endian unsigned 32-bit."""
     grouped = _grouped(lattice(_chunks(docs, path, chunk), path), path)
     longest = lattice_of(path).longest
@@ -514,6 +523,7 @@ def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 16 << 20)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(give(some.column(0), texts, ids.astype("<u4"), begin, back), kinds.types, strict=True)], schema=kinds)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         codes = _Codes(path)
         for batch in batches:
             marks = np.flatnonzero(np.asarray(batch.column(3).is_valid()))

@@ -56,7 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def session_for_narrow_rows(spark: SparkSession, batch: int = 4000) -> SparkSession:
+def session_for_narrow_rows(spark: SparkSession, batch: int = 2000) -> SparkSession:
     """A session with the settings of spark in which batches for Python aren't bounded by bytes.
 
     Spark asks for a batch's bytes after every row, which takes several times as long as

@@ -34,6 +34,7 @@ extra columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from collections.abc import Iterator
@@ -119,8 +120,11 @@ def decode(ids: list[int], path: str) -> str:
 
 
 def _lean() -> None:
-    """Let a worker give memory of Arrow back when it is free: three workers serve each task."""
+    """Let a worker give memory back as soon as it is free: three workers serve each task."""
     pa.set_memory_pool(pa.system_memory_pool())
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):  # fixed thresholds, which else grow with what was freed
+        libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
 
 
 class Lattice(NamedTuple):
@@ -252,7 +256,7 @@ def _scores(longest: int) -> Column:
     """
 
     def step(done: Column, edges: Column) -> Column:
-        return F.concat(done, F.array(F.array_max(F.transform(edges, lambda score, k: score + F.element_at(done, -1 - k)))))
+        return F.array_append(done, F.array_max(F.transform(edges, lambda score, k: score + F.element_at(done, -1 - k))))
 
     def block(state: Column, ends: Column) -> Column:
         before = F.size(state["carry"])
@@ -397,7 +401,9 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 
         def finish() -> pa.RecordBatch:
             out.close()
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.list_(pa.int16())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=names)
+            data = sink.getvalue()
+            packed = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.size], np.int32)), data])
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.list_(pa.int16()))), packed], names=names)
 
         for some in _whole_texts(batches, 1 << 18):
             found = segments(some.column(1).to_pylist(), path)
@@ -410,8 +416,9 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             of[~fresh] = numbers[at[~fresh]]
             of[fresh] = np.arange(n, n + fresh.sum())
             known, numbers = np.insert(known, at[fresh], hashes[fresh]), np.insert(numbers, at[fresh], of[fresh])
-            occurring = _binary(found.first, of[which].astype(np.uint32))
-            row = pa.RecordBatch.from_arrays([*some.columns, occurring], names=["doc_id", "text", "segments"])
+            occurring = of[which]  # in two columns, which are smaller when compressed
+            parts = [_binary(found.first, occurring.astype(np.uint16)), _binary(found.first, (occurring >> 16).astype(np.uint16))]
+            row = pa.RecordBatch.from_arrays([*some.columns, *parts], names=["doc_id", "text", "low", "high"])
             if out is None:
                 sink = pa.BufferOutputStream()
                 out = pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
@@ -476,11 +483,11 @@ class _Codes:
             size = np.array([len(b) if b else 1 for b in each])
             begin = np.append(0, np.cumsum(size))[begin]
             ids = np.concatenate([[first + x for x in b] if b else [i] for b, i in zip(each, ids.tolist(), strict=True)])
-        self.parts.append((number, np.diff(begin), ids))
+        self.parts.append((number.astype(np.int32), np.diff(begin).astype(np.int32), ids.astype(np.int32)))  # copies: the batch goes
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments by number, and where each one's begin."""
-        number, sizes, ids = (np.concatenate([x[k] for x in self.parts]) if self.parts else np.zeros(0, np.int64) for k in range(3))
+        number, sizes, ids = (np.concatenate([x[k] for x in self.parts]) if self.parts else np.zeros(0, np.int32) for k in range(3))
         order = np.argsort(number, kind="stable")
         if not np.array_equal(number[order], np.arange(len(order))):
             raise RuntimeError("the segments of a chunk didn't come back as they were numbered")
@@ -490,7 +497,7 @@ class _Codes:
 ENCODED = "doc_id bigint, n_pieces bigint, n_bytes_pieces bigint, ids_crc32 bigint, round_trip boolean"
 
 
-def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 12 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 20 << 20) -> DataFrame:
     """give(doc_ids, texts, ids, where each one's ids begin, texts decoded from them), as columns of schema, for slices of docs; ids: little-endian unsigned 32-bit."""
     grouped = _grouped(lattice(_chunks(docs, path, chunk), path), path)
     longest = lattice_of(path).longest
@@ -505,13 +512,13 @@ def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 12 << 20)
         values, at = codes.table()
         for some in pa.ipc.open_stream(packed):
             texts = some.column(1).to_pylist()
-            held = some.column(2)
-            first = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64) // 4
-            numbers = np.frombuffer(held.buffers()[2] or b"", np.uint32)[first[0] : first[-1]].astype(np.int64)
+            first = np.frombuffer(some.column(2).buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64) // 2
+            low, high = (np.frombuffer(some.column(k).buffers()[2] or b"", np.uint16)[: first[-1]].astype(np.int64) for k in (2, 3))
+            numbers = high << 16 | low
             if len(numbers) and numbers.max() >= len(at) - 1:
                 raise RuntimeError("segments of a chunk are missing")
             ids, begin = _ragged(values, at, numbers)
-            begin = begin[first - first[0]]
+            begin = begin[first]
             back = decodes(ids, begin, path)
             if wrong := [k for k, (b, t) in enumerate(zip(back, texts, strict=True)) if b != t]:
                 # one hash of two segments; or the text holds U+2581 itself, and comes to the same

@@ -34,7 +34,6 @@ extra columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
-import ctypes
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import text_or_empty
-from concord.llm.wordhash import _BASE, _powers, mix
+from concord.llm.wordhash import _BASE, _powers, lean, mix
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -119,14 +118,6 @@ def decode(ids: list[int], path: str) -> str:
     return out[1:] if out[:1] == " " else out
 
 
-def _lean() -> None:
-    """Let a worker give memory back as soon as it is free: three workers serve each task."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    if hasattr(libc := ctypes.CDLL(None), "mallopt"):  # fixed thresholds, which else grow with what was freed
-        libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
-
-
 class Lattice(NamedTuple):
     """What the lattice needs of a model: arrays by character index and by piece id."""
 
@@ -306,7 +297,7 @@ def _grouped(edges: DataFrame, path: str) -> DataFrame:
         )
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
+        lean()
         code, id_ = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in batches:
             marks = np.flatnonzero(np.asarray(batch.column(2).is_valid()))
@@ -395,7 +386,7 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     names = [x.split(" ")[0] for x in _CHUNK.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
+        lean()
         known, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)  # hashes, ascending, and their segments' numbers
         sink, out, size = None, None, 0
 
@@ -530,7 +521,7 @@ def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 20 << 20)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(give(some.column(0), texts, ids.astype("<u4"), begin, back), kinds.types, strict=True)], schema=kinds)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
+        lean()
         codes = _Codes(path)
         for batch in batches:
             marks = np.flatnonzero(np.asarray(batch.column(3).is_valid()))

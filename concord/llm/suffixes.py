@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import bitmap, in_bitmap, split_by_bitmap, stored, text_or_empty
-from concord.llm.wordhash import _LETTERS, _powers, mix, slices, text_buffers
+from concord.llm.wordhash import _LETTERS, _powers, lean, mix, slices, text_buffers
 
 _ODD1, _ODD2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _PLACES = "doc bigint, copy bigint, a bigint, c bigint, start bigint, size int, context binary"
@@ -340,7 +340,7 @@ def _windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 #: Texts up to so many bytes are sorted in step, in batches of about `_BATCH` bytes.
-_TOGETHER, _BATCH = 8192, 1 << 20
+_TOGETHER, _BATCH = 8192, 1 << 19
 
 
 def _suffix_order(texts: list[bytes]) -> np.ndarray:
@@ -367,6 +367,7 @@ def repeats(texts: list[bytes], length: int, anchors: list[int] | None = None) -
 
     anchors: of each text, those of one anchor in a row; only these are compared.
     """
+    lean()
     data, begin, owner = _windows(texts, length)
     same_anchor = [list(g) for _, g in groupby(range(len(texts)), (lambda k: anchors[k]) if anchors else lambda k: 0)]
     order = _suffix_order([b"\xff".join([texts[k] for k in g]) for g in same_anchor])
@@ -396,7 +397,7 @@ def _spans(places: np.ndarray, length: int) -> list[int]:
     return np.stack([begin, end], axis=1).ravel().tolist()
 
 
-def runs(docs: DataFrame, length: int = 200, k: int = 64, block: int = 512, bucket: int = 1 << 21, bits: int = 26) -> DataFrame:
+def runs(docs: DataFrame, length: int = 200, k: int = 64, block: int = 512, bucket: int = 1 << 20, bits: int = 26) -> DataFrame:
     """doc, copy and runs (begin and end, in turn, of removed bytes, perhaps overlapping) of documents that lose bytes."""
     sc = docs.sparkSession.sparkContext
     seen = _anchors(docs, length, k).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")

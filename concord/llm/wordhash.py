@@ -7,6 +7,7 @@ operations and no Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +53,22 @@ def text_buffers(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return data, places - places[0]
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+_LEAN: list[bool] = []
+
+
+def lean() -> None:
+    """Let a worker give memory back as soon as it is free: workers of several operators, and of earlier stages, share an executor."""
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        if hasattr(libc := ctypes.CDLL(None), "mallopt"):  # fixed thresholds, which else grow with what was freed
+            libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `size` bytes of text, of at least a row."""
+    lean()
     _, at = text_buffers(batch.column(column))
     lo = 0
     while lo < batch.num_rows:

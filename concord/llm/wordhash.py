@@ -2,7 +2,10 @@
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A word's 64-bit hash is a
 difference of prefix sums of a polynomial, so a batch of texts takes a few array
-operations and no Python object per word.
+operations and no Python object per word. A polynomial modulo 2**64 gives words
+with a regular pattern of 1,024 letters or more one hash, whatever its base, so
+words of over 64 bytes are hashed one by one by another function. Different words
+share a hash by chance only, about one pair in 2**64.
 """
 
 from __future__ import annotations
@@ -12,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_LONG = 64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -95,6 +100,8 @@ def word_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_LETTERS[_FOLD[data]] * up[: len(data)], out=sums[1:])
         found = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    for k in np.flatnonzero(end - begin > _LONG):
+        found[k] = xxhash.xxh3_64_intdigest(data[begin[k] : end[k]].tobytes().lower())
     return found, np.searchsorted(at, begin, "right") - 1
 
 
@@ -105,7 +112,8 @@ def shingles(texts: pa.StringArray, size: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         total = np.zeros(len(words), np.uint64)
         for k in range(size):
-            total[: len(words) - k or None] = (total * np.uint64(_BASE))[: len(words) - k or None] + words[k:]
+            whole = max(len(words) - k, 0)  # shingles that reach the k-th word after their first
+            total[:whole] = total[:whole] * np.uint64(_BASE) + words[k:]
         found = mix(total)
         out = []
         for a, b in zip(begin[:-1], begin[1:], strict=True):

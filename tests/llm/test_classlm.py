@@ -126,3 +126,13 @@ def test_rare_words_are_classed_by_their_neighbours(documents):
 
 def test_core_of_the_query():
     assert inspect.signature(classlm.score).parameters["core"].default >= 2048
+
+
+def test_long_words_with_a_regular_pattern_are_told_apart(documents):
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    train, held = ([k for k in range(99) if (zlib.crc32(str(k).encode()) % 5 == 1) == out] for out in (False, True))
+    rows = [(k, f"{a} word") for k in train[:5]] + [(held[0], b), (held[1], a)]
+    got = {r["doc_id"]: r["n_known"] for r in classlm.score(documents(rows), core=4, classes=2, groups=1).collect()}
+    assert (got[held[0]], got[held[1]]) == (1, 2)  # the end alone, the word and the end

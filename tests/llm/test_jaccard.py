@@ -91,3 +91,27 @@ def test_components(spark):
 
 def test_no_rows(documents):
     assert jaccard.similar(documents([(1, "x")]).limit(0)).count() == 0
+
+
+def thue_morse(length):
+    """A word over a and b and its complement: any polynomial modulo 2**64 gives both one value from 1,024 letters on."""
+    a, b = "a", "b"
+    while len(a) < length:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_shorter_than_a_shingle_alone_in_a_slice(documents):
+    for size, n, before in ((3, 1, True), (3, 2, False), (5, 4, True)):
+        docs = [(1, "word " * 70_000)] * before + [(2, " ".join(f"w{k}" for k in range(n)))]
+        got = sorted([tuple(r) for r in jaccard.similar(documents(docs).coalesce(1), size=size, percent=80).collect()], key=str)
+        assert got == brute(docs, size, 80)
+
+
+def test_words_with_a_regular_pattern_differ(documents):
+    docs = []
+    for length in (64, 1024, 4096):
+        a, b = thue_morse(length)
+        docs += [(len(docs) + k, t) for k, t in enumerate((a, b, a.upper(), f"x {b}", f"x {a}"))]
+    got = sorted([tuple(r) for r in jaccard.similar(documents(docs), size=3, percent=90).collect()], key=str)
+    assert got == brute(docs, 3, 90)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, classlm, html, jaccard, lines, neighbours, packing, pieces, quality, suffixes
+from concord.llm import chat, classlm, html, jaccard, lines, neighbours, packing, periodic, pieces, quality, suffixes
 from concord.llm.common import session_for_narrow_rows, table
 
 #: A conversation whose texts hold control strings of the template.
@@ -64,6 +64,10 @@ def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
 OP6_SQL = r"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 lines AS (
@@ -135,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_line_dedup": op9_line_dedup,
         "op10_wrapper_text": op10_wrapper_text,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import text_or_empty, words
@@ -47,7 +47,9 @@ def numbered(text: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, list[bytes]
         cut = _SPACE.search(text, lo + piece)
         hi = cut.start() if cut else len(text)
         some = text[lo:hi].split()
-        parts.append(np.fromiter((known.setdefault(w, len(known)) for w in some), np.int32, len(some)))
+        fresh = [w for w in dict.fromkeys(some) if w not in known] if known else dict.fromkeys(some)
+        known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+        parts.append(np.fromiter(map(known.__getitem__, some), np.int32, len(some)))
         lo = hi
     return np.concatenate(parts), list(known)
 
@@ -62,12 +64,12 @@ def stretches(ids: np.ndarray, least: int) -> list[tuple[int, int]]:
         windows = np.zeros(n, np.uint64)
         for k in range(size):
             windows = windows * _BASE + ids[k : k + n].astype(np.uint64)
-    order = np.argsort(windows)
-    same = windows[order[1:]] == windows[order[:-1]]  # equal by chance only adds a stretch
-    if not same.any():
+    ordered = np.sort(windows)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]  # equal by chance only adds a stretch
+    if not len(twice):
         return []
     edges = np.zeros(len(ids) + 1, np.int32)
-    again = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
+    again = np.flatnonzero(np.isin(windows, twice))
     edges[again] += 1
     edges[again + size] -= 1
     inside = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
@@ -215,22 +217,16 @@ def collapse(docs: DataFrame, least: int = 12) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(work, f"doc_id bigint, n_words bigint, runs array<{RUN}>, text string")
 
 
-def repeated_from(text: Column, start: Column, period: Column) -> Column:
-    """The words of a text joined by one space; from the word `start` on they repeat the `period` words that begin there."""
-    w = words(text)
-    beyond = lambda i: start + F.pmod(i - start, period)
-    return F.array_join(F.transform(w, lambda x, i: F.when(i < start, x).otherwise(F.get(w, beyond(i).cast("int")))), " ")
-
-
 def with_planted_runs(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) in which every tenth text by the checksum of its id turns periodic after some words; null ids stay as they are."""
+    """docs (doc_id, text) in which every tenth text by the checksum of its id repeats the words from some word on; null ids stay as they are."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    n = F.size(words(text_or_empty())).cast("bigint")
-    step = docs.select("doc_id", text_or_empty().alias("text"), F.floor(h / 10).alias("_g"), F.coalesce(h % 10 == 0, F.lit(False)).alias("_some"))
-    step = step.withColumn("_n", F.when(F.col("_some"), n).otherwise(F.lit(0).cast("bigint")))
-    start = F.expr("_g % nullif(_n, 0)")
-    step = step.withColumn("_a", start).withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
-    return step.select("doc_id", F.when(F.col("_n") > 0, repeated_from(F.col("text"), F.col("_a"), F.col("_p"))).otherwise(F.col("text")).alias("text"))
+    g = F.floor(h / 10)
+    # structs in arrays of one hold what is worked out once a text
+    held = F.transform(F.array(words(text_or_empty())), lambda w: F.struct(w.alias("w"), (g % F.nullif(F.size(w), F.lit(0))).alias("a")))
+    held = F.transform(held, lambda s: F.struct(s["w"].alias("w"), s["a"].alias("a"), (1 + F.floor((F.size(s["w"]) - s["a"]) / (3 + g % 8))).alias("p")))
+    word = lambda s: lambda x, i: F.when(i < s["a"], x).otherwise(F.get(s["w"], (s["a"] + F.pmod(i - s["a"], s["p"])).cast("int")))
+    altered = F.get(F.transform(held, lambda s: F.array_join(F.transform(s["w"], word(s)), " ")), F.lit(0))
+    return docs.select("doc_id", F.when(F.coalesce(h % 10 == 0, F.lit(False)), altered).otherwise(text_or_empty()).alias("text"))
 
 
 def report(docs: DataFrame) -> DataFrame:

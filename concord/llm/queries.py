@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, classlm, html, jaccard, lines, neighbours, packing, periodic, pieces, quality, suffixes
+from concord.llm import chat, classlm, html, importance, jaccard, lines, neighbours, packing, periodic, pieces, quality, suffixes
 from concord.llm.common import session_for_narrow_rows, table
 
 #: A conversation whose texts hold control strings of the template.
@@ -64,6 +64,10 @@ def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
 
@@ -127,6 +131,30 @@ FROM occ o LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.no = g.no GROUP BY o.do
 """
 
 
+OP11_SQL = r"""
+WITH crc AS (SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda r, s: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) ORDER BY k) AS t FROM range(256) x(k)),
+tokens AS (
+  SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 's' AS side, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 't', item_id, coalesce(text, '') FROM benchmark)),
+features AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM tokens),
+counted AS (SELECT side, id, f, count(*) AS n FROM features GROUP BY ALL),
+spelled AS (SELECT f, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM counted))),
+named AS (SELECT f, xor(list_reduce(list_prepend(4294967295, b), lambda r, x: xor(r >> 8, t[(xor(r, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM spelled, crc),
+sums AS (SELECT side, bucket, sum(n) AS n FROM counted JOIN named USING (f) GROUP BY side, bucket),
+totals AS (SELECT coalesce(sum(n) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t FROM sums),
+gains AS (
+  SELECT a.bucket, CAST(floor(1000 * ln((coalesce(b.n, 0) + 1)::DOUBLE * (totals.s + 10000) / ((a.n + 1)::DOUBLE * (totals.t + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT * FROM sums WHERE side = 's') a LEFT JOIN (SELECT * FROM sums WHERE side = 't') b USING (bucket), totals),
+meant AS (SELECT id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS g FROM counted JOIN named USING (f) JOIN gains USING (bucket) WHERE side = 's' GROUP BY id),
+scored AS (
+  SELECT k.id AS doc_id, len(k.w) AS n_words, coalesce(m.n, 0) AS n_features, CASE WHEN m.n > 0 THEN (g - ((g % m.n) + m.n) % m.n) // m.n ELSE 0 END AS weight,
+    CAST('0x' || substr(sha256('7:' || k.id), 1, 8) AS BIGINT)::DOUBLE AS h FROM tokens k LEFT JOIN meant m USING (id) WHERE k.side = 's'),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM noisy WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM noisy LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_classes": op1_brown_classes,
@@ -139,9 +167,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_line_dedup": op9_line_dedup,
         "op10_wrapper_text": op10_wrapper_text,
+        "op11_importance_resampling": op11_importance_resampling,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_frequency": OP6_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op6_line_frequency": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_importance_resampling": OP11_SQL}

@@ -82,16 +82,15 @@ def _advanced(state: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.nd
     """Checksum registers after the bytes begin to end of data follow: a place of all words in a step, long words at once."""
     out = state.copy()
     length = end - begin
-    long = np.flatnonzero(length > _LONG)
-    for k in long:
+    for k in np.flatnonzero(length > _LONG):
         out[k] = zlib.crc32(data[begin[k] : end[k]].tobytes(), int(state[k]) ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
     short = np.flatnonzero(length <= _LONG)
-    order = short[np.argsort(-length[short], kind="stable")]  # those that go on are a prefix
-    lengths = length[order]
+    order = short[np.argsort((_LONG - length[short]).astype(np.uint8), kind="stable")]  # words that go on are a prefix
+    lengths, at, r = length[order], begin[order], out[order]
     for k in range(int(lengths[0]) if len(lengths) else 0):
-        still = order[: int(np.searchsorted(-lengths, -k, "left"))]
-        r = out[still]
-        out[still] = _TABLE[(r ^ data[begin[still] + k]) & 0xFF] ^ (r >> np.uint32(8))
+        m = int(np.searchsorted(-lengths, -k, "left"))
+        r[:m] = _TABLE[(r[:m] ^ data[at[:m] + k]) & 0xFF] ^ (r[:m] >> np.uint32(8))
+    out[order] = r
     return out
 
 

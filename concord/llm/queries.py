@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, classlm, html, importance, jaccard, lines, neighbours, packing, periodic, pieces, quality, suffixes
+from concord.llm import chat, classlm, credentials, html, importance, jaccard, lines, neighbours, packing, periodic, pieces, quality, suffixes
 from concord.llm.common import session_for_narrow_rows, table
 
 #: A conversation whose texts hold control strings of the template.
@@ -68,6 +68,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
 
 
+def op12_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(table(spark, sf_dir, "documents"), reach=200)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
 
@@ -168,6 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_wrapper_text": op10_wrapper_text,
         "op11_importance_resampling": op11_importance_resampling,
+        "op12_linked_credentials": op12_linked_credentials,
         "op13_periodic_runs": op13_periodic_runs,
     }
 

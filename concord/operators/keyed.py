@@ -23,6 +23,13 @@ def last_wins(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return kept.select(*[F.col(k) if k in keys else F.col(f"__row.`{k}`").alias(k) for k in df.columns])
 
 
+def as_mapped(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """What a map that keeps its order holds after all rows were put: a key's last row at its first row's place, which seq then is."""
+    rest = [c for c in df.columns if c not in keys and c != seq]
+    kept = df.groupBy(*keys).agg(F.max_by(F.struct(F.lit(True), *rest), F.col(seq)).alias("__row"), F.min(seq).alias("__first"))
+    return kept.select(*[F.col(k) if k in keys else F.col("__first").alias(k) if k == seq else F.col(f"__row.`{k}`").alias(k) for k in df.columns])
+
+
 def first_wins(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(seq)).alias("__row"))

@@ -16,6 +16,7 @@ from concord.functions import prompts as P
 from concord.functions import text as T
 from concord.functions import verdicts as V
 from concord.operators import agreement, keyed, sheets
+from concord.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -534,14 +535,3 @@ def s07_missing_source(spark, sf_dir):
     from concord.sources.readers import read_optional
 
     return read_optional(spark, scratch(spark, "nothing"), "user_id BIGINT, event_id BIGINT")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; in local mode without one, in a temporary folder."""
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='concord-')}/{uuid.uuid4().hex}-{name}"

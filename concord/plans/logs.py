@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from concord.operators import agreement, keyed, raters
+from concord.operators import agreement, keyed, progress, raters
 from concord.plans.audits import damaged
 from concord.plans.reference import RATERS, SQL, query, rated, table
 from concord.shared import held, scratch
 from concord.sources import ordered
+from concord.streaming import batches, keyed_log
 
 EVENT = "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE"
 
@@ -95,3 +96,58 @@ def s09_first_incomplete_hit(spark, sf_dir):
 
     d = table(spark, sf_dir, "documents").select("source", F.nullif("lang", F.lit("en")).alias("lang"))
     return first_incomplete(d, "source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS done, true AS rose, true AS ended FROM events")
+def a21_live_progress(spark, sf_dir):
+    """Events written under watch: rows that were done at the end, whether figures only rose, and whether none remained."""
+    path, seen = scratch(spark, "watched"), []
+    e = table(spark, sf_dir, "events").repartition(12)
+    last = progress.watched(e, lambda df: df.write.parquet(path), seen.append, total=e.count(), every=0.1)
+    rose = all(a.rows <= b.rows for a, b in zip(seen, seen[1:], strict=False))
+    return spark.createDataFrame([(last.rows, rose, last.remaining == 0)], "done bigint, rose boolean, ended boolean")
+
+
+@query("SELECT event_id, user_id, abs(event_id % 3) AS batch FROM events")
+def k02_k05_replayed_batches(spark, sf_dir):
+    """Three batches, one of which runs twice and one of which first broke off before its marker."""
+    path = scratch(spark, "batches")
+    part = lambda k: table(spark, sf_dir, "events").where(F.abs(F.col("event_id") % 3) == k).select("event_id", "user_id")
+    for k in (0, 1, 1):
+        batches.commit(part(k), path, k)
+    part(2).write.parquet(f"{path}/data/batch=2/attempt={'0' * 32}")  # without a marker it isn't there
+    batches.commit(part(2), path, 2)
+    return batches.read(spark, path, "event_id BIGINT, user_id BIGINT")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 5 = 0 AND event_id % 7 <> 0")
+def j05_u02_keyed_resume(spark, sf_dir):
+    """What a log of a compacted base and a batch since lacks of all events."""
+    path, keys, schema = scratch(spark, "keyed"), ["event_id"], "event_id BIGINT, user_id BIGINT"
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    batches.commit(e.where("event_id % 5 IN (1, 2)"), path, 0)
+    batches.commit(e.where("event_id % 5 IN (2, 3, 4)"), path, 1)
+    keyed_log.compact(spark, path, schema, keys, per_bucket=20_000)
+    batches.commit(e.where("event_id % 7 = 0"), path, 2)
+    return keyed_log.remaining(e, path, schema, keys)
+
+
+@query("SELECT user_id, max_by(value, batch) AS value, max(batch) AS batch FROM (SELECT user_id, max_by(value, event_id) AS value, CAST(event_id % 2 AS BIGINT) AS batch FROM events GROUP BY user_id, event_id % 2) GROUP BY user_id")
+def u02_a03_compacted_log(spark, sf_dir):
+    """The last row of each key from a base and a batch that was compacted into it."""
+    path, keys, schema = scratch(spark, "compacted"), ["user_id"], "user_id BIGINT, value DOUBLE"
+    for k in (0, 1):
+        part = table(spark, sf_dir, "events").where(F.abs(F.col("event_id") % 2) == k).select("user_id", "value", "event_id")
+        batches.commit(keyed.last_wins(part, keys, "event_id").drop("event_id"), path, k)
+        keyed_log.compact(spark, path, schema, keys, per_bucket=20_000)
+    return keyed_log.current(spark, path, schema, keys)
+
+
+@query("SELECT user_id, event_type, 1 AS n FROM events GROUP BY user_id, event_type")
+def a03_j05_stream_once(spark, sf_dir):
+    """A stream of events in several micro-batches of which each key goes through once, by keyed state."""
+    source, path, keys = scratch(spark, "stream"), scratch(spark, "once"), ["user_id", "event_type"]
+    table(spark, sf_dir, "events").select(*keys).repartition(6).write.parquet(source)
+    items = spark.readStream.schema("user_id BIGINT, event_type STRING").option("maxFilesPerTrigger", 2).parquet(source)
+    batches.stream(items, path, "user_id BIGINT, event_type STRING", keys, lambda df: df, scratch(spark, "states"), once=True, remaining=lambda df: df).awaitTermination()
+    return batches.read(spark, path, "user_id BIGINT, event_type STRING").groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -5,45 +5,56 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord.operators import agreement, keyed, progress, raters
-from concord.plans.audits import damaged
 from concord.plans.reference import RATERS, SQL, query, rated, table
 from concord.shared import held, scratch
 from concord.sources import ordered
 from concord.streaming import batches, keyed_log
 
-EVENT = "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE"
+DOCUMENT = "source STRING, lang STRING, n_chars BIGINT"
 
 
 def plain_log(spark, sf_dir) -> str:
-    """Events as JSON lines over several files, without a sequence column: their order is that of the files."""
+    """Documents as JSON lines over several files, without a sequence column: their order is that of the files."""
     path = scratch(spark, "plain")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    e.repartitionByRange(6, "event_id").sortWithinPartitions("event_id").drop("event_id").write.json(path)
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    d.repartitionByRange(24, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.json(path)
     return path
 
 
-@query("""SELECT user_id, event_type, max_by(value, line) AS value, min(line) AS first_line FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS line FROM events) GROUP BY user_id, event_type""")
+LINES = "lines AS (SELECT source, lang, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL)"
+
+
+@query(f"""WITH {LINES} SELECT source, lang, n_chars % 1000 AS k, max_by(n_chars, line) AS n_chars, min(line) AS first_line FROM lines GROUP BY ALL""")
 def a03_x05_plain_log(spark, sf_dir):
     """What a map holds after a plain log was read: a key's last line, at the place of its first."""
-    log = ordered.read_ordered(spark, plain_log(spark, sf_dir), EVENT, required=("user_id", "event_type"), numbered=True)
-    found = keyed.as_mapped(log.drop("event_id"), ["user_id", "event_type"], "seq")
-    return found.select("user_id", "event_type", "value", F.col("seq").alias("first_line"))
+    log = ordered.read_ordered(spark, plain_log(spark, sf_dir), DOCUMENT, required=("source", "lang", "n_chars"), numbered=True)
+    found = keyed.as_mapped(log.withColumn("k", F.col("n_chars") % 1000), ["source", "lang", "k"], "seq")
+    return found.select("source", "lang", "k", "n_chars", F.col("seq").alias("first_line"))
 
 
-@query("SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id")
+@query(f"WITH {LINES} SELECT source, n_chars % 1000 AS k, max_by(lang, line) AS lang, max_by(n_chars, line) AS n_chars FROM lines GROUP BY ALL")
 def o04_file_order_last(spark, sf_dir):
-    """The last line of each user by file, split and place, without numbering lines."""
-    log = ordered.read_ordered(spark, plain_log(spark, sf_dir), EVENT)
-    return keyed.last_wins(log, ["user_id"], "seq").select("user_id", "event_type", "value")
+    """The last line of each key by file, split and place, without numbering lines."""
+    log = ordered.read_ordered(spark, plain_log(spark, sf_dir), DOCUMENT, required=("source", "lang", "n_chars"))
+    return keyed.last_wins(log.withColumn("k", F.col("n_chars") % 1000), ["source", "k"], "seq").select("source", "k", "lang", "n_chars")
+
+
+def damaged_documents(spark, sf_dir) -> str:
+    """A log of documents in which every seventh line is cut off, every fifth lacks a field and some are blank."""
+    path = scratch(spark, "damaged")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang"))
+    line = F.to_json(F.struct("doc_id", "lang"))
+    d.select(F.when(F.col("doc_id") % 7 == 0, F.substring(line, 1, 10)).when(F.col("doc_id") % 11 == 0, F.concat(line, F.lit("\n"))).otherwise(line).alias("value")).write.text(path)
+    return path
 
 
-@query("""WITH told AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'malformed' WHEN event_id % 5 = 0 THEN 'incomplete' ELSE 'record' END AS kind,
-  CASE WHEN event_id % 7 = 0 THEN substr('{"event_id":' || event_id, 1, 12) WHEN event_id % 5 = 0 THEN '{"event_id":' || event_id || ',"user_id":' || user_id || '}' END AS value FROM events)
-SELECT kind, CASE WHEN kind = 'record' THEN event_id END AS event_id, value, count(*) OVER (PARTITION BY kind) AS n FROM told""")
+@query("""WITH told AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'malformed' WHEN doc_id % 5 = 0 THEN 'incomplete' ELSE 'record' END AS kind,
+  CASE WHEN doc_id % 7 = 0 THEN substr('{"doc_id":' || doc_id, 1, 10) WHEN doc_id % 5 = 0 THEN '{"doc_id":' || doc_id || '}' END AS line FROM documents)
+SELECT kind, CASE WHEN kind = 'record' THEN doc_id END AS doc_id, line, count(*) OVER (PARTITION BY kind) AS n FROM told""")
 def s02_s03_s04_s09_sifted_log(spark, sf_dir):
     """A damaged log: its records, its malformed and incomplete lines and how many there are of each, from one scan."""
-    records, others, counts = ordered.sift(spark, damaged(spark, sf_dir), "event_id BIGINT, user_id BIGINT, event_type STRING", scratch(spark, "sifted"), required=("event_id", "event_type"))
-    all_ = records.select(F.lit(ordered.RECORD).alias("kind"), "event_id", F.lit(None).cast("string").alias("value")).unionByName(others.select("kind", F.lit(None).cast("bigint").alias("event_id"), F.col("line").alias("value")))
+    records, others, counts = ordered.sift(spark, damaged_documents(spark, sf_dir), "doc_id BIGINT, lang STRING", scratch(spark, "sifted"), required=("doc_id", "lang"))
+    all_ = records.select(F.lit(ordered.RECORD).alias("kind"), "doc_id", F.lit(None).cast("string").alias("line")).unionByName(others.select("kind", F.lit(None).cast("bigint").alias("doc_id"), "line"))
     n = F.coalesce(*[F.when(F.col("kind") == k, F.lit(c).cast("bigint")) for k, c in counts.items()])
     return all_.withColumn("n", n)
 
@@ -59,13 +70,13 @@ def k07_a05_a18_merged_patterns(spark, sf_dir):
 
 
 def many_raters(spark, sf_dir):
-    """item, rater, value: a hundred raters' event types; every third event rates one item that all share."""
-    e = table(spark, sf_dir, "events")
-    item = F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.floor(F.col("event_id") / 100))
-    return e.select(item.alias("item"), (F.col("user_id") % 100).alias("rater"), F.col("event_type").alias("value"))
+    """item, rater, value: the languages that a hundred raters, told by length, give to groups of a hundred documents; every third document goes to one item that all share."""
+    d = table(spark, sf_dir, "documents")
+    item = F.when(F.col("doc_id") % 3 == 0, -1).otherwise(F.floor(F.col("doc_id") / 100))
+    return d.select(item.alias("item"), (F.col("n_chars") % 100).alias("rater"), F.col("lang").alias("value"))
 
 
-MANY = """ratings AS (SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id // 100 END AS item, user_id % 100 AS rater, min(event_type) AS value FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL)"""
+MANY = """ratings AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id // 100 END AS item, n_chars % 100 AS rater, min(lang) AS value FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL GROUP BY ALL)"""
 
 
 @query(f"""WITH {MANY}, met AS (SELECT a.rater AS rater1, b.rater AS rater2, a.value AS x, b.value AS y, count(*) AS n FROM ratings a JOIN ratings b ON a.item = b.item AND a.rater < b.rater GROUP BY ALL),
@@ -98,56 +109,57 @@ def s09_first_incomplete_hit(spark, sf_dir):
     return first_incomplete(d, "source", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS done, true AS rose, true AS ended FROM events")
+@query("SELECT doc_id, n_chars, count(*) OVER () AS done, true AS rose, true AS ended FROM documents")
 def a21_live_progress(spark, sf_dir):
-    """Events written under watch: rows that were done at the end, whether figures only rose, and whether none remained."""
+    """Documents written under watch: what was written, rows that were done at the end, whether figures only rose, and whether none remained."""
     path, seen = scratch(spark, "watched"), []
-    e = table(spark, sf_dir, "events").repartition(12)
-    last = progress.watched(e, lambda df: df.write.parquet(path), seen.append, total=e.count(), every=0.1)
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    last = progress.watched(d.repartition(12), lambda df: df.write.parquet(path), seen.append, total=d.count(), every=0.1)
     rose = all(a.rows <= b.rows for a, b in zip(seen, seen[1:], strict=False))
-    return spark.createDataFrame([(last.rows, rose, last.remaining == 0)], "done bigint, rose boolean, ended boolean")
+    return spark.read.parquet(path).select("doc_id", "n_chars", F.lit(last.rows).cast("bigint").alias("done"), F.lit(rose).alias("rose"), F.lit(last.remaining == 0).alias("ended"))
 
 
-@query("SELECT event_id, user_id, abs(event_id % 3) AS batch FROM events")
+@query("SELECT doc_id, n_chars, abs(doc_id % 3) AS batch FROM documents")
 def k02_k05_replayed_batches(spark, sf_dir):
     """Three batches, one of which runs twice and one of which first broke off before its marker."""
     path = scratch(spark, "batches")
-    part = lambda k: table(spark, sf_dir, "events").where(F.abs(F.col("event_id") % 3) == k).select("event_id", "user_id")
+    part = lambda k: table(spark, sf_dir, "documents").where(F.abs(F.col("doc_id") % 3) == k).select("doc_id", "n_chars")
     for k in (0, 1, 1):
         batches.commit(part(k), path, k)
     part(2).write.parquet(f"{path}/data/batch=2/attempt={'0' * 32}")  # without a marker it isn't there
     batches.commit(part(2), path, 2)
-    return batches.read(spark, path, "event_id BIGINT, user_id BIGINT")
+    return batches.read(spark, path, "doc_id BIGINT, n_chars BIGINT")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id % 5 = 0 AND event_id % 7 <> 0")
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0")
 def j05_u02_keyed_resume(spark, sf_dir):
-    """What a log of a compacted base and a batch since lacks of all events."""
-    path, keys, schema = scratch(spark, "keyed"), ["event_id"], "event_id BIGINT, user_id BIGINT"
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
-    batches.commit(e.where("event_id % 5 IN (1, 2)"), path, 0)
-    batches.commit(e.where("event_id % 5 IN (2, 3, 4)"), path, 1)
+    """What a log of a compacted base and a batch since lacks of all documents."""
+    path, keys, schema = scratch(spark, "keyed"), ["doc_id"], "doc_id BIGINT, n_chars BIGINT"
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    batches.commit(d.where("doc_id % 5 IN (1, 2)"), path, 0)
+    batches.commit(d.where("doc_id % 5 IN (2, 3, 4)"), path, 1)
     keyed_log.compact(spark, path, schema, keys, per_bucket=20_000)
-    batches.commit(e.where("event_id % 7 = 0"), path, 2)
-    return keyed_log.remaining(e, path, schema, keys)
+    batches.commit(d.where("doc_id % 7 = 0"), path, 2)
+    return keyed_log.remaining(d, path, schema, keys)
 
 
-@query("SELECT user_id, max_by(value, batch) AS value, max(batch) AS batch FROM (SELECT user_id, max_by(value, event_id) AS value, CAST(event_id % 2 AS BIGINT) AS batch FROM events GROUP BY user_id, event_id % 2) GROUP BY user_id")
+@query("""WITH parts AS (SELECT source, n_chars % 500 AS k, CAST(doc_id % 2 AS BIGINT) AS batch, max_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY ALL)
+SELECT source, k, max_by(n_chars, batch) AS n_chars, max(batch) AS batch FROM parts GROUP BY source, k""")
 def u02_a03_compacted_log(spark, sf_dir):
     """The last row of each key from a base and a batch that was compacted into it."""
-    path, keys, schema = scratch(spark, "compacted"), ["user_id"], "user_id BIGINT, value DOUBLE"
-    for k in (0, 1):
-        part = table(spark, sf_dir, "events").where(F.abs(F.col("event_id") % 2) == k).select("user_id", "value", "event_id")
-        batches.commit(keyed.last_wins(part, keys, "event_id").drop("event_id"), path, k)
+    path, keys, schema = scratch(spark, "compacted"), ["source", "k"], "source STRING, k BIGINT, n_chars BIGINT"
+    for b in (0, 1):
+        part = table(spark, sf_dir, "documents").where(F.abs(F.col("doc_id") % 2) == b).select("source", (F.col("n_chars") % 500).alias("k"), "n_chars", "doc_id")
+        batches.commit(keyed.last_wins(part, keys, "doc_id").drop("doc_id"), path, b)
         keyed_log.compact(spark, path, schema, keys, per_bucket=20_000)
     return keyed_log.current(spark, path, schema, keys)
 
 
-@query("SELECT user_id, event_type, 1 AS n FROM events GROUP BY user_id, event_type")
+@query("SELECT source, n_chars, 1 AS n FROM documents GROUP BY source, n_chars")
 def a03_j05_stream_once(spark, sf_dir):
-    """A stream of events in several micro-batches of which each key goes through once, by keyed state."""
-    source, path, keys = scratch(spark, "stream"), scratch(spark, "once"), ["user_id", "event_type"]
-    table(spark, sf_dir, "events").select(*keys).repartition(6).write.parquet(source)
-    items = spark.readStream.schema("user_id BIGINT, event_type STRING").option("maxFilesPerTrigger", 2).parquet(source)
-    batches.stream(items, path, "user_id BIGINT, event_type STRING", keys, lambda df: df, scratch(spark, "states"), once=True, remaining=lambda df: df).awaitTermination()
-    return batches.read(spark, path, "user_id BIGINT, event_type STRING").groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """A stream of documents in several micro-batches of which each key goes through once, by keyed state."""
+    source, path, keys, schema = scratch(spark, "stream"), scratch(spark, "once"), ["source", "n_chars"], "source STRING, n_chars BIGINT"
+    table(spark, sf_dir, "documents").select(*keys).repartition(6).write.parquet(source)
+    items = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    batches.stream(items, path, schema, keys, lambda df: df, scratch(spark, "states"), once=True, remaining=lambda df: df).awaitTermination()
+    return batches.read(spark, path, schema).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))

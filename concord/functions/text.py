@@ -53,6 +53,12 @@ def blocks_text(blocks: Column) -> Column:
     return F.array_join(F.transform(F.filter(blocks, lambda b: b["text"].isNotNull()), lambda b: b["text"]), "")
 
 
+def node_kind(c: Column) -> Column:
+    """object, list or scalar: what a JSON text is, told by its first character; null for null."""
+    node = F.ltrim(c)
+    return F.when(node.isNull(), None).when(F.startswith(node, F.lit("{")), "object").when(F.startswith(node, F.lit("[")), "list").otherwise("scalar")
+
+
 def half_even(c: Column, digits: int) -> Column:
     return F.bround(c, digits)
 

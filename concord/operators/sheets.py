@@ -12,13 +12,13 @@ from concord.functions import verdicts as V
 from concord.operators import keyed
 
 
-def validation_set(accepted: DataFrame, open_keys: DataFrame, verses: DataFrame, keys: Sequence[str] = ("surah", "ayat")) -> DataFrame:
-    """Accepted pairs whose key is open to doubt, with the verse and all its paths."""
+def validation_set(accepted: DataFrame, open_keys: DataFrame, verses: DataFrame, keys: Sequence[str] = ("surah", "ayat"), seq: str | None = None) -> DataFrame:
+    """Accepted pairs whose key is open to doubt, with the verse and all its paths; of verses with one key the last by seq, a column of verses."""
     some = keyed.only_keys(accepted, open_keys, keys)
     used = F.col("theme_path_used") if "theme_path_used" in some.columns else F.lit(None).cast("array<string>")
     some = some.select("question", "answer", "difficulty", *keys, used.alias("theme_path_used_for_generation"))
     lookup = verses.withColumnRenamed("theme_paths", "theme_paths_full")
-    found = keyed.enriched(some, lookup, keys, {"text_id": F.lit(""), "theme_paths_full": F.array().cast("array<array<string>>")})
+    found = keyed.enriched(some, lookup, keys, {"text_id": F.lit(""), "theme_paths_full": F.array().cast("array<array<string>>")}, seq)
     return found.select("question", "answer", "difficulty", *keys, "text_id", "theme_path_used_for_generation", "theme_paths_full")
 
 
@@ -53,6 +53,22 @@ def with_human_labels(log: DataFrame, labels: DataFrame, names: dict[str, str],
     return log.join(found, list(keys), "left")
 
 
+def stray_labels(labels: DataFrame, names: Sequence[str], most: int = 2) -> DataFrame:
+    """Labels whose evaluator is none of names, with the name that was meant: the nearest within `most` edits, case and white space aside, the first of those as near; null if none is."""
+    own = labels.where(~F.coalesce(F.col("nama_evaluator").isin(list(names)), F.lit(False)))
+    plain = lambda c: F.lower(F.regexp_replace(c, r"\s", ""))
+    edits = F.array(*[F.struct(F.levenshtein(plain(F.col("nama_evaluator")), plain(F.lit(n))).alias("edits"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, n in enumerate(names)])
+    near = F.array_min(F.filter(edits, lambda x: x["edits"] <= most))
+    return own.withColumn("meant", near["name"])
+
+
+def mended_labels(labels: DataFrame, names: Sequence[str], most: int = 2) -> DataFrame:
+    """labels in which stray evaluators that are near one of names bear that name; others keep theirs."""
+    known = F.coalesce(F.col("nama_evaluator").isin(list(names)), F.lit(False))
+    stray = stray_labels(labels, names, most)
+    return labels.where(known).unionByName(stray.withColumn("nama_evaluator", F.coalesce("meant", "nama_evaluator")).drop("meant"))
+
+
 def consensus(gold: DataFrame, log: DataFrame, raters: Sequence[str], least: int, keys: Sequence[str] = ("surah", "ayat")) -> DataFrame:
     """Pairs of which at least so many verdicts are supported; the log has one row per key."""
     return gold.join(log.where(V.text_votes(raters) >= least).select(*keys), list(keys), "left_semi")

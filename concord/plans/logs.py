@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from concord.operators import agreement, keyed, progress, raters
+from concord.functions import text as T
+from concord.operators import agreement, keyed, progress, raters, sheets, tree
 from concord.plans.reference import RATERS, SQL, query, rated, table
 from concord.shared import held, scratch
 from concord.sources import ordered
@@ -163,3 +164,35 @@ def a03_j05_stream_once(spark, sf_dir):
     items = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
     batches.stream(items, path, schema, keys, lambda df: df, scratch(spark, "states"), once=True, remaining=lambda df: df).awaitTermination()
     return batches.read(spark, path, schema).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("SELECT conv_id, turn, 'turns → ' || role AS path FROM conversations")
+def t01_t02_many_trees(spark, sf_dir):
+    """Each conversation as a document, its turns as leaves below their roles; a text that looks like a leaf isn't one."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.struct(F.col("turn").alias("surah"), F.lit(0).alias("ayat"), F.lit('[{"surah": 1, "ayat": 1}]').alias("text"))
+    by_role = c.groupBy("conv_id", "role").agg(F.collect_list(turn).alias("turns")).groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "turns"))).alias("roles"))
+    documents = by_role.select("conv_id", F.to_json(F.struct(F.struct("roles").alias("unused"), F.col("roles").alias("turns"))).alias("value"))
+    found = tree.leaves(documents, carry=["conv_id"]).where(F.col("path")[0] == "turns")
+    return found.select("conv_id", F.col("surah").cast("bigint").alias("turn"), T.path_text(F.col("path")).alias("path"))
+
+
+@query("""WITH verses AS (SELECT doc_id % 500 AS k, arg_max_null(source || ':' || n_chars, doc_id) AS text_id FROM documents GROUP BY doc_id % 500)
+SELECT l.doc_id AS question, l.doc_id % 600 AS k, CASE WHEN v.k IS NULL THEN '' ELSE text_id END AS text_id FROM labels l LEFT JOIN verses v ON v.k = l.doc_id % 600 WHERE l.toxic = 0""")
+def j04_last_verse(spark, sf_dir):
+    """Accepted pairs with their verse, of which there are many for a key: the last counts."""
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question"), F.lit("").alias("answer"), F.lit("").alias("difficulty"), (F.col("doc_id") % 600).alias("k"), "toxic")
+    verses = table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("k"), F.concat("source", F.lit(":"), "n_chars").alias("text_id"), F.array().cast("array<array<string>>").alias("theme_paths"), F.col("doc_id").alias("seq"))
+    accepted = marks.where("toxic = 0").drop("toxic")
+    return sheets.validation_set(accepted, accepted, verses, ["k"], "seq").select("question", "k", "text_id")
+
+
+@query("""WITH labels_ AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'evaluator ' || upper(lang) WHEN 1 THEN 'Evaluato r ' || lang WHEN 2 THEN source ELSE 'Evaluator ' || lang END AS name FROM documents),
+plain AS (SELECT doc_id, name, [levenshtein(lower(replace(name, ' ', '')), 'evaluatoren'), levenshtein(lower(replace(name, ' ', '')), 'evaluatorfr')] AS d FROM labels_ WHERE name NOT IN ('Evaluator en', 'Evaluator fr'))
+SELECT doc_id, name AS nama_evaluator, CASE WHEN least(d[1], d[2]) > 1 THEN NULL WHEN d[1] <= d[2] THEN 'Evaluator en' ELSE 'Evaluator fr' END AS meant FROM plain""")
+def j10_x10_stray_evaluators(spark, sf_dir):
+    """Labels under a misspelt evaluator, and the one that was meant."""
+    k, lang = F.col("doc_id") % 5, F.col("lang")
+    name = F.when(k == 0, F.concat(F.lit("evaluator "), F.upper(lang))).when(k == 1, F.concat(F.lit("Evaluato r "), lang)).when(k == 2, F.col("source")).otherwise(F.concat(F.lit("Evaluator "), lang))
+    labels = table(spark, sf_dir, "documents").select("doc_id", name.alias("nama_evaluator"))
+    return sheets.stray_labels(labels, ["Evaluator en", "Evaluator fr"], most=1)

@@ -418,7 +418,7 @@ SQL["e01_e02_e03_generation_prompts"] = """SELECT doc_id, 'Passage ' || doc_id |
 
 
 def t02_tree_paths(spark, sf_dir):
-    """A tree of regions, nations and their keys, walked by the recursive query."""
+    """A tree of regions, nations and their keys, walked."""
     from concord.operators import tree
 
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -486,8 +486,7 @@ def f10_extended_path(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN props LIKE '{%' THEN 'object' WHEN props LIKE '[%' THEN 'list' ELSE 'scalar' END AS kind FROM events")
 def f12_kind_of_node(spark, sf_dir):
-    node = F.trim("props")
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.startswith(node, F.lit("{")), "object").when(F.startswith(node, F.lit("[")), "list").otherwise("scalar").alias("kind"))
+    return table(spark, sf_dir, "events").select("event_id", T.node_kind(F.col("props")).alias("kind"))
 
 
 @query("SELECT conv_id, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS verdict_A FROM conversations")

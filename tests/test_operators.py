@@ -35,6 +35,27 @@ def test_deep_tree(spark):
     assert [(r["surah"], r["ayat"], len(r["path"]), len(r["ord"])) for r in rows] == [(1, 2, 250, 501)]
 
 
+def test_trees_of_many_documents(spark):
+    rows = [(1, '{"a": [{"surah": "7", "ayat": 2.5}]}'), (1, '[{"surah": 3000000000, "ayat": true}]'), (2, None), (3, '{"a": [{"surah": 1, '), (4, "[[{\"surah\": -1, \"ayat\": null}]]"), (5, "[" * 3000 + '{"surah": 1, "ayat": 1}' + "]" * 3000)]
+    df = spark.createDataFrame(rows, "path int, value string")
+    got = tree.leaves(df.withColumnRenamed("path", "doc"), carry=["doc"], batch=1)
+    assert sorted([(r["doc"], r["surah"], r["ayat"], r["path"]) for r in got.collect()], key=str) == sorted([(1, 7, None, ["a"]), (1, None, None, []), (4, -1, None, []), (5, 1, 1, [])], key=str)
+    assert tree.leaves(df.limit(0)).count() == 0
+
+
+def test_last_verse_and_stray_labels(spark):
+    accepted = spark.createDataFrame([("q", "a", "easy", 1, 2)], "question string, answer string, difficulty string, surah int, ayat int")
+    verses = spark.createDataFrame([(1, 2, f"v{k}", [["p"]], k) for k in (3, 9, 5)], "surah int, ayat int, text_id string, theme_paths array<array<string>>, seq int")
+    r = sheets.validation_set(accepted, accepted, verses, seq="seq").collect()
+    assert [(x["text_id"], x["theme_paths_full"]) for x in r] == [("v9", [["p"]])]
+    names = ["Evaluator 17", "Evaluator 9"]
+    labels = spark.createDataFrame([(n, k) for k, n in enumerate(["Evaluator 17", "Evaluato r 17", "evaluator17", "Evaluater 9", "someone", None, "Evaluator 9"])], "nama_evaluator string, k int")
+    got = {r["k"]: r["meant"] for r in sheets.stray_labels(labels, names).collect()}
+    assert got == {1: "Evaluator 17", 2: "Evaluator 17", 3: "Evaluator 9", 4: None, 5: None}
+    mended = {r["k"]: r["nama_evaluator"] for r in sheets.mended_labels(labels, names).collect()}
+    assert mended == {0: "Evaluator 17", 1: "Evaluator 17", 2: "Evaluator 17", 3: "Evaluator 9", 4: "someone", 5: None, 6: "Evaluator 9"}
+
+
 def test_tree_against_walk(spark):
     rng = random.Random(1)
 

@@ -2,12 +2,17 @@
 
 A page becomes a token stream: its text blocks in page order, each named by the
 path of its elements and their classes. What elements and names mark as no main
-text (`DROPPED`, `DROPPED_NAMES`) takes no part. Then, for each host:
+text (`DROPPED`, `DROPPED_NAMES`) takes no part, be it a block or within a line. A
+name alone doesn't take away the text that a page is about (`_released`): where all
+main elements of a page are within elements of such names, or, of names of layouts,
+all articles, or most of the text of a page with neither, these names count for
+nothing. Then, for each host:
 
 1. A text that nearly all pages with its path have there is a literal, all other
    texts of a path are slots. Pages that differ are counted, copies once.
 2. Streams of literals and slots are folded (tokens or groups that follow
-   themselves become repeated groups) and aligned one after another. Where they
+   themselves become repeated groups, of up to 48 tokens or groups) and aligned one
+   after another; a group that one repeats is a group in the other too. Where they
    differ, the mismatch becomes an optional group, or a repeated one if the tokens
    before it occur again; the text of a slot is never part of it. What results is a
    wrapper, such as
@@ -60,25 +65,28 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html body head address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption template".split())
-DROPPED = frozenset("nav footer aside form script style noscript template iframe head title select button textarea input dialog menu object svg canvas".split())
-DROPPED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus replies reply respond pagination pager skip toolbar widget widgets hidden".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe head title select button textarea input dialog menu object svg canvas audio video".split())
+DROPPED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus replies reply respond reviews pagination pager skip toolbar widget widgets hidden".split())
+#: Those of DROPPED_NAMES that may also tell how a whole page is laid out.
+LAYOUT_NAMES = frozenset("nav navbar navigation menu sidebar aside banner widget widgets toolbar".split())
 MAIN = frozenset(("article", "main"))
 _PARAGRAPH_ENDS = BLOCKS - {"option", "optgroup"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ITEMS = frozenset("li tr td th dt dd option".split())
 _LISTS = frozenset("ul ol table dl select menu".split())
 #: Words that, beside one of DROPPED_NAMES, leave a compound name what it is; with any other word it names something else.
-NEUTRAL_NAMES = frozenset("site page top bottom left right main box boxes list lists bar area section block wrapper wrap container inner outer item items link links button buttons form posts articles stories post article content text global primary secondary header head title sticky inline".split())
+NEUTRAL_NAMES = frozenset("site page top bottom left right main box boxes list lists bar area section block wrapper wrap container inner outer item items link links button buttons form posts articles stories post article content text body user users reader readers global primary secondary header head title sticky inline".split())
 _BAD_QUOTES = 100
 
 
-def _marks(words: list[str]) -> bool:
-    """Whether one of the words of class, id and role marks no main text."""
+def _marks(words: list[str]) -> set[str]:
+    """Those of DROPPED_NAMES by which words of class, id and role mark no main text."""
+    out: set[str] = set()
     for word in words:
         parts = [x for x in re.split(r"[-_]+", word) if not x.isdigit()]
-        if any(x in DROPPED_NAMES for x in parts) and all(x in DROPPED_NAMES or x in NEUTRAL_NAMES for x in parts):
-            return True
-    return False
+        if all(x in DROPPED_NAMES or x in NEUTRAL_NAMES for x in parts):
+            out.update(x for x in parts if x in DROPPED_NAMES)
+    return out
 
 
 def _names(attributes: str) -> tuple[list[str], bool]:
@@ -107,6 +115,43 @@ class _Open(NamedTuple):
     path: int
     kept: bool
     inside: bool
+    mark: int  # number of the nearest element that a name marks, or -1
+
+
+class _Marked:
+    """An element that a name marks, and what it holds."""
+
+    def __init__(self, parent: int, layout: bool):
+        self.parent, self.layout = parent, layout
+        self.holds: set[str] = set()  # article, main
+        self.chars = self.linked = 0
+
+
+def _released(marked: list[_Marked], outside: set[str], chars: int) -> list[bool]:
+    """Of each marked element: whether neither its name nor those around it drop its text.
+
+    outside: which of article and main the page has outside of all marked elements;
+    chars: of text there. Parents have smaller numbers than what they hold.
+    """
+    for m in reversed(marked):
+        if m.parent >= 0:
+            above = marked[m.parent]
+            above.holds |= m.holds
+            above.chars += m.chars
+            above.linked += m.linked
+        else:
+            chars += m.chars
+    anywhere = outside.union(*(m.holds for m in marked))
+    out: list[bool] = []
+    for m in marked:
+        if "main" in m.holds and "main" not in outside:
+            free = True
+        elif anywhere:
+            free = m.layout and "article" in m.holds and not outside
+        else:
+            free = m.layout and 2 * m.chars > chars and 2 * m.linked < m.chars
+        out.append(free and (m.parent < 0 or out[m.parent]))
+    return out
 
 
 def _hash(text: str) -> int:
@@ -115,28 +160,37 @@ def _hash(text: str) -> int:
 
 def blocks(page: str) -> list[Block]:
     """The blocks with text that elements and names don't drop, in page order."""
-    top = _Open("", 0, True, False)
+    top = _Open("", 0, True, False, -1)
     stack = [top]
     places: dict[str, list[int]] = {}  # of open elements, by name
     lists: list[int] = []  # of open lists
     paths: dict[tuple[int, str], int] = {}
     closing: dict[str, re.Pattern] = {}
-    out: list[Block] = []
+    marked: list[_Marked] = []
+    outside: set[str] = set()
+    out: list[tuple[Block, int]] = []
     text: list[str] = []
-    links = bad = anchors = 0  # characters in links
+    links = bad = anchors = chars = 0  # links: characters in links; chars: of text outside of marked elements
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, chars
         if text:
             last = stack[-1]
-            if last.kept and (joined := " ".join("".join(text).split())):
+            if joined := " ".join("".join(text).split()):
                 linked = 2 * links >= sum(len(t) - t.count(" ") for t in text)
-                out.append(Block(last.path & ~7 | (last.name in HEADINGS) << 2 | last.inside << 1 | linked, joined))
+                out.append((Block(last.path & ~7 | (last.name in HEADINGS) << 2 | last.inside << 1 | linked, joined), last.mark))
+                if last.mark < 0:
+                    chars += len(joined)
+                else:
+                    marked[last.mark].chars += len(joined)
+                    marked[last.mark].linked += linked * len(joined)
             text.clear()
             links = 0
 
     def add(plain: str) -> None:
         nonlocal links
+        if not stack[-1].kept:
+            return
         found = _html.unescape(plain)
         text.append(found)
         if anchors:
@@ -205,10 +259,15 @@ def blocks(page: str) -> list[Block]:
             continue
         words, hidden = _names(attributes)
         last = stack[-1]
-        marked = _marks(words) and name not in MAIN and name not in ("html", "body")
-        kept = last.kept and not (hidden or marked or name in DROPPED or name == "header" and not last.inside)
-        if name in BLOCKS or name == "a" or kept != last.kept:
-            path = last.path
+        names = _marks(words) if name not in MAIN and name not in ("html", "body") else set()
+        kept = last.kept and not (hidden or names and name not in BLOCKS or name in DROPPED or name == "header" and not last.inside)
+        if name in BLOCKS or name == "a" or not kept:
+            path, mark = last.path, last.mark
+            if kept and names:
+                marked.append(_Marked(mark, names <= LAYOUT_NAMES))
+                mark = len(marked) - 1
+            elif kept and name in MAIN:
+                (marked[mark].holds if mark >= 0 else outside).add(name)
             if name in BLOCKS:
                 label = name + "." + re.sub(r"[0-9]+", "0", words[0]) if words and "class" in attributes.lower() else name
                 if (path, label) not in paths:
@@ -218,9 +277,10 @@ def blocks(page: str) -> list[Block]:
             if name in _LISTS:
                 lists.append(len(stack))
             anchors += name == "a"
-            stack.append(_Open(name, path, kept, last.inside or name in MAIN))
+            stack.append(_Open(name, path, kept, last.inside or name in MAIN, mark))
     flush()
-    return out
+    free = _released(marked, outside, chars)
+    return [b for b, m in out if m < 0 or free[m]]
 
 
 Item = tuple[tuple[str, ...], bool, bool]  # tokens of a group, repeated, optional
@@ -256,8 +316,29 @@ def _squares(items: list[Item], longest: int) -> list[Item]:
     return items
 
 
-def _common(a: list, b: list) -> list[tuple[int, int]]:
-    """Places of a longest common sequence, by rows of bits; where it would take over 128 MB of bits, of common ends only."""
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each start of a the bits of b: one is clear where a longest common sequence grows."""
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = (v + u | v - u) & full
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Lengths of longest common sequences of a and each start of b; a isn't empty."""
+    for v in _rows(a, b):
+        last = v
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _common(a: list, b: list, bits: int = 1 << 30) -> list[tuple[int, int]]:
+    """Places of a longest common sequence, by rows of bits; where they would take more than `bits`, one half of a after the other."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -267,16 +348,12 @@ def _common(a: list, b: list) -> list[tuple[int, int]]:
     inner_a, inner_b = a[head : len(a) - tail], b[head : len(b) - tail]
     n, m = len(inner_a), len(inner_b)
     middle: list[tuple[int, int]] = []
-    if n and m and n * m <= 1 << 30:
-        masks: dict = {}
-        for j, x in enumerate(inner_b):
-            masks[x] = masks.get(x, 0) | 1 << j
-        full = (1 << m) - 1
-        rows, v = [], full
-        for x in inner_a:
-            u = v & masks.get(x, 0)
-            v = (v + u | v - u) & full
-            rows.append(v)
+    if n > 1 and n * m > bits:
+        half = n // 2
+        cut = int(np.argmax(_lengths(inner_a[:half], inner_b) + _lengths(inner_a[half:][::-1], inner_b[::-1])[::-1]))
+        middle = _common(inner_a[:half], inner_b[:cut], bits) + [(half + i, cut + j) for i, j in _common(inner_a[half:], inner_b[cut:], bits)]
+    elif n and m:
+        rows = list(_rows(inner_a, inner_b))
         i, j = n, m
         while i and j:
             if rows[i - 1] >> j - 1 & 1:
@@ -285,12 +362,36 @@ def _common(a: list, b: list) -> list[tuple[int, int]]:
                 i -= 1
                 if not i or rows[i - 1] >> j - 1 & 1:
                     j -= 1
-                    middle.append((head + i, head + j))
-    return [(k, k) for k in range(head)] + middle[::-1] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+                    middle.append((i, j))
+        middle.reverse()
+    return [(k, k) for k in range(head)] + [(head + i, head + j) for i, j in middle] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def _grouped(items: list[Item], groups: set[tuple[str, ...]]) -> list[Item]:
+    """The items, of which those that spell a group become that group, once, unless some may lack; longer groups first."""
+    starts: dict[str, list[tuple[str, ...]]] = {}
+    for g in sorted(groups, key=lambda g: (-len(g), g)):
+        starts.setdefault(g[0], []).append(g)
+    out: list[Item] = []
+    k = 0
+    while k < len(items):
+        for g in starts.get(items[k][0][0], ()):
+            part = items[k : k + len(g)]
+            if [i[0] for i in part] == [(t,) for t in g] and not any(o for _, _, o in part):
+                out.append((g, False, False))
+                k += len(g)
+                break
+        else:
+            out.append(items[k])
+            k += 1
+    return out
 
 
 def align(wrapper: list[Item], other: list[Item]) -> list[Item]:
     """The wrapper that takes what either takes: longest common sequence of groups, the rest optional, then repeats folded."""
+    groups = {g for g, r, _ in wrapper + other if r and len(g) > 1}
+    if groups:
+        wrapper, other = _grouped(wrapper, groups), _grouped(other, groups)
     a, b = [i[0] for i in wrapper], [i[0] for i in other]
     out: list[Item] = []
     i = j = 0

@@ -26,26 +26,116 @@ def test_extract(spark):
     assert got[22]["text"] == "one\n\ntwo"
 
 
-def accepts(wrapper, stream):
-    """Whether the wrapper takes the folded stream: groups in order, optional ones may lack."""
-    at = 0
-    for group, repeated, _ in stream:
-        while at < len(wrapper) and wrapper[at][0] != group:
-            if not wrapper[at][2]:
-                return False
-            at += 1
-        if at == len(wrapper) or repeated and not wrapper[at][1]:
-            return False
-        at += 1
-    return all(o for _, _, o in wrapper[at:])
+def accepts(wrapper, tokens):
+    """Whether the wrapper, read as an expression, takes the tokens: items in order, optional ones may lack; runs within groups count as one."""
+    flat = [(k, j, t) for k, (group, _, _) in enumerate(wrapper) for j, t in enumerate(group)]
+    first = {k: at for at, (k, j, _) in enumerate(flat) if j == 0}
+
+    def begins(k):
+        """Places where an item may begin from item k on, and whether all of them may lack."""
+        out = []
+        while k < len(wrapper):
+            out.append(first[k])
+            if not wrapper[k][2]:
+                return out, False
+            k += 1
+        return out, True
+
+    after = []
+    for k, j, _ in flat:
+        group, repeated, _ = wrapper[k]
+        if j + 1 < len(group):
+            after.append((None, [len(after), len(after) + 1], False))
+        else:
+            again = ([first[k]] if repeated else []) + ([len(after)] if len(group) > 1 else [])
+            after.append((k + 1, again, True))
+    ahead = {}
+    states, done = begins(0)
+    for t in tokens:
+        states, done, found = [], False, {s for s in states if flat[s][2] == t}
+        for s in found:
+            following, own, ends = after[s]
+            states += own
+            if ends:
+                if following not in ahead:
+                    ahead[following] = begins(following)
+                states += ahead[following][0]
+                done |= ahead[following][1]
+        states = list(set(states))
+    return done
 
 
 def test_wrapper_takes_what_it_was_made_from():
-    streams = [html.fold(list(s)) for s in ("nabbbf", "nabcbcbcf", "nf", "nxaf", "naf", "nabababf")]
-    wrapper = html.infer(streams)
-    for s in streams[:1] + streams[2:5]:
+    streams = ["nabbbf", "nabcbcbcf", "nf", "nxaf", "naf", "nabababf"]
+    wrapper = html.infer([html.fold(list(s)) for s in streams])
+    for s in streams:
         assert accepts(wrapper, s), (wrapper, s)
+    assert not accepts(wrapper, "fn") and not accepts(wrapper, "nq") and not accepts(wrapper, "n")
     assert html.fold(list("bcbcbc")) == [(("b", "c"), True, False)]
+    rng = random.Random(4)
+    for _ in range(60):
+        streams = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(5)]
+        wrapper = html.infer([html.fold(list(s)) for s in streams])
+        assert all(accepts(wrapper, s) for s in streams), (wrapper, streams)
+
+
+def test_one_turn_of_a_group_is_the_group():
+    for streams in (["ntptptpf", "ntpf", "ntptpf"], ["ntpf", "ntptpf", "ntppf"]):
+        assert html.infer([html.fold(list(s)) for s in streams]) == [(("n",), False, False), (("t", "p"), True, False), (("f",), False, False)]
+
+
+def test_alignment_by_halves():
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 60))] for _ in range(2))
+        whole, halves = html._common(a, b), html._common(a, b, 20)
+        assert len(whole) == len(halves)
+        for found in (whole, halves):
+            assert all(a[i] == b[j] for i, j in found)
+            assert all(x < y and z < w for (x, z), (y, w) in zip(found, found[1:], strict=False))
+
+
+def kept(page):
+    return html.main_text(html.blocks(page), frozenset(), frozenset())
+
+
+def test_names_of_layouts_leave_the_article():
+    own, other = "<p>one &amp; long enough</p><p>two</p>", "<div class=ad>Buy</div><div class='sidebar'><p>side</p></div>"
+    for name in ("content sidebar-right", "sidebar-left", "container menu", "main widget-area"):
+        for text in (f"<article>{own}</article>", f"<main>{own}</main>", f"<div>{own}</div>", own):
+            page = f"<nav>menu</nav><div class='{name}'>{text}{other}</div>{other}"
+            assert kept(page) == "one & long enough\n\ntwo", page
+    assert kept(f"<div class=comments><main>{own}</main></div>") == "one & long enough\n\ntwo"
+    # what is there beside an article, empty ones included, or is a menu, stays out
+    for page in (
+        "<article></article><div class=sidebar><p>side</p></div>",
+        "<article></article><div class=sidebar><article>card</article></div>",
+        "<div class=menu><ul><li><a href=/>a</a><li><a href=/>b</a></ul></div>",
+        "<div class=ad><p>Buy</p></div>",
+        "<div class=comments><article>first</article></div>",
+        "<div class=cookie-notice>We use cookies</div><div class=newsletter>Mail</div>",
+        "<div class=sidebar-right hidden><article>x</article></div>",
+        "<aside><article>x</article></aside>",
+    ):
+        assert kept(page) == "", page
+    assert kept("<div class=content><p>text</p></div><div class='menu'>much more plain text in a menu</div>") == "text\n\nmuch more plain text in a menu"
+
+
+def test_dropped_within_a_line():
+    for part in (
+        "<button>Subscribe now</button>",
+        "<svg><g><text>t</text></g></svg>",
+        "<object><p>o</p></object>",
+        "<canvas>c</canvas>",
+        "<video><source src=x>no video</video>",
+        "<div class='comment-body'>c</div>",
+        "<div id=user-comments-section>c</div>",
+        "<section class=reviews><article>r</article></section>",
+    ):
+        assert kept(f"<article><p>in</p>{part}<p>out</p></article>") == "in\n\nout", part
+    for part in ("<span style='display: none'>h</span>", "<b hidden>h</b>", "<span class=ad>BUY<span>y</span> NOW</span>", "<a class=share href=/>s</a>", "<button>b</button>", "<i aria-hidden=true><i>x</i>y</i>"):
+        assert kept(f"<article><p>in {part} out</p>{part}<p>end</p></article>") == "in out\n\nend", part
+    assert kept("<article><p>in <span class=ad>BUY</p><p>end</p></article>") == "in\n\nend"  # unclosed
 
 
 def test_no_rows(spark):
@@ -123,5 +213,8 @@ def test_hostile_pages_take_linear_time():
         assert time.process_time() - began < 20, page[:20]
     rng = random.Random(1)
     long_ = [html.fold([rng.choice("abcdefgh") for _ in range(6000)]) for _ in range(2)]
-    assert accepts(html.infer(long_), sorted(long_, key=lambda s: (-len(s), s))[0])
+    assert html.infer(long_)
+    streams = [[rng.choice("abcdefgh") for _ in range(800)] for _ in range(2)]
+    wrapper = html.infer([html.fold(s) for s in streams])
+    assert all(accepts(wrapper, s) for s in streams)
     assert [b.text for b in html.blocks("1 < 2 <b>& so</b> <a title='x > y'>on</a> <p>2 <![CDATA[no]]><? no ?></ p>&lt;p&gt;&nbsp;é<td>z")] == ["1 < 2 & so on", "2 <p> é", "z"]

@@ -14,9 +14,9 @@ In texts and roles, every `<` that stands before `|`, with backslashes between
 or none, gets one backslash more, which takes away all control strings and is
 undone by taking one away. In roles, newline and backslash are escaped too.
 
-One conversation may hold a third of all turns: rows are dealt by conversation
-and sorted, then streamed, so that memory holds one window and not a
-conversation.
+One conversation may hold a third of all turns: tokens are counted before rows are
+dealt by conversation and sorted; then they are streamed, so that memory holds one
+window and not a conversation.
 
 Defined cases: null text is empty, null role is the empty role; rows of equal
 turn are ordered by role and text, null turns come first; a null conversation id
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,67 +70,82 @@ def read_window(formatted: str) -> list[tuple[str, str, int, int]]:
     return turns
 
 
-def _sorted_turns(conversations: DataFrame) -> DataFrame:
+def _sorted_turns(conversations: DataFrame, tokenizer: str | None) -> DataFrame:
+    """conv_id, turn, role, text and tokens, counted where the rows are and not where a long conversation ends up."""
     turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text_or_empty().alias("text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(tokenizer)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                yield part.append_column("tokens", pa.array(count(part.column(3).to_pylist()), pa.int64()))
+
+    turns = turns.mapInArrow(counted, "conv_id bigint, turn bigint, role string, text string, tokens bigint")
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 class _Conversation:
-    """Builds the windows of one conversation from its turns, in order."""
+    """Builds the windows of one conversation from its turns, in order.
+
+    sums[k] are the tokens of all turns before turns[k], of which only the history and
+    the new turns are held: spans and their history are differences of prefix sums.
+    """
 
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
         self.system: tuple[str, str, int] | None = None
-        self.past: list[tuple[str, str, int]] = []
-        self.new: list[tuple[str, str, int]] = []
-        self.seen = self.windows = 0
+        self.turns: list[tuple[str, str]] = []
+        self.sums = [0]
+        self.begin = 0  # place of the first new turn
+        self.old: list[tuple[str, str]] = []  # what the window repeats: the system turn and history
+        self.old_tokens = self.seen = self.windows = 0
+
+    def tokens(self) -> int:
+        """Tokens of the window as it stands."""
+        return self.old_tokens + self.sums[-1] - self.sums[self.begin]
 
     def add(self, role: str, text: str, tokens: int):
-        turn = (role, text, tokens)
         done = None
-        if self.new and self.size() + tokens > self.budget:
+        if len(self.turns) > self.begin and self.tokens() + tokens > self.budget:
             done = self.window(False)
-        if self.system is None and self.seen == 0 and role == "system":
-            self.system = turn
-        self.new.append(turn)
+        if not self.seen and role == "system":
+            self.system = (role, text, tokens)
+        self.turns.append((role, text))
+        self.sums.append(self.sums[-1] + tokens)
         self.seen += 1
         return done
 
-    def head(self) -> list[tuple[str, str, int]]:
-        """What a window repeats: the system turn and as much history as leaves half of the budget."""
-        if not self.windows:
-            return []
-        head = [self.system] if self.system else []
-        room = self.budget // 2 - sum(t[2] for t in head)
-        kept: list = []
-        for turn in reversed(self.past):
-            room -= turn[2]
-            if room < 0 or len(kept) == self.history:
-                break
-            kept.insert(0, turn)
-        return head + kept
-
-    def size(self) -> int:
-        return sum(t[2] for t in self.head()) + sum(t[2] for t in self.new)
-
     def window(self, last: bool) -> dict:
-        head = self.head()
-        if sum(t[2] for t in head) + sum(t[2] for t in self.new) > self.budget and len(self.new) == 1:
-            head = head[:1] if self.system and self.windows else []
+        new = self.turns[self.begin :]
+        system = [self.system] if self.system else []
+        if self.tokens() > self.budget and len(new) == 1:
+            self.old = [t[:2] for t in system] if self.windows else []
+            self.old_tokens = sum(t[2] for t in system) if self.windows else 0
         out, loss, at = [], [], 0
-        for k, (role, text, _) in enumerate(head + self.new):
+        for k, (role, text) in enumerate(self.old + new):
             safe = escape(text)
             lead = f"{START}{escape_role(role)}\n"
-            if k >= len(head) and role == "assistant":
+            if k >= len(self.old) and role == "assistant":
                 loss.append({"start": at + len(lead), "end": at + len(lead) + len(safe)})
             out.append(f"{lead}{safe}{END}\n")
             at += len(out[-1])
-        row = {"window": self.windows, "first_turn": self.seen - len(self.new), "n_history": len(head), "n_new": len(self.new), "n_tokens": sum(t[2] for t in head + self.new), "formatted": "".join(out), "loss": loss, "last": last}
-        self.past = [t for t in (self.past + self.new) if t is not self.system][-self.history :] if self.history else []
-        self.new = []
-        self.windows += 1
+        row = {"window": self.windows, "first_turn": self.seen - len(new), "n_history": len(self.old), "n_new": len(new), "n_tokens": self.tokens(), "formatted": "".join(out), "loss": loss, "last": last}
+        self._turn_over(system)
         return row
 
+    def _turn_over(self, system: list[tuple[str, str, int]]) -> None:
+        """The next window repeats the system turn and as much history as leaves half of the budget."""
+        oldest = max(len(self.turns) - self.history, 1 if system and self.seen == len(self.turns) else 0)
+        del self.turns[:oldest], self.sums[:oldest]
+        self.begin = len(self.turns)
+        self.old_tokens = sum(t[2] for t in system)
+        room = self.budget // 2 - self.old_tokens
+        first = min(bisect_left(self.sums, self.sums[-1] - room), self.begin)
+        self.old = [t[:2] for t in system] + self.turns[first:]
+        self.old_tokens += self.sums[-1] - self.sums[first]
+        self.windows += 1
+
 
 _TOKENIZERS: dict = {}
 
@@ -154,12 +170,11 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 4, over
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [p.split(" ")[0] for p in re.sub("<[^ ]*,[^ ]*>", "", WINDOWS).split(", ")]
         kinds = pa.schema([("conv_id", pa.int64()), *((n, pa.int64()) for n in names[1:6]), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("last", pa.bool_())])
-        count, current, state, rows, chars = _counter(tokenizer), object(), None, [], 0
+        current, state, rows, chars = object(), None, [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = part.column(3).to_pylist()
-                for conv, role, text, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts, count(texts), strict=True):
+                for conv, role, text, n in zip(*(part.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                     if conv != current or state is None:
                         if state is not None:
                             rows.append(state.window(True) | {"conv_id": current})
@@ -175,7 +190,7 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 4, over
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return _sorted_turns(conversations).mapInArrow(build, WINDOWS)
+    return _sorted_turns(conversations, tokenizer).mapInArrow(build, WINDOWS)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

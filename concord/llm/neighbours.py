@@ -8,8 +8,8 @@ collisions is verified at once by its inner product. A query is done when window
 so wide that a vector as near as the k-th best would have been verified but with
 probability `miss`, so nearer ones all the more; no share of the block is set. Until
 k are found, windows widen on, in the end over all vectors. By brute force, with the
-parameters of `nearest`, recall was 0.97 and more on 500 to 32,768 vectors of 64
-dimensions without clear neighbours; candidates were from 0.8 to 0.4 of a block, less
+parameters of `nearest`, recall was 0.97 and more on 500 to 16,384 vectors of 64
+dimensions without clear neighbours; candidates were from 0.8 to 0.5 of a block, less
 the larger it is.
 
 Inner products become distances in one more dimension: base vectors are

@@ -296,7 +296,9 @@ def assigned(texts: DataFrame, ascending: np.ndarray, order: np.ndarray, own: np
 
 
 def score(docs: DataFrame, core: int = 2048, classes: int = 64, groups: int = 8, mixture: float = 0.9, chunk: int = 24 << 20) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; of at most 509 classes."""
+    if not 0 < classes <= 509:
+        raise ValueError("from 1 to 509 classes: places beside a word are coded in 10 bits")
     spark = docs.sparkSession
     texts = _texts(docs)
     train = texts.where(~F.col("held_out"))

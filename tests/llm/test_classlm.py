@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from concord.llm import classlm
 
@@ -124,6 +125,12 @@ def test_rare_words_are_classed_by_their_neighbours(documents):
     assert common[key("n1")] != common[key("v1")] and len(found) == 21
 
 
+def test_number_of_classes_is_bounded(documents):
+    for classes in (0, 510):
+        with pytest.raises(ValueError, match="509"):
+            classlm.score(documents([]), classes=classes)
+
+
 def test_core_of_the_query():
     assert inspect.signature(classlm.score).parameters["core"].default >= 2048
 

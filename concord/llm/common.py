@@ -56,6 +56,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that shuffles both sides.
+
+    Spark takes the size of what mapInArrow returns for that of its input, and of a stored
+    table for that of its compressed files, so it would broadcast tables that grow with the
+    corpus, which the driver collects first.
+    """
+    return df.hint("shuffle_merge")
+
+
 def session_for_narrow_rows(spark: SparkSession, batch: int = 2000) -> SparkSession:
     """A session with the settings of spark in which batches for Python aren't bounded by bytes.
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import bitmap, in_bitmap, join_split, split_by_bitmap, stored, text_or_empty
+from concord.llm.common import bitmap, in_bitmap, join_split, shuffled, split_by_bitmap, stored, text_or_empty
 from concord.llm.wordhash import slices
 
 _LINES = "lid bigint, lid2 bigint, doc bigint, copy bigint, no int"
@@ -180,8 +180,8 @@ def _near(texts: DataFrame) -> DataFrame:
     met = met.where(F.col("cut").isNotNull() & (F.col("own").isNotNull() | (F.col("cut") != F.col("late")))).select("key", "own", "cut")
     # without a whole line under the key, it may be one with the place: the earliest of the others counts
     other = F.when(whole, F.col("cut")).otherwise(F.coalesce("own", "cut"))
-    pairs = keys.join(met, "key").select(F.floor(F.col("value") / 2).alias("order"), F.floor(other / 2).alias("with")).where(F.col("with") < F.col("order")).distinct()
-    both = pairs.join(texts.select("lid", "line", "order"), "order").join(texts.select(F.col("order").alias("with"), F.col("line").alias("line2")), "with")
+    pairs = keys.join(shuffled(met), "key").select(F.floor(F.col("value") / 2).alias("order"), F.floor(other / 2).alias("with")).where(F.col("with") < F.col("order")).distinct()
+    both = pairs.join(shuffled(texts.select("lid", "line", "order")), "order").join(shuffled(texts.select(F.col("order").alias("with"), F.col("line").alias("line2"))), "with")
     return both.where(F.levenshtein("line", "line2", 1).between(0, 1)).select("lid").distinct()
 
 

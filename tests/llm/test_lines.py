@@ -1,6 +1,7 @@
 import random
 
 from concord.llm import lines
+from concord.llm.common import stored
 
 
 def distance(a, b):
@@ -60,3 +61,12 @@ def test_full_bitmap_changes_nothing(documents):
 
 def test_no_rows(documents):
     assert lines.deduplicate(documents([(1, "x")]).limit(0)).count() == 0
+
+
+def test_keys_and_texts_are_not_broadcast(spark):
+    # what mapInArrow returns is taken to be as small as what it reads, but a line has many keys
+    texts = spark.createDataFrame([(k, f"a line of twenty or more {k}", 3, k) for k in range(10)], "lid bigint, line string, sides int, order bigint")
+    near = lines._near(stored(texts, "texts"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r["lid"] for r in near.collect()} == set(range(1, 10))

@@ -118,10 +118,10 @@ def s10_t02_document_file(spark, sf_dir):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS \"ID\", c_name || ' <&> ' || chr(10) || '_x0041_' AS \"Question\", CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS \"Notes\" FROM customer")
 def k04_workbook(spark, sf_dir):
-    """A sheet written as a workbook and read."""
-    path = scratch(spark, "sheet.xlsx")
+    """A sheet written as workbooks and read."""
+    path = scratch(spark, "sheet")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ID"), F.concat("c_name", F.lit(" <&> \n_x0041_")).alias("Question"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("Notes"))
-    writers.write_excel(c, path)
+    writers.write_workbooks(c, path)
     return readers.read_workbook(spark, path)
 
 

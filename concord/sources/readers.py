@@ -5,7 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
+from itertools import islice
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -43,22 +47,49 @@ def read_labels(spark: SparkSession, path: str, sep: str = ";", null: str = "NUL
     return found.toDF(*[c.strip() for c in found.columns])
 
 
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook that `write_excel` wrote, all columns as strings; a workbook is one task's work."""
-    from xml.etree import ElementTree
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
 
-    data = spark.read.format("binaryFile").load(path).select("content").head()[0]
-    with zipfile.ZipFile(io.BytesIO(data)) as book:
-        sheet = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))
-    name = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+def _sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """The rows of a workbook's first sheet, as they are parsed."""
     unescape = lambda t: re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), t)
 
     def value(c) -> str | None:
-        text = c.find(f"{name}is/{name}t") if c.get("t") == "inlineStr" else c.find(f"{name}v")
+        text = c.find(f"{_MAIN}is/{_MAIN}t") if c.get("t") == "inlineStr" else c.find(f"{_MAIN}v")
         return None if text is None else unescape(text.text or "")
 
-    header, *rows = [[value(c) for c in r] for r in sheet.iter(f"{name}row")]
-    return spark.createDataFrame(rows, StructType([StructField(h, StringType()) for h in header]))
+    with zipfile.ZipFile(io.BytesIO(content)) as book, book.open("xl/worksheets/sheet1.xml") as sheet:
+        held = None  # the rows' element, emptied of what was given
+        for event, x in ElementTree.iterparse(sheet, ("start", "end")):
+            if event == "start" and x.tag == f"{_MAIN}sheetData":
+                held = x
+            elif event == "end" and x.tag == f"{_MAIN}row":
+                yield [value(c) for c in x]
+                held.clear()
+
+
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook that `write_excel` wrote, or of all in a folder by `write_workbooks`, all columns as strings; a workbook is one task's work."""
+    found = spark.read.format("binaryFile").load(path).select("content")
+
+    def header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([next(_sheet_rows(content.as_py()))], pa.list_(pa.string()))], names=["header"])
+
+    names = found.limit(1).mapInArrow(header, "header array<string>").head()[0]
+    schema = pa.schema([(n, pa.string()) for n in names])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows = _sheet_rows(content.as_py())
+                if (own := next(rows)) != names:
+                    raise ValueError(f"workbooks of one folder differ in their columns: {names}, {own}")
+                while some := list(islice(rows, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)], schema=schema)
+
+    return found.mapInArrow(read, StructType([StructField(n, StringType()) for n in names]))
 
 
 def read_optional(spark: SparkSession, path: str, schema: str, reader=read_log) -> DataFrame:

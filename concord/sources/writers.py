@@ -7,11 +7,15 @@ import json
 import re
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator, Sequence
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.shared import file_system
+
 
 def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines; nulls are left out of records. append: each call adds the files of one batch."""
@@ -63,21 +67,85 @@ def _cell(value: object) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
+_SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>', "</sheetData></worksheet>"
+
+
+def _row(values: Iterable[object]) -> str:
+    return f"<row>{''.join(map(_cell, values))}</row>"
+
+
+class _Book:
+    """A workbook of one sheet, compressed as its rows come in."""
+
+    def __init__(self, header: Sequence[str]):
+        self.sink, self.rows, self.size, head = io.BytesIO(), 0, 0, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+        self.book = zipfile.ZipFile(self.sink, "w", zipfile.ZIP_DEFLATED)
+        for name, part in _PARTS.items():
+            self.book.writestr(name, head + part)
+        self.sheet = self.book.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
+        self.sheet.write((head + _SHEET[0] + _row(header)).encode())
+
+    def add(self, values: Iterable[object]) -> None:
+        data = _row(values).encode()
+        self.sheet.write(data)
+        self.rows, self.size = self.rows + 1, self.size + len(data)
+
+    def done(self, comment: bytes = b"") -> bytes:
+        self.sheet.write(_SHEET[1].encode())
+        self.sheet.close()
+        self.book.comment = comment
+        self.book.close()
+        return self.sink.getvalue()
+
+
 def write_excel(df: DataFrame, path: str, most: int = 100_000) -> int:
     """A sheet as a workbook with a header and no index; for sets of at most `most` rows."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"over {most} rows; write_sheet has no such bound")
-    body = "".join(f"<row>{''.join(map(_cell, r))}</row>" for r in [df.columns, *rows])
-    sink = io.BytesIO()
-    with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as book:
-        sheet = f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
-        for name, part in (_PARTS | {"xl/worksheets/sheet1.xml": sheet}).items():
-            book.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + part)
-    _put(df, path, sink.getvalue())
+        raise ValueError(f"over {most} rows; write_workbooks and write_sheet have no such bound")
+    book = _Book(df.columns)
+    for r in rows:
+        book.add(r)
+    _put(df, path, book.done())
     return len(rows)
 
 
+def write_workbooks(df: DataFrame, path: str, most: int = 100_000, size: int = 32 << 20) -> None:
+    """A sheet of any length as a new folder of workbooks, written by the tasks; each has the header, at most `most` rows, and is closed once its XML has `size` bytes."""
+    columns = df.columns
+
+    def books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = None
+
+        def give() -> pa.RecordBatch:
+            # Spark's writer of texts ends each with a line feed: the last byte of the workbook, its comment
+            return pa.RecordBatch.from_arrays([pa.array([book.done(b"\n")[:-1]], pa.binary())], names=["value"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                for values in zip(*(c.to_pylist() for c in batch.slice(lo, 1000).columns), strict=True):
+                    book = book or _Book(columns)
+                    book.add(values)
+                    if book.rows >= most or book.size >= size:
+                        yield give()
+                        book = None
+        if book:
+            yield give()
+
+    df.mapInArrow(books, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    fs, folder = file_system(df.sparkSession, path)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    jvm = df.sparkSession.sparkContext._jvm
+    written = [n for n in names if n.startswith("part-") and fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(folder, n)).getLen()]
+    for n in names:
+        if n in written:
+            fs.rename(jvm.org.apache.hadoop.fs.Path(folder, n), jvm.org.apache.hadoop.fs.Path(folder, n.removesuffix(".txt") + ".xlsx"))
+        elif n.startswith("part-"):  # of a task without rows
+            fs.delete(jvm.org.apache.hadoop.fs.Path(folder, n), False)
+    if not written:
+        _put(df, f"{path}/part-00000.xlsx", _Book(columns).done())
+
+
 def write_outcomes(df: DataFrame, results: str, rejects: str) -> None:
     """Rows with outcome 'ok' or 'insufficient' go to results, 'filtered' to rejects; others are retried next time. df is read once: its rows may cost calls."""
     spark = df.sparkSession

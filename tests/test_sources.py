@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,30 @@ def test_workbook(spark, tmp_path):
     assert readers.read_workbook(spark, path).count() == 0
 
 
+def test_workbooks_of_any_length(spark, tmp_path):
+    path = str(tmp_path / "books")
+    df = spark.range(0, 100_010, numPartitions=2).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("é\n<&>"), "id")).alias("a b"))
+    writers.write_workbooks(df, path, most=30_000)
+    books = sorted((tmp_path / "books").glob("part-*"))
+    assert len(books) == 4 and all(zipfile.ZipFile(b).testzip() is None for b in books)
+    got = readers.read_workbook(spark, path)
+    want = df.select(F.col("k").cast("string").alias("k"), "a b")
+    assert got.columns == want.columns and got.count() == 100_010 and got.exceptAll(want).count() == 0
+    assert readers.read_workbook(spark, str(books[0])).count() == 30_000
+    writers.write_workbooks(df.limit(0), str(tmp_path / "none"))
+    none = readers.read_workbook(spark, str(tmp_path / "none"))
+    assert none.columns == want.columns and none.count() == 0
+
+
+def test_workbook_query_beyond_one_workbook(spark, tmp_path):
+    from concord.plans import audits
+
+    c = spark.range(100_001).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit("m").alias("c_mktsegment"))
+    c.write.parquet(str(tmp_path / "customer.parquet"))
+    got = audits.k04_workbook(spark, str(tmp_path))
+    assert got.agg(F.count("*"), F.count_distinct("ID"), F.count("Notes")).head() == (100_001, 100_001, 50_001)
+
+
 def test_outcomes_are_read_once(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 

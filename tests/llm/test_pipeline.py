@@ -151,3 +151,19 @@ def test_all_stages_against_plain_python(spark, documents):
     assert Counter(tuple(r)[:5] for r in packed) == Counter(expected)
     empty = docs.limit(0)
     assert all(stage(spark, empty, "").count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_line_dedup_does_not_broadcast_what_grows(spark, tmp_path, monkeypatch):
+    from concord.llm import common
+
+    plans = {}
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.stored(df, name)
+
+    monkeypatch.setattr(corpus_pipeline.lines, "stored", stored)
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(k, f"some line of twenty or more {k}\nanother line") for k in range(5)], "doc_id bigint, text string").write.parquet(path)
+    assert corpus_pipeline.line_dedup(spark, spark.read.parquet(path), str(tmp_path)).count() == 5
+    assert "SortMergeJoin" in plans["near"] and "Broadcast" not in plans["near"]

@@ -66,6 +66,15 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_merge")
 
 
+#: Rows of a table that may be broadcast: 10 MB or so of a hashed relation of a few numbers.
+FEW_ROWS = 1 << 17
+
+
+def sized(kept: DataFrame) -> DataFrame:
+    """A stored table as a side of a join: shuffled unless its rows, which the footers of its files tell, are few."""
+    return shuffled(kept) if kept.count() > FEW_ROWS else kept
+
+
 def session_for_narrow_rows(spark: SparkSession, batch: int = 2000) -> SparkSession:
     """A session with the settings of spark in which batches for Python aren't bounded by bytes.
 
@@ -120,5 +129,5 @@ def join_split(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int, p
     """
     often = F.col("n") * parts > total
     hot = F.broadcast(keyed.where(often).drop("n"))
-    cold = rows.join(F.broadcast(keyed.where(often).select(*keys)), keys, "left_anti").join(keyed.where(~often).drop("n"), keys)
+    cold = rows.join(F.broadcast(keyed.where(often).select(*keys)), keys, "left_anti").join(shuffled(keyed.where(~often).drop("n")), keys)
     return rows.join(hot, keys).unionByName(cold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import stored
+from concord.llm.common import FEW_ROWS, shuffled, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -25,11 +25,12 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     known = _signature(edges)
     for _ in range(most if known[0] else 0):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        side = shuffled if 2 * known[0] > FEW_ROWS else lambda least: least
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.join(side(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select("b", "m").union(least.select(F.col("a").alias("b"), "m"))
+        small = down.join(side(least), "a").select("b", "m").union(least.select(F.col("a").alias("b"), "m"))
         after = stored(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
         was, known, edges = known, _signature(after), after
         if was == known:

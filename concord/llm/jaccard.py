@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import bitmap, in_bitmap, stored, text_or_empty
+from concord.llm.common import bitmap, in_bitmap, shuffled, sized, stored, text_or_empty
 from concord.llm.components import components
 from concord.llm.wordhash import mix, shingles, slices
 
@@ -159,7 +159,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, bits: int = 25) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "grams"])
 
     found = _rows(docs).mapInArrow(read, "cls bigint, grams array<bigint>")
-    return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    return found.join(shuffled(wanted), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 class Tree:
@@ -273,17 +273,17 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 512)
     rows = seen.where("block IS NULL").select("doc_id", "n", "cls")
     shared = stored(_shared(_prefixes(docs, size, percent, counts).select("token", "cls")), "shared")
     held = sc.broadcast(bitmap(shared, "token", 25))
-    members = _prefixes(docs, size, percent, counts, held).distinct().join(shared, "token", "left_semi")
+    members = _prefixes(docs, size, percent, counts, held).distinct().join(sized(shared), "token", "left_semi")
     members = stored(members, "members")
     # a partner of a set of n has 9/10 n n-grams at least, so l of either set is that of 9/10 n or more
     enough = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("tokens")).where(F.col("tokens") >= 1 + F.floor(F.col("n") * percent / 2000)).select("cls")
-    members = members.join(enough, "cls", "left_semi")
-    members = stored(members.join(_shared(members), "token", "left_semi"), "members")
+    members = members.join(shuffled(enough), "cls", "left_semi")
+    members = stored(members.join(shuffled(_shared(members)), "token", "left_semi"), "members")
     sets = stored(_sets(docs, members.select("cls").distinct(), size), "sets")
 
     # each class in its largest group
     sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    best = members.join(sizes, "token").groupBy("cls").agg(F.max(F.struct("size", "token")).alias("best"))
+    best = members.join(shuffled(sizes), "token").groupBy("cls").agg(F.max(F.struct("size", "token")).alias("best"))
     picked = best.select("cls", F.col("best.token").alias("token"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("best.size") / block)).alias("i"))
     schema = "a bigint, b bigint"
 
@@ -292,11 +292,11 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 512)
         found = link(grams, grams, ids, ids, {}, percent, counts.value.astype(np.int64)) if len(ids) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    links = stored(picked.join(sets, "cls").select("token", "i", "cls", "grams").groupBy("token", "i").applyInArrow(within, schema), "first")
+    links = stored(picked.join(shuffled(sets), "cls").select("token", "i", "cls", "grams").groupBy("token", "i").applyInArrow(within, schema), "first")
     labels = stored(components(links), "labels")
 
     # groups of several components
-    named = members.join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("label"))
+    named = members.join(sized(labels), F.col("cls") == F.col("node"), "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("label"))
     by_label = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("xor"))
     groups = by_label.groupBy("token").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor")).where("labels > 1")
     groups = groups.groupBy("size", "sum", "xor").agg(F.min("token").alias("token"), F.first("main").alias("main"))
@@ -326,8 +326,8 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 512)
             found = link(a, b, a_ids, b_ids, dict(zip(ids, names, strict=True)), percent, counts.value.astype(np.int64))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    more = pairs.join(sets, "cls").select("token", "i", "j", "cls", "label", "other", "grams").groupBy("token", "i", "j").applyInArrow(across, schema)
-    final = components(links.union(more))
+    more = sized(pairs).join(sets, "cls").select("token", "i", "j", "cls", "label", "other", "grams").groupBy("token", "i", "j").applyInArrow(across, schema)
+    final = sized(stored(components(links.union(more)), "final"))
     smallest = rows.where("n > 0").join(final, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("label", "cls").alias("label"), "doc_id")
     least = smallest.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named_rows = rows.join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))

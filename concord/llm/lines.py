@@ -199,7 +199,7 @@ def removals(docs: DataFrame, max_edits: int = 1, min_chars: int = 20, bitmap_bi
         near = twice.limit(0)
     # only lines found twice, or near an earlier one, can go
     wanted = twice.withColumn("near", F.lit(False)).union(near.withColumn("near", F.lit(True))).groupBy("lid").agg(F.max("near").alias("near"))
-    some = stored(lines.join(wanted, "lid"), "lines")
+    some = stored(lines.join(shuffled(wanted), "lid"), "lines")
     first = stored(some.groupBy("lid", "lid2").agg(F.min(F.struct("doc", "copy", "no")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
     gone = join_split(some, first, ["lid", "lid2"], some.count()).where(F.col("near") | (F.col("first") != F.struct("doc", "copy", "no")))
     return gone.groupBy("doc", "copy").agg(F.collect_set("no").alias("removed"))
@@ -214,7 +214,7 @@ def deduplicate(docs: DataFrame, max_edits: int = 1, min_chars: int = 20, bitmap
     # documents that lose nothing aren't moved
     flat = bitmap(gone.select(F.xxhash64("doc", "copy").alias("key")), "key", bitmap_bits)
     hit, rest = split_by_bitmap(marked, F.xxhash64("doc", "copy"), flat)
-    both = hit.join(gone, ["doc", "copy"], "left").unionByName(rest.withColumn("removed", F.lit(None).cast("array<int>")))
+    both = hit.join(shuffled(gone), ["doc", "copy"], "left").unionByName(rest.withColumn("removed", F.lit(None).cast("array<int>")))
     text = F.col(f"c{kept.index('text')}")
     parts = F.split(text, "\n")
     left = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("removed", i)), "\n"))

@@ -167,3 +167,31 @@ def test_line_dedup_does_not_broadcast_what_grows(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(k, f"some line of twenty or more {k}\nanother line") for k in range(5)], "doc_id bigint, text string").write.parquet(path)
     assert corpus_pipeline.line_dedup(spark, spark.read.parquet(path), str(tmp_path)).count() == 5
     assert "SortMergeJoin" in plans["near"] and "Broadcast" not in plans["near"]
+
+
+def test_ngram_jaccard_does_not_broadcast_what_grows(spark, tmp_path, monkeypatch):
+    from concord.llm import common, components
+
+    plans = {}
+
+    def stored(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return common.stored(df, name)
+
+    for module in (corpus_pipeline, corpus_pipeline.jaccard, corpus_pipeline.lines, components):
+        monkeypatch.setattr(module, "stored", stored)
+    for module in (common, components):
+        monkeypatch.setattr(module, "FEW_ROWS", 1, raising=False)  # all tables of the test are large ones
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(6)]
+    rows = [(10 * k + j, " ".join([*t[:40], "other", *t[41:]] if j else t)) for k, t in enumerate(texts) for j in range(3)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+    got = corpus_pipeline.ngram_jaccard(spark, corpus_pipeline.line_dedup(spark, spark.read.parquet(path), ""), "")
+    plans["all"] = [got._jdf.queryExecution().executedPlan().toString()]
+    assert sorted(r["doc_id"] for r in got.collect()) == [10 * k for k in range(6)]
+    assert {"members", "sets", "first", "found", "links", "lines"} <= plans.keys()
+    # "removed" may broadcast frequent lines, of bounded number; "links" the candidates, of which there are none;
+    # sides in "candidates" are joins, which Spark doesn't take for small
+    assert [name for name, of in plans.items() for plan in of if "BroadcastHashJoin" in plan and name not in ("removed", "links", "candidates")] == []
+    assert "SortMergeJoin" in plans["removed"][0]

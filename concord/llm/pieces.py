@@ -18,9 +18,12 @@ up the same text are on no best path and stay out of the lattice.
 It runs several times as fast in a session from `common.session_for_narrow_rows`.
 Nothing is shuffled: the substrings of a segment follow each other out of explode
 and the broadcast join, so edges are grouped as they come, and the documents of a
-chunk, packed, follow its segments through the plan. Edges carry their segment's
-number, and a chunk whose segments don't come back complete raises an error. Rows
-are streamed; a task holds the segments of one chunk. The fold takes ends in blocks
+slice of a chunk, packed, follow the segments that are new in it through the plan.
+Slices are small: Spark's vectors of a column that goes to Python keep the size of
+their largest batch and are zeroed at each, so one row of megabytes makes all later
+batches dear. Edges carry their segment's number, and a slice whose segments didn't
+come back complete before it raises an error. Rows are streamed; a task holds the ids
+of the segments of one chunk. The fold takes ends in blocks
 and carries the scores that pieces can reach, so a segment of any length is folded
 in the same way. The piece table has the size of the vocabulary, at most
 `MOST_PIECES`, and is broadcast.
@@ -54,6 +57,8 @@ _NORMAL, _BYTE, _USER = 1, 6, 4
 MOST_PIECES = 1_000_000
 #: Bytes of a row of text on its way to Python, so that a batch of rows is bounded.
 _PART = 1 << 13
+#: Bytes of text, or those of one longer document, that are packed in a row.
+_SLICE = 1 << 18
 #: Ends in a block of the fold.
 _BLOCK = 256
 _SLOTS = 1 << 20
@@ -382,21 +387,26 @@ _CHUNK = "number bigint, segment string, most array<smallint>, packed binary"
 
 
 def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """number, segment and most (bounds of its substrings) of the distinct segments of each chunk, then a row with its documents and their segments' numbers, packed."""
+    """For each slice of a chunk number, segment and most (bounds of its substrings) of the segments that are new to the chunk, then a row with its documents and their segments' numbers, packed.
+
+    A chunk ends beyond `chunk` bytes of text, or an eighth as many characters of distinct segments, which are what a task holds.
+    """
     names = [x.split(" ")[0] for x in _CHUNK.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         known, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)  # hashes, ascending, and their segments' numbers
-        sink, out, size = None, None, 0
+        size = held = 0  # bytes of text, characters of the distinct segments
 
-        def finish() -> pa.RecordBatch:
-            out.close()
+        def packed(row: pa.RecordBatch) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(row)
             data = sink.getvalue()
-            packed = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.size], np.int32)), data])
-            return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.list_(pa.int16()))), packed], names=names)
+            one = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.size], np.int32)), data])
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.list_(pa.int16()))), one], names=names)
 
-        for some in _whole_texts(batches, 1 << 18):
+        for some in _whole_texts(batches, _SLICE):
             found = segments(some.column(1).to_pylist(), path)
             hashes, where, which = np.unique(found.hashes, return_index=True, return_inverse=True)
             at = np.searchsorted(known, hashes)
@@ -409,14 +419,12 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             known, numbers = np.insert(known, at[fresh], hashes[fresh]), np.insert(numbers, at[fresh], of[fresh])
             occurring = of[which]  # in two columns, which are smaller when compressed
             parts = [_binary(found.first, occurring.astype(np.uint16)), _binary(found.first, (occurring >> 16).astype(np.uint16))]
-            row = pa.RecordBatch.from_arrays([*some.columns, *parts], names=["doc_id", "text", "low", "high"])
-            if out is None:
-                sink = pa.BufferOutputStream()
-                out = pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-            out.write_batch(row)
+            kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("low", pa.binary()), ("high", pa.binary())], {"segments": str(len(known))})
+            row = pa.RecordBatch.from_arrays([*some.columns, *parts], schema=kind)
             size += some.column(1).nbytes
             where = where[fresh]
             begin, end = found.begin[where], found.begin[where + 1]
+            held += int((end - begin).sum())
             for lo in range(0, len(where), 4096):
                 b, e = begin[lo : lo + 4096], end[lo : lo + 4096]
                 text = [found.text[x:y] for x, y in zip(b.tolist(), e.tolist(), strict=True)]
@@ -425,11 +433,9 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                 most = bounds(found.index[chars], np.repeat(e, e - b) - chars, path)
                 some_numbers = np.arange(n + lo, n + lo + len(b))
                 yield pa.RecordBatch.from_arrays([pa.array(some_numbers), pa.array(text, pa.string()), _lists(offsets[:-1], offsets[-1], pa.array(most)), pa.array([None] * len(b), pa.binary())], names=names)
-            if size > chunk:
-                yield finish()
-                known, numbers, out, size = known[:0], numbers[:0], None, 0
-        if out is not None:
-            yield finish()
+            yield packed(row)
+            if size > chunk or held > chunk // 8:
+                known, numbers, size, held = known[:0], numbers[:0], 0, 0
 
     text = text_or_empty().cast("binary")
     last = F.floor(F.greatest(F.octet_length(text) - 1, F.lit(0)) / _PART)
@@ -455,13 +461,19 @@ def decodes(ids: np.ndarray, at: np.ndarray, path: str) -> list[str]:
 
 
 class _Codes:
-    """The segments of a chunk as their ids come in."""
+    """The segments of a chunk so far: ids of all, by number, and where each one's begin."""
 
     def __init__(self, path: str):
-        self.path, self.parts = path, []
+        self.path, self.n = path, 0
+        self.ids, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
 
     def add(self, number: np.ndarray, scores: pa.Array, edges: pa.Array) -> None:
         of, first = lattice_of(self.path), model(self.path)[1]
+        if number[0] == 0:  # of the next chunk
+            self.n = 0
+        n, self.n = self.n, self.n + len(number)
+        if not np.array_equal(number, np.arange(n, self.n)):
+            raise RuntimeError("the segments of a chunk didn't come back as they were numbered")
         place = scores.offsets.to_numpy().astype(np.int64)
         values = scores.values.to_numpy()[place[0] : place[-1]]
         data = np.frombuffer(edges.buffers()[2], np.int64).reshape(-1, 2)
@@ -474,21 +486,24 @@ class _Codes:
             size = np.array([len(b) if b else 1 for b in each])
             begin = np.append(0, np.cumsum(size))[begin]
             ids = np.concatenate([[first + x for x in b] if b else [i] for b, i in zip(each, ids.tolist(), strict=True)])
-        self.parts.append((number.astype(np.int32), np.diff(begin).astype(np.int32), ids.astype(np.int32)))  # copies: the batch goes
+        held = int(self.at[n])
+        self.at, self.ids = _room(self.at, n + 1, self.n + 1), _room(self.ids, held, held + len(ids))
+        self.at[n + 1 : self.n + 1], self.ids[held : held + len(ids)] = held + begin[1:], ids
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all segments by number, and where each one's begin."""
-        number, sizes, ids = (np.concatenate([x[k] for x in self.parts]) if self.parts else np.zeros(0, np.int32) for k in range(3))
-        order = np.argsort(number, kind="stable")
-        if not np.array_equal(number[order], np.arange(len(order))):
-            raise RuntimeError("the segments of a chunk didn't come back as they were numbered")
-        return _ragged(ids, np.append(0, np.cumsum(sizes)), order)
+
+def _room(values: np.ndarray, used: int, size: int) -> np.ndarray:
+    """values, or the used ones in an array twice as long, so that size of them have room."""
+    if size <= len(values):
+        return values
+    out = np.zeros(2 * size, values.dtype)
+    out[:used] = values[:used]
+    return out
 
 
 ENCODED = "doc_id bigint, n_pieces bigint, n_bytes_pieces bigint, ids_crc32 bigint, round_trip boolean"
 
 
-def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 20 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 64 << 20) -> DataFrame:
     """give(doc_ids, texts, ids, where each one's ids begin, texts decoded from them), as columns of schema, for slices of docs; ids: little-endian unsigned 32-bit."""
     grouped = _grouped(lattice(_chunks(docs, path, chunk), path), path)
     longest = lattice_of(path).longest
@@ -500,15 +515,15 @@ def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 20 << 20)
         return [j for w in split(text) for i in viterbi(w, path) for j in ([i] if i >= 0 else [first + b for b in chr(-i).encode()])]
 
     def finish(packed: pa.Buffer, codes: _Codes) -> Iterator[pa.RecordBatch]:
-        values, at = codes.table()
-        for some in pa.ipc.open_stream(packed):
+        stream = pa.ipc.open_stream(packed)
+        n = int(stream.schema.metadata[b"segments"])
+        if n and n != codes.n:  # 0: no text in it
+            raise RuntimeError("segments of a chunk are missing")
+        for some in stream:
             texts = some.column(1).to_pylist()
             first = np.frombuffer(some.column(2).buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64) // 2
             low, high = (np.frombuffer(some.column(k).buffers()[2] or b"", np.uint16)[: first[-1]].astype(np.int64) for k in (2, 3))
-            numbers = high << 16 | low
-            if len(numbers) and numbers.max() >= len(at) - 1:
-                raise RuntimeError("segments of a chunk are missing")
-            ids, begin = _ragged(values, at, numbers)
+            ids, begin = _ragged(codes.ids, codes.at, high << 16 | low)
             begin = begin[first]
             back = decodes(ids, begin, path)
             if wrong := [k for k, (b, t) in enumerate(zip(back, texts, strict=True)) if b != t]:
@@ -532,7 +547,6 @@ def encode(docs: DataFrame, path: str, schema: str, give, chunk: int = 20 << 20)
                     codes.add(some.column(0).to_numpy(), some.column(1), some.column(2))
                 if hi < batch.num_rows:
                     yield from finish(batch.column(3)[hi].as_buffer(), codes)
-                    codes = _Codes(path)
                 lo = hi + 1
 
     return paths.mapInArrow(apply, schema)

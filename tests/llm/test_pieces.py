@@ -3,7 +3,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from concord.llm import pieces
@@ -70,5 +72,24 @@ def test_segments_part_where_no_piece_reaches():
         assert all(k < 0 or pieces.model(PATH)[2][k] in kept for w in pieces.split(t) for k in pieces.viterbi(w, PATH))
 
 
+def test_documents_follow_their_segments_in_small_rows(documents):
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choice("theandü漢 ") for _ in range(20_000))) for k in range(60)] + [(60, None)]
+    docs = documents(rows).coalesce(1)
+    sizes = [r["n"] for r in pieces._chunks(docs, PATH, 64 << 20).where("packed is not null").select(F.length("packed").alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 2 * pieces._SLICE  # else each later batch zeroes as much
+    assert pieces._chunks(docs, PATH, 64 << 20).where("number = 0").count() == 1
+    assert pieces._chunks(docs, PATH, 2 << 20).where("number = 0").count() > 1  # by what is held of distinct segments
+    for chunk in (64 << 20, 500_000):  # segments of former slices, and chunks that begin anew
+        assert {r["doc_id"]: r["ids"] for r in pieces.encoded(docs, PATH, chunk=chunk).collect()} == {i: plain(t or "") for i, t in rows}
+
+
+def test_lacking_segments_are_told():
+    codes = pieces._Codes(PATH)
+    codes.n = 3
+    with pytest.raises(RuntimeError, match="numbered"):
+        codes.add(np.array([4, 5]), None, None)
+
+
 def test_no_rows(documents):
     assert pieces.report(documents([(1, "x")]).limit(0), PATH).count() == 0
